@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import mixing, url_filter
+from quern.llm.neardup import near_duplicates
 from quern.llm.phrase_dedup import phrase_dedup
 from quern.llm.suffix_dedup import substring_dedup
 
@@ -15,11 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bloom_cascade_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(table(spark, sf_dir, "documents"), keep_text=False)
+    taken = F.col("mix_size") * F.col("mix_repeats")
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
+
+
+def op8_simhash_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = phrase_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -27,10 +44,13 @@ def op9_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bloom_cascade_url_filter": op2_bloom_cascade_url_filter,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
+        "op6_mix_sources": op6_mix_sources,
+        "op8_simhash_trie_dedup": op8_simhash_trie_dedup,
         "op9_phrase_automata_dedup": op9_phrase_automata_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_bloom_cascade_url_filter": url_filter.SQL, "op6_mix_sources": mixing.SQL}
