@@ -18,11 +18,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import buffers, column, keyed, slices, word_bounds
 
+#: Bytes of segments that a task remembers in order to send equal ones once.
+COMBINED = 48 << 20
+#: Bytes of text that are worked on at once: the arrays stay in the cache.
+SLICE = 1 << 18
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -32,6 +37,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
 def least(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` neighbours."""
     now = 1
@@ -61,7 +69,7 @@ class Tokens:
             self.begin, self.end, self.first = word_bounds(self.at, self.data)
             self.values = word_values(self.data, self.begin, self.end)
         else:
-            self.first, self.values = self.at, mixed(self.data.astype(np.uint64) + np.uint64(1))
+            self.first, self.values = self.at, _BYTES[self.data]
 
     def segment(self, lo: int, n: int) -> bytes:
         """Tokens lo to lo + n; words with one space between."""
@@ -80,8 +88,11 @@ class Tokens:
         with np.errstate(over="ignore"):
             step = 1
             while step < gram:
-                x = mixed(x[:-step] * M2 + x[step:])
-                step *= 2
+                y = x[:-step] * M2
+                y += x[step:]
+                y ^= y >> np.uint64(29)
+                x, step = y, 2 * step
+            x = x * M1
             mask = np.uint64((1 << int(size).bit_length()) - 1)
             low = least((x & ~mask) | np.arange(len(x), dtype=np.uint64), length - gram + 1)
         text = np.repeat(np.arange(len(lens)), count)
@@ -92,70 +103,135 @@ class Tokens:
         return text[at], lo, np.diff(np.r_[at, len(window)]), place - lo, x[place].view(np.int64)
 
 
+def _keys(length: int, gram: int, words: bool, within: bool):
+    """Keys of runs with their document. What recurs in a batch is known at once: its rows say so, and one more row
+    tells the key's task, so that a key that all documents have doesn't send them all there."""
+
+    def run(batches):
+        for batch in batches:
+            keys, ks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for part in slices(batch, "text", SLICE):
+                text, _, _, _, key = Tokens(column(part, "text"), words).runs(length, gram)
+                keys.append(key)
+                ks.append(column(part, "k").to_numpy()[text])
+            key, k = np.concatenate(keys), np.concatenate(ks)
+            if not len(key):
+                continue
+            order = np.lexsort((k, key))
+            key, k = key[order], k[order]
+            lead = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            last = np.r_[lead[1:], len(key)] - 1
+            twice = last > lead if within else k[last] != k[lead]
+            known = np.repeat(twice, last - lead + 1)
+            new = np.r_[True, (key[1:] != key[:-1]) | (k[1:] != k[:-1])]
+            key, k, known = (np.concatenate([x[lead], x[known & new]]) for x in (key, k, known))
+            known[: len(lead)] = False
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(k), pa.array(known)], ["key", "k", "known"])
+
+    return run
+
+
+def _recurring(within: bool):
+    """Of rows in order of key, those that are known or have another row (of another document) with their key."""
+
+    def run(batches):
+        held = None  # the last key's rows, as far as none is sure
+        for batch in batches:
+            key, k, known = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("key", "k", "known"))
+            sure = [(key[known], k[known])]
+            key, k = key[~known], k[~known]
+            if held is not None:
+                key, k = np.concatenate([held[0], key]), np.concatenate([held[1], k])
+            held = None
+            if len(key):
+                lead = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                many = np.diff(np.r_[lead, len(key)])
+                low, high = np.minimum.reduceat(k, lead), np.maximum.reduceat(k, lead)
+                often = many > 1 if within else high > low
+                on = np.repeat(often, many)
+                sure.append((key[on], k[on]))
+                at = lead[-1]
+                held = (key[at:][:1], k[at:][:1])  # one row of the last key, which makes the next ones sure
+            key, k = (np.concatenate([x[i] for x in sure]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(k)], ["key", "k"])
+
+    return run
+
+
 class Recurring:
     """Plans over documents (k, text) for windows of `length` tokens."""
 
-    def __init__(self, docs: DataFrame, length: int, gram: int, words: bool, within: bool, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, length: int, gram: int, words: bool, within: bool, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()):
         if gram & (gram - 1) or gram > length:
             raise ValueError("gram must be a power of two, at most length")
         self.length, self.gram, self.words = length, gram, words
-        self.docs = keyed(docs, id_col, text_col).repartition("k")
-        length_, gram_, words_ = length, gram, words
-
-        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    t = Tokens(column(part, "text"), words_)
-                    text, _, _, _, key = t.runs(length_, gram_)
-                    k = column(part, "k").to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(k[text])], ["key", "k"])
-
-        found = self.docs.mapInArrow(keys, "key long, k long").repartition("key")
-        often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("a"), F.max("k").alias("b"))
-        often = often.where("n > 1" if within else "a < b").select("key")
-        self.keys = found.join(often, "key", "left_semi").groupBy("k").agg(F.collect_set("key").alias("keys"))
+        row = [F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]).alias("row")] if keep else []
+        self.docs = keyed(docs, id_col, text_col, *row).repartition("k")
+        # a key's rows meet in its task, save those of which the sender knows that they recur
+        met = F.when(F.col("known"), F.xxhash64("k")).otherwise(F.col("key"))
+        found = self.docs.mapInArrow(_keys(length, gram, words, within), "key long, k long, known boolean").repartition(met)
+        recurring = found.sortWithinPartitions("key").mapInArrow(_recurring(within), "key long, k long")
+        self.keys = recurring.groupBy("k").agg(F.collect_set("key").alias("keys"))
 
     def segments(self) -> DataFrame:
         """(key, segment, k, lo, n, off): the distinct segments with their first document and first place in it.
 
         lo is the place of the segment's first token in its text, n the number of windows, off the
-        anchor's place in the segment, docs the number of documents with the segment.
+        anchor's place in the segment, shared whether two documents have it.
         """
         length, gram, words = self.length, self.gram, self.words
 
         def cut(batches):
+            met: dict = {}
+            held = 0
             for batch in batches:
-                for part in slices(batch, "text", 1 << 19):
+                for part in slices(batch, "text", SLICE):
                     t, k = Tokens(column(part, "text"), words), column(part, "k").to_numpy()
                     out = [[] for _ in range(6)]
                     for i, lo, n, off, key in chosen(t, part, length, gram):
-                        seen: dict = {}
+                        seen, own = set(), int(k[i])
                         for j in range(len(lo)):
-                            s = t.segment(int(lo[j]), int(n[j]) + length - 1)
-                            if seen.setdefault((s, int(key[j])), j) == j:
-                                for o, v in zip(out, (int(key[j]), s, int(k[i]), int(lo[j] - t.first[i]), int(n[j]), int(off[j])), strict=True):
-                                    o.append(v)
+                            s = (t.segment(int(lo[j]), int(n[j]) + length - 1), int(key[j]))
+                            if s in seen:
+                                continue
+                            seen.add(s)
+                            # what this task has sent is sent again only for an earlier document, or as a second one
+                            before = met.get(s)
+                            if before is not None and before[0] <= own and (before[1] or before[0] == own):
+                                continue
+                            met[s] = (own if before is None else min(own, before[0]), before is not None and before[0] != own or before is not None and before[1])
+                            held += len(s[0]) + 250
+                            for o, v in zip(out, (s[1], s[0], own, int(lo[j] - t.first[i]), int(n[j]), int(off[j])), strict=True):
+                                o.append(v)
                     yield pa.RecordBatch.from_arrays([pa.array(o, pa.binary() if c == 1 else pa.int64()) for c, o in enumerate(out)], ["key", "segment", "k", "lo", "n", "off"])
+                    if held > COMBINED:
+                        met, held = {}, 0
 
         rows = self.docs.join(self.keys, "k").mapInArrow(cut, "key long, segment binary, k long, lo long, n long, off long")
-        return rows.groupBy("key", "segment").agg(
-            F.min_by("lo", "k").alias("lo"), F.min("n").alias("n"), F.min("off").alias("off"), F.count(F.lit(1)).alias("docs"), F.min("k").alias("k")
+        return rows.repartition("key").groupBy("key", "segment").agg(
+            F.min_by("lo", "k").alias("lo"), F.min("n").alias("n"), F.min("off").alias("off"), (F.min("k") < F.max("k")).alias("shared"), F.min("k").alias("k")
         )
 
     def repeated(self, shard: Callable, finish: Callable, schema: str) -> DataFrame:
         """shard(batches) turns rows of segments(), by key, into rows (k, lo, key, marks); marks has a byte for each
-        window of that first segment, 1 if the window also occurs earlier. finish(tokens, k, marked) gives an Arrow
-        batch for some texts, marked being the begins of all windows that occur earlier."""
-        length, gram, words, within = self.length, self.gram, self.words, not self.words
-        first = self.segments().repartition("key").sortWithinPartitions("key").mapInArrow(shard, "k long, lo long, key long, marks binary")
+        window of that first segment, 1 if the window also occurs earlier. finish(tokens, k, row, marked) gives an
+        Arrow batch for some texts, marked being the begins of all windows that occur earlier."""
+        length, gram, words, within, rows = self.length, self.gram, self.words, not self.words, "row" in self.docs.columns
+        first = self.segments().sortWithinPartitions("key").mapInArrow(shard, "k long, lo long, key long, marks binary")
         first = first.groupBy("k").agg(F.collect_list(F.struct("lo", "key", "marks")).alias("first"))
 
         def done(batches):
             for batch in batches:
-                for part in slices(batch, "text", 1 << 19):
-                    t, told, marked = Tokens(column(part, "text"), words), column(part, "first"), []
+                for part in slices(batch, "text", SLICE):
+                    t, marked = Tokens(column(part, "text"), words), []
+                    told = column(part, "first")
+                    ends = np.cumsum(np.nan_to_num(pc.list_value_length(told).to_numpy(zero_copy_only=False)).astype(np.int64))
+                    flat = told.flatten()
+                    places, keys, all_marks = (flat.field(c) for c in ("lo", "key", "marks"))
+                    places, keys = places.to_numpy(), keys.to_numpy()
                     for i, lo, n, _, key in chosen(t, part, length, gram):
-                        own = {(x["lo"], x["key"]): x["marks"] for x in told[i].as_py() or ()}
+                        a, b = int(ends[i - 1]) if i else 0, int(ends[i])
+                        own = dict(zip(zip(places[a:b].tolist(), keys[a:b].tolist(), strict=True), all_marks[a:b].to_pylist(), strict=True))
                         seen: dict = {}
                         for j in range(len(lo)):
                             begin, windows = int(lo[j]), int(n[j])
@@ -166,7 +242,7 @@ class Recurring:
                                 marked.append(np.arange(begin, begin + windows))
                             elif any(marks):
                                 marked.append(begin + np.flatnonzero(np.frombuffer(marks, np.uint8)))
-                    yield finish(t, column(part, "k"), np.concatenate(marked) if marked else np.zeros(0, np.int64))
+                    yield finish(t, column(part, "k"), column(part, "row") if rows else None, np.concatenate(marked) if marked else np.zeros(0, np.int64))
 
         all_ = self.docs.join(self.keys, "k", "left").join(first, "k", "left")
         return all_.mapInArrow(done, schema)

@@ -42,11 +42,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, text) of documents; null identifiers and texts get NULL_ID and ''."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
+    """(k, text) of documents and what more there is to select; null identifiers and texts get NULL_ID and ''."""
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *more,
     )
 
 

@@ -26,13 +26,13 @@ LENGTH, GRAM = 50, 16
 CHUNK, NODES = 60_000, 300_000
 
 
-def passages(segments: list[list[bytes]], n: list[int], off: list[int], k: list[int], docs: list[int], length: int) -> list[tuple[list[bytes], int]]:
+def passages(segments: list[list[bytes]], n: list[int], off: list[int], k: list[int], shared: list[bool], length: int) -> list[tuple[list[bytes], int]]:
     """Recurring passages of segments with one anchor, each with its first document.
 
     Consecutive windows that occur in the same segments make one passage. A segment that several documents have is
     itself one.
     """
-    found = [(words, k[i]) for i, words in enumerate(segments) if docs[i] > 1]
+    found = [(words, k[i]) for i, words in enumerate(segments) if shared[i]]
     if len(segments) == 1:
         return found
     where: dict[tuple, list] = {}
@@ -92,7 +92,7 @@ def occurrences(found: list[tuple[list[bytes], int]], segments: list[list[bytes]
 def _shard(length: int):
     def shard(batches):
         for table in grouped(batches, CHUNK):
-            key, k, lo, n, off, docs = (table.column(c).to_pylist() for c in ("key", "k", "lo", "n", "off", "docs"))
+            key, k, lo, n, off, shared = (table.column(c).to_pylist() for c in ("key", "k", "lo", "n", "off", "shared"))
             segments = [s.split(b" ") for s in table.column("segment").to_pylist()]
             found, of_passage, of_segment = [], [], []
             begin, group = 0, 0
@@ -100,7 +100,7 @@ def _shard(length: int):
                 end = begin
                 while end < len(key) and key[end] == key[begin]:
                     end += 1
-                own = passages(segments[begin:end], n[begin:end], off[begin:end], k[begin:end], docs[begin:end], length)
+                own = passages(segments[begin:end], n[begin:end], off[begin:end], k[begin:end], shared[begin:end], length)
                 found += own
                 of_passage += [group] * len(own)
                 of_segment += [group] * (end - begin)
@@ -117,14 +117,15 @@ def _shard(length: int):
     return shard
 
 
-def phrase_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document with the words that remain: (doc_id, n_words, n_removed, kept).
+def phrase_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each document with the words that remain: (doc_id, n_words, n_removed, kept), and a struct row of the columns of keep.
 
     A word goes if it lies in `length` consecutive words that also start in a document with a smaller doc_id.
-    kept joins the rest by one space.
+    kept joins the rest by one space; with keep, which is for columns other than the text, a text that loses nothing
+    stays as it is.
     """
 
-    def finish(t, k, marked):
+    def finish(t, k, row, marked):
         edge = np.zeros(len(t.values) + 1, np.int64)
         np.add.at(edge, marked, 1)
         np.add.at(edge, marked + length, -1)
@@ -136,15 +137,18 @@ def phrase_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
         begin, end = t.begin, t.end
         for i in range(len(t.at) - 1):
             if removed[i] == 0:
-                kept.append(b" ".join(raw[t.at[i] : t.at[i + 1]].split()))
+                whole = raw[t.at[i] : t.at[i + 1]]
+                kept.append(whole if keep else b" ".join(whole.split()))
             else:
                 own = np.flatnonzero(~gone[t.first[i] : t.first[i + 1]]) + t.first[i]
                 kept.append(b" ".join(raw[a:b] for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True)))
-        return pa.RecordBatch.from_arrays([k, pa.array(np.diff(t.first)), pa.array(removed), pa.array(kept, pa.binary())], ["k", "n_words", "n_removed", "kept"])
+        out = {"k": k, "n_words": pa.array(np.diff(t.first)), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.binary())} | ({"row": row} if keep else {})
+        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    plan = Recurring(docs, length, gram, words=True, within=False, id_col=id_col, text_col=text_col)
-    out = plan.repeated(_shard(length), finish, "k long, n_words long, n_removed long, kept binary")
-    return out.select(id_back(name=id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    plan = Recurring(docs, length, gram, words=True, within=False, id_col=id_col, text_col=text_col, keep=keep)
+    rows = f", row {plan.docs.schema['row'].dataType.simpleString()}" if keep else ""
+    out = plan.repeated(_shard(length), finish, f"k long, n_words long, n_removed long, kept binary{rows}")
+    return out.select(id_back(name=id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), *(["row"] if keep else []))
 
 
 def brute(texts: dict[int, str | None], length: int = LENGTH) -> dict[int, tuple[int, int, str]]:

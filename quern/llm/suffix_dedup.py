@@ -176,7 +176,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     smaller doc_id or earlier in the same one. spans lists the maximal removed runs as begin and end.
     """
 
-    def finish(t, k, marked):
+    def finish(t, k, row, marked):
         gone = _spans(t, marked, length)
         at, data = t.at, t.data
         begin = gone & ~np.r_[False, gone[:-1]]
