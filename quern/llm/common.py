@@ -2,48 +2,35 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.shared import shared_path, written
+
+__all__ = ["NULL_ID", "SPACES", "WORD", "buffers", "column", "few_rows", "id_back", "is_space", "keyed", "lower_ascii", "shared_path", "slices", "word_bounds", "written"]
+
 #: White space between words, as in the class [\x20\x09-\x0D].
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null identifier inside plans that partition by it.
 NULL_ID = -(2**63)
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = f"file:///tmp/checkpoints/quern-{app}"
-        os.makedirs(_own[app].removeprefix("file://"), exist_ok=True)
-    return _own[app]
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/quern-{what}-{uuid.uuid4().hex}"
+#: Rows of a batch that goes to Python, where the session says nothing else: texts may be long.
+BATCH_ROWS = 2000
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and outlives the executors that made it."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def few_rows(spark: SparkSession) -> None:
+    """Smaller batches for texts than the default, unless the session has a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
     """(k, text) of documents and what more there is to select; null identifiers and texts get NULL_ID and ''."""
+    few_rows(docs.sparkSession)
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffers, column, slices, written
+from quern.llm.common import buffers, column, few_rows, slices, written
 
 WINDOW = 10
 #: Bytes of text in a segment, and test words that are broadcast at once.
@@ -62,6 +62,7 @@ class Windows:
 
 def build_index(docs: DataFrame, terms: dict[bytes, int] | None = None, id_col: str = "doc_id", text_col: str = "text", gap: int = WINDOW) -> DataFrame:
     """The positional index of whole texts as a written table, of all terms or of those given."""
+    few_rows(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(terms) if terms is not None else None
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 

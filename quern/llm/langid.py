@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffers, column, slices
+from quern.llm.common import buffers, column, few_rows, slices
 
 ORDERS, BINS, SMOOTH = (2, 3), 1 << 15, 0.5
 #: Bound of the training sample: about so many labelled rows of each language, chosen by hash; all if there are fewer.
@@ -131,14 +131,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, lang_pred and score of every whole text; only the text is looked at."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    few_rows(docs.sparkSession)
     names = [f"c{i}" for i in range(len(keep))]
-    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).alias("the_text"))
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], *([] if text_col in keep else [F.col(text_col).alias("the_text")]))
+    text = names[keep.index(text_col)] if text_col in keep else "the_text"
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "the_text", 1 << 19):
-                lang, score = held.value.score(column(part, "the_text"))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            lang, score = [], []
+            for part in slices(batch, text, 1 << 19):
+                told, p = held.value.score(column(part, text))
+                lang += told
+                score.append(p)
+            # one batch out for one in: the columns that pass through are not cut
+            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in names), pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], [*names, "lang_pred", "score"])
 
     schema = ", ".join([f"{n} {given.schema[n].dataType.simpleString()}" for n in names] + ["lang_pred string", "score double"])
     return given.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score")
