@@ -109,7 +109,8 @@ select a, b, round(c::double / (n + m - c), 6) as similarity from p where n + m
 def minhash_candidates(spark, d):
     """How many documents share each number of bands with another one."""
     sets = documents(spark, d).select("doc_id", D.shingles("text").alias("items")).where(F.size("items") > 0)
-    keys = sets.select("doc_id", F.posexplode(V.bands(V.minhash("items", 32), 32)).alias("band", "key"))
+    signed = sets.select("doc_id", V.minhash("items", 32).alias("sig"))
+    keys = signed.select("doc_id", F.posexplode(V.bands("sig", 32)).alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return keys.join(shared, ["band", "key"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("bands"))
 
