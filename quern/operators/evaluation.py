@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern import rules as R
 from quern.functions import passes as P
 from quern.functions import text as T
+from quern.operators.profile import ends_of_series, repeat_ratio
 
 
 def scored(pairs: DataFrame, pred: str = "pred", ref: str = "ref", question: str = "question") -> DataFrame:
@@ -82,3 +83,24 @@ def run_deltas(runs: DataFrame, suffix: str = "_finetuned", base: str = "_baseli
 
 def small_cells(cells: DataFrame, n: str = "n", least: int = R.SMALL_CELL) -> DataFrame:
     return cells.where(F.col(n) < least)
+
+
+def best_checkpoint(log: DataFrame, step: str, loss: str, run: str) -> DataFrame:
+    """(run, step, loss) with the least loss of each run, the earliest of equals."""
+    row = F.struct(F.col(loss).alias(loss), F.col(step).alias(step))
+    return log.where(F.col(loss).isNotNull()).groupBy(run).agg(F.min(row).alias("r")).select(run, f"r.{step}", f"r.{loss}")
+
+
+def spot_check_rates(forms: DataFrame, model: str, flags: tuple[str, ...]) -> DataFrame:
+    """(model, n, a rate for each flag) of human judgements."""
+    return forms.groupBy(model).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(f).cast("double")).alias(f"{f}_rate") for f in flags])
+
+
+def pilot_checks(log: DataFrame, outputs: DataFrame, step: str, loss: str, text: str, language_ok: str, share: float = 0.2, most: float = 0.3, least: float = 0.9) -> DataFrame:
+    """(check, passed) of a short training run: the loss falls, stays finite and doesn't explode, answers are in the language and don't repeat."""
+    ends = ends_of_series(log, step, loss, share)
+    whole = log.agg(F.bool_and(F.col(loss).isNotNull() & ~F.isnan(loss) & (F.abs(loss) < float("inf"))).alias("finite"), F.max(loss).alias("highest"), F.min_by(loss, step).alias("begin"))
+    texts = outputs.agg(F.avg(F.col(language_ok).cast("double")).alias("in_language"), F.max(repeat_ratio(T.words(text, "[a-z0-9]+"))).alias("repeats"))
+    row = ends.join(F.broadcast(whole), F.lit(True)).join(F.broadcast(texts), F.lit(True))
+    made = row.select((F.col("last") < F.col("first")).alias("trend"), (F.col("highest") <= 2 * F.col("begin")).alias("no_explosion"), "finite", (F.col("in_language") >= least).alias("language"), (F.col("repeats") <= most).alias("no_repeats"))
+    return made.select(F.expr("stack(5, 'trend', trend, 'no_explosion', no_explosion, 'finite', finite, 'language', language, 'no_repeats', no_repeats) as (check, passed)"))

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.dedup import shingles
+from quern.functions import text as T
+from quern.operators.dedup import bucketed_pairs, greedy_keep, shingles
+from quern.shared import written
 
 
 def without_keys_of(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -50,3 +52,29 @@ def rare_keywords(pairs: DataFrame, keyword: str, group: str, most: int = 3) ->
     """Pairs whose keyword at most `most` groups have."""
     often = pairs.select(keyword, group).distinct().groupBy(keyword).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     return pairs.join(often, keyword, "left_anti")
+
+
+def eval_reasons(rows: DataFrame, train: DataFrame, key: str, q: str = "q", a: str = "a", least: float = 0.8) -> DataFrame:
+    """(key, reason) of evaluation rows, the first of: leak_ans, leak_q (train has the same letters and digits), leak_near (a train
+    answer is similar to it), dup_ans, dup_near (an earlier evaluation answer that stays is the same, or similar); null for rows that stay."""
+    e = rows.select(F.col(key).alias("k"), T.alnum(q).alias("nq"), T.alnum(a).alias("na"), F.col(a).alias("text"))
+    ban_a = train.select(T.alnum(a).alias("na")).distinct().withColumn("leak_ans", F.lit(True))
+    ban_q = train.select(T.alnum(q).alias("nq")).distinct().withColumn("leak_q", F.lit(True))
+    e = written(e.join(ban_a, "na", "left").join(ban_q, "nq", "left"), "eval")
+    side = lambda df, n: df.select(F.struct(F.lit(n).alias("side"), F.col("k").alias("k")).alias("place"), "text")
+    open_ = e.where("leak_ans is null and leak_q is null")
+    both = side(train.select(F.col(key).alias("k"), F.col(a).alias("text")), 0).union(side(open_, 1))
+    near = bucketed_pairs(both, "place", "text", least).where("a.side = 0 and b.side = 1").select(F.col("b.k").alias("k"))
+    same = both.select("place", F.substring(T.alnum("text"), 1, 200).alias("bucket"), F.array_sort(F.array_distinct(T.words("text"))).alias("items"))
+    shared = same.where("place.side = 1").join(same.where("place.side = 0").select("bucket", "items").distinct(), ["bucket", "items"], "left_semi").select(F.col("place.k").alias("k"))
+    e = written(e.join(near.union(shared).distinct().withColumn("leak_near", F.lit(True)), "k", "left"), "eval")
+    rest = e.where("leak_ans is null and leak_q is null and leak_near is null")
+    first = rest.groupBy("na").agg(F.min("k").alias("first"))
+    rest = rest.join(first, "na").select("k", "text", (F.col("k") != F.col("first")).alias("dup_ans"))
+    alike = written(rest.where("not dup_ans").select("k", F.substring(T.alnum("text"), 1, 200).alias("bucket"), F.array_sort(F.array_distinct(T.words("text"))).alias("items")), "answers")
+    heads = alike.groupBy("bucket", "items").agg(F.min("k").alias("a"))
+    members = alike.join(heads, ["bucket", "items"]).select("k", "a")
+    kept = greedy_keep(bucketed_pairs(rest.where("not dup_ans"), "k", "text", least), members, "k").withColumn("stays", F.lit(True))
+    out = e.join(rest.select("k", "dup_ans"), "k", "left").join(kept, "k", "left")
+    reason = F.when(F.col("leak_ans"), "leak_ans").when(F.col("leak_q"), "leak_q").when(F.col("leak_near"), "leak_near").when(F.col("dup_ans"), "dup_ans").when(F.col("stays").isNull(), "dup_near")
+    return out.select(F.col("k").alias(key), reason.alias("reason"))

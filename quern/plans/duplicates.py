@@ -134,6 +134,12 @@ c as (select x.split as a, y.split as b, count(*) as n from s x join s y on x.si
 select x.split as a, y.split as b, coalesce(n, 0)::bigint as common from g x join g y on x.split < y.split left join c on c.a = x.split and c.b = y.split"""
 
 
+def eval_reasons(spark, d):
+    """Why test documents would leave beside the training ones; the first 60 characters stand for a question."""
+    s = split_documents(spark, d).select("doc_id", "split", F.substring("text", 1, 60).alias("q"), F.col("text").alias("a"))
+    return L.eval_reasons(s.where("split <> 'train'"), s.where("split = 'train'"), "doc_id")
+
+
 def union_sources(spark, d):
     a = documents(spark, d).select(F.col("doc_id").alias("id"), "text", "lang")
     b = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), "text", "role")
@@ -185,6 +191,6 @@ ZIP = rf"""with c as (select doc_id, text, regexp_replace(regexp_replace(text, '
 QUERIES = {
     "dedup_question": (dedup_question, DEDUP_QUESTION), "dedup_pair": (dedup_pair, DEDUP_PAIR), "dedup_md5": (dedup_md5, DEDUP_MD5), "dedup_documents": (dedup_documents, DEDUP_DOCUMENTS), "cap_repeats": (cap_repeats, CAP),
     "near_pairs": (near_pairs, NEAR_PAIRS), "near_greedy": (near_greedy, None), "near_text": (near_text, None), "near_leaks": (near_leaks, NEAR_LEAKS), "bucketed_similar": (bucketed_similar, BUCKETED), "minhash_candidates": (minhash_candidates, None),
-    "exact_leaks": (exact_leaks, EXACT_LEAKS), "leak_counts": (leak_counts, LEAK_COUNTS), "union_sources": (union_sources, UNION), "not_chosen": (not_chosen, NOT_CHOSEN), "benchmark_overlap": (benchmark_overlap, BENCHMARK),
+    "exact_leaks": (exact_leaks, EXACT_LEAKS), "eval_reasons": (eval_reasons, None), "leak_counts": (leak_counts, LEAK_COUNTS), "union_sources": (union_sources, UNION), "not_chosen": (not_chosen, NOT_CHOSEN), "benchmark_overlap": (benchmark_overlap, BENCHMARK),
     "rare_keywords": (rare_keywords, RARE), "positional_zip": (positional_zip, ZIP),
 }

@@ -168,8 +168,32 @@ def run_deltas(spark, d):
 
 RUNS = f"""with g as ({GROUPING.replace("round(avg(score), 9)", "avg(score)")}) select 'm_finetuned' as label, key, metric, round(mean + 0.1, 9) as value, round(mean, 9) as base_value, round(mean + 0.1 - mean, 9) as delta, mean + 0.1 >= 0.3 as reached from g where key <> 'overall'"""
 
+def best_checkpoint(spark, d):
+    """Of each customer's orders the cheapest, the earliest of equals: the shape of choosing a checkpoint."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
+    return E.best_checkpoint(o, "o_orderkey", "o_totalprice", "o_custkey")
+
+
+CHECKPOINT = "select o_custkey, o_orderkey, round(o_totalprice, 2) as o_totalprice from orders qualify row_number() over (partition by o_custkey order by round(o_totalprice, 2), o_orderkey) = 1"
+
+
+def spot_check_rates(spark, d):
+    forms = table(spark, d, "labels").join(documents(spark, d).select("doc_id", "source"), "doc_id")
+    return E.spot_check_rates(forms, "source", ("quality", "toxic"))
+
+
+SPOT = "select source, count(*) as n, avg(quality::double) as quality_rate, avg(toxic::double) as toxic_rate from labels join documents using (doc_id) group by source"
+
+
+def pilot_checks(spark, d):
+    """The checks of a short run, on daily counts in place of a loss."""
+    log = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("loss"))
+    out = table(spark, d, "conversations").where("role = 'assistant'").select("text", F.col("text").rlike("[a-z]").alias("ok"))
+    return E.pilot_checks(log, out, "day", "loss", "text", "ok")
+
+
 QUERIES = {
     "lexicon_scores": (lexicon_scores, LEXICON_SQL), "composite": (composite, COMPOSITE), "vector_relevance": (vector_relevance, VECTORS), "prediction_scores": (prediction_scores, f"with {PREDICTIONS} select idx, lang, bucket, accuracy, token_f1 from scored"),
     "metric_grouping_sets": (metric_grouping_sets, GROUPING), "closed_grouping_sets": (closed_grouping_sets, CLOSED), "unparsed_references": (unparsed_references, UNPARSED), "whitespace_f1": (whitespace_f1, WHITESPACE), "rouge_l": (rouge_l, None),
-    "bootstrap_ci": (bootstrap_ci, None), "paired_bootstrap": (paired_bootstrap, None), "run_deltas": (run_deltas, RUNS),
+    "bootstrap_ci": (bootstrap_ci, None), "paired_bootstrap": (paired_bootstrap, None), "run_deltas": (run_deltas, RUNS), "best_checkpoint": (best_checkpoint, CHECKPOINT), "spot_check_rates": (spot_check_rates, SPOT), "pilot_checks": (pilot_checks, None),
 }

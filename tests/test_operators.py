@@ -124,3 +124,58 @@ def test_code_without_the_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "quern.llm" not in p.read_text(), p
+
+
+def test_eval_reasons(spark):
+    from quern.operators import leaks as L
+
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    prefix = "z" * 200
+    train = [(1, "Q one?", base), (2, "Q two?", f"{prefix} {base}")]
+    rows = [(10, "new", "One, two three four five six seven eight nine ten eleven twelve!"), (11, "q ONE", "other"), (12, "x", f"{prefix} {base} thirteen"), (13, "y", "fresh"), (14, "z", "Fresh."), (15, "w", f"{prefix} a b c d e"), (16, "v", f"{prefix} a b c d e f"), (17, "u", None)]
+    df = lambda r: spark.createDataFrame(r, "id long, q string, a string")
+    got = {r.id: r.reason for r in L.eval_reasons(df(rows), df(train), "id").collect()}
+    assert {k: got[k] for k in range(10, 17)} == {10: "leak_ans", 11: "leak_q", 12: "leak_near", 13: None, 14: "dup_ans", 15: None, 16: "dup_near"}
+    assert set(got) == set(range(10, 18))
+
+
+def test_pilot_checks(spark):
+    log = spark.createDataFrame([(i, 3.0 - i / 10) for i in range(10)], "step int, loss double")
+    out = spark.createDataFrame([("a b c d e f", True), ("g h i j k", True)], "text string, ok boolean")
+    good = {r.check: r.passed for r in E.pilot_checks(log, out, "step", "loss", "text", "ok").collect()}
+    assert good == dict.fromkeys(("trend", "no_explosion", "finite", "language", "no_repeats"), True)
+    bad = {r.check: r.passed for r in E.pilot_checks(log.withColumn("loss", F.col("step") * 9.0 + 1), out.withColumn("text", F.lit("a b c d a b c d a b c d")), "step", "loss", "text", "ok").collect()}
+    assert not bad["trend"] and not bad["no_explosion"] and not bad["no_repeats"]
+
+
+def test_spelling_corrections(spark):
+    counts = spark.createDataFrame([("demam", 50), ("deman", 1), ("demma", 2), ("telfon", 1), ("salma", 1), ("minuman", 1), ("minum", 40), ("obat", 100)], "word string, n long")
+    caps = spark.createDataFrame([("demma", 1)], "word string, n long")
+    valid = spark.createDataFrame([("demam",), ("minum",), ("obat",)], "word string")
+    official = spark.createDataFrame([], "old string, new string")
+    got = {r.old: r.new for r in Y.corrections(counts, caps, valid, official).collect()}
+    assert got == {"deman": "demam", "telfon": "telepon"}
+
+
+def test_dictionary(spark):
+    rows = [("telepon", "telepon telepon", "telfon"), ("apotek", None, "apotik"), ("satu dua", "x", "dua"), ("atas", "a", "bawah")]
+    words, official = Y.dictionary(spark.createDataFrame(rows, "nama string, kata string, salah string"), ("nama", "kata"), "salah", "nama")
+    assert {r.word for r in words.collect()} == {"telepon", "apotek", "satu", "dua", "atas"}
+    assert {(r.old, r.new) for r in official.collect()} == {("telfon", "telepon"), ("apotik", "apotek")}
+
+
+def test_stream_keeps_what_the_table_keeps(spark, tmp_path):
+    from quern.streaming import gates as stream
+
+    path = str(tmp_path / "in")
+    spark.range(500).repartition(5).write.parquet(path)
+    gate = [G.Gate("even", (("odd", F.col("id") % 2 == 1),))]
+    out = stream.drained(stream.labelled(stream.read(spark, path, "id long"), gate))
+    assert out.count() == 500 and out.where("failed is null").count() == 250
+
+
+def test_plans_of_nothing(spark):
+    from quern.plans import curation
+
+    none = spark.createDataFrame([], "id long, q string, a string, source string")
+    assert curation.basic(none).count() == 0
