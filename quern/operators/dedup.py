@@ -122,11 +122,12 @@ def similar_to(sets: DataFrame, others: DataFrame, key: str, items: str, least:
     return members.where("k.side = 0").join(classes, "a").select(F.col("k.key").alias(key))
 
 
-def bucketed_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, prefix: int = 200) -> DataFrame:
-    """(a, b, similarity) for rows with the same first `prefix` letters and digits and similar sets of words; one row stands for equal sets of words."""
-    rows = df.select(F.col(key).alias("k"), F.substring(T.alnum(text), 1, prefix).alias("bucket"), F.array_sort(F.array_distinct(T.words(text))).alias("items"))
-    reps = rows.groupBy("bucket", "items").agg(F.min("k").alias("k"))
-    a = reps.select("bucket", F.col("k").alias("a"), "items")
-    b = reps.select("bucket", F.col("k").alias("b"), F.col("items").alias("others"))
-    joined = a.join(b, "bucket").where("a < b").withColumn("similarity", T.jaccard(F.col("items"), F.col("others")))
-    return joined.where(F.col("similarity") >= least).select("a", "b", "similarity")
+def bucketed_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, prefix: int = 200) -> tuple[DataFrame, DataFrame]:
+    """similar_pairs() of sets of words, for rows with the same first `prefix` letters and digits.
+
+    The bucket is part of every item, so sets of different buckets share nothing and a large bucket is no list of pairs.
+    """
+    bucket = F.substring(T.alnum(text), 1, prefix)
+    items = F.transform(F.array_distinct(T.words(text)), lambda w: F.xxhash64(F.col("_bucket"), w))
+    rows = df.withColumn("_bucket", bucket).select(key, F.coalesce(items, F.array().cast("array<bigint>")).alias("items"))
+    return similar_pairs(rows, key, "items", least)

@@ -64,17 +64,15 @@ def eval_reasons(rows: DataFrame, train: DataFrame, key: str, q: str = "q", a: s
     side = lambda df, n: df.select(F.struct(F.lit(n).alias("side"), F.col("k").alias("k")).alias("place"), "text")
     open_ = e.where("leak_ans is null and leak_q is null")
     both = side(train.select(F.col(key).alias("k"), F.col(a).alias("text")), 0).union(side(open_, 1))
-    near = bucketed_pairs(both, "place", "text", least).where("a.side = 0 and b.side = 1").select(F.col("b.k").alias("k"))
-    same = both.select("place", F.substring(T.alnum("text"), 1, 200).alias("bucket"), F.array_sort(F.array_distinct(T.words("text"))).alias("items"))
-    shared = same.where("place.side = 1").join(same.where("place.side = 0").select("bucket", "items").distinct(), ["bucket", "items"], "left_semi").select(F.col("place.k").alias("k"))
-    e = written(e.join(near.union(shared).distinct().withColumn("leak_near", F.lit(True)), "k", "left"), "eval")
+    pairs, members = bucketed_pairs(both, "place", "text", least)
+    linked = pairs.select("a", "b").union(pairs.select("b", "a")).union(members.select("a", F.col("a").alias("b"))).distinct()
+    trained = members.where("place.side = 0").select(F.col("a").alias("b")).distinct()
+    near = members.where("place.side = 1").join(linked.join(trained, "b").select("a").distinct(), "a").select(F.col("place.k").alias("k"))
+    e = written(e.join(near.withColumn("leak_near", F.lit(True)), "k", "left"), "eval")
     rest = e.where("leak_ans is null and leak_q is null and leak_near is null")
     first = rest.groupBy("na").agg(F.min("k").alias("first"))
-    rest = rest.join(first, "na").select("k", "text", (F.col("k") != F.col("first")).alias("dup_ans"))
-    alike = written(rest.where("not dup_ans").select("k", F.substring(T.alnum("text"), 1, 200).alias("bucket"), F.array_sort(F.array_distinct(T.words("text"))).alias("items")), "answers")
-    heads = alike.groupBy("bucket", "items").agg(F.min("k").alias("a"))
-    members = alike.join(heads, ["bucket", "items"]).select("k", "a")
-    kept = greedy_keep(bucketed_pairs(rest.where("not dup_ans"), "k", "text", least), members, "k").withColumn("stays", F.lit(True))
+    rest = written(rest.join(first, "na").select("k", "text", (F.col("k") != F.col("first")).alias("dup_ans")), "answers")
+    kept = greedy_keep(*bucketed_pairs(rest.where("not dup_ans"), "k", "text", least), "k").withColumn("stays", F.lit(True))
     out = e.join(rest.select("k", "dup_ans"), "k", "left").join(kept, "k", "left")
     reason = F.when(F.col("leak_ans"), "leak_ans").when(F.col("leak_q"), "leak_q").when(F.col("leak_near"), "leak_near").when(F.col("dup_ans"), "dup_ans").when(F.col("stays").isNull(), "dup_near")
     return out.select(F.col("k").alias(key), reason.alias("reason"))

@@ -14,8 +14,18 @@ def shuffle_key(key: Column | str, seed: int = R.SEED) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string") if isinstance(key, str) else key.cast("string"), F.lit(str(seed))))
 
 
+#: Rows up to which the first of an order are gathered in one place; more are cut off by their rank.
+GATHERED = 10_000
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    if n <= GATHERED:
+        return df.orderBy(*order).limit(n)
+    return ranked(df, order, name="_rank").where(F.col("_rank") <= n).drop("_rank")
+
+
 def top(df: DataFrame, n: int, score: str, key: str) -> DataFrame:
-    return df.orderBy(F.col(score).desc(), F.col(key)).limit(n)
+    return first_rows(df, [F.col(score).desc(), F.col(key).asc()], n)
 
 
 def top_with_borderline(df: DataFrame, n: int, score: str, key: str, band: float = R.BORDERLINE) -> DataFrame:
@@ -28,7 +38,7 @@ def top_with_borderline(df: DataFrame, n: int, score: str, key: str, band: float
 
 def sample(df: DataFrame, n: int, key: str, seed: int = R.SEED) -> DataFrame:
     """n rows without replacement."""
-    return df.withColumn("_s", shuffle_key(key, seed)).orderBy("_s", key).limit(n).drop("_s")
+    return first_rows(df.withColumn("_s", shuffle_key(key, seed)), [F.col("_s").asc(), F.col(key).asc()], n).drop("_s")
 
 
 def split(df: DataFrame, key: str, train: int = 80, val: int = 10, seed: int = R.SEED) -> DataFrame:
@@ -65,7 +75,7 @@ def stratified_reduce(df: DataFrame, stratum: str, key: str, target: int, seed:
     n = df.groupBy(F.col(stratum).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     n = n.select("_g", F.greatest(F.lit(1), half_even(F.col("_n") * target, F.lit(total))).alias("_k"))
     kept = r.join(n, F.col(stratum).eqNullSafe(F.col("_g"))).where(F.col("rank") <= F.col("_k"))
-    return kept.orderBy("_s", key).limit(target).select(*df.columns)
+    return first_rows(kept, [F.col("_s").asc(), F.col(key).asc()], target).select(*df.columns)
 
 
 def largest_remainder(df: DataFrame, stratum: str, quality: str, key: str, target: int) -> DataFrame:

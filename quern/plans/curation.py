@@ -100,9 +100,7 @@ def final(rows: DataFrame, target: int) -> DataFrame:
     r = G.survivors(rows, [G.noise_gate()]).withColumn("quality", T.readable_quality("a", F.col("composite")))
     r = written(D.best_per_key(r, F.concat_ws("|", "split", T.alnum("a")), F.col("quality"), "id"), "answers")
     order = F.struct(F.when(F.col("split") == "train", 0).otherwise(1).alias("split"), (-F.col("quality")).alias("quality"), F.col("id").alias("id"))
-    near = D.bucketed_pairs(r.withColumn("place", order), "place", "a")
-    members = r.select(order.alias("place")).withColumn("a", F.col("place"))
-    kept = D.greedy_keep(near, members, "place").select(F.col("place.id").alias("id"))
+    kept = D.greedy_keep(*D.bucketed_pairs(r.withColumn("place", order), "place", "a"), "place").select(F.col("place.id").alias("id"))
     r = written(r.join(kept, "id", "left_semi"), "unique")
     train = S.largest_remainder(r.where("split = 'train'"), "domain", "quality", "id", target)
     return train.unionByName(r.where("split <> 'train'"))

@@ -97,7 +97,7 @@ select distinct t.doc_id from members t join near on t.a = near.a join members o
 
 
 def bucketed_similar(spark, d):
-    return D.bucketed_pairs(documents(spark, d), "doc_id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return D.bucketed_pairs(documents(spark, d), "doc_id", "text")[0].select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 BUCKETED = f"""with r as (select doc_id, substr({_ALNUM.format("text")}, 1, 200) as bucket, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as items from documents),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators.selection import sample
+from quern.operators.selection import first_rows, sample
 
 MESSAGE = "array<struct<role: string, content: string>>"
 CHAT = f"messages {MESSAGE}, source string"
@@ -75,7 +75,7 @@ def sheet(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame
 
 
 def prefix(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.orderBy(key).limit(n)
+    return first_rows(df, [F.col(key).asc()], n)
 
 
 def pool(spark: SparkSession, paths: list[str], schema: str = POOL) -> DataFrame:

@@ -46,6 +46,14 @@ def test_splits_are_exact_and_disjoint(spark):
     assert n == {"train": 82, "val": 10, "test": 11}
 
 
+def test_many_first_rows(spark, monkeypatch):
+    df = spark.range(500).withColumn("x", (F.col("id") * 7919) % 500)
+    few = [r.id for r in S.top(df, 100, "x", "id").collect()]
+    monkeypatch.setattr(S, "GATHERED", 10)
+    assert sorted(r.id for r in S.top(df, 100, "x", "id").collect()) == sorted(few)
+    assert S.sample(df, 50, "id").count() == 50
+
+
 def test_oversample_reaches_share(spark):
     df = spark.range(100)
     out = S.oversample(df, F.col("id") < 10, "id", 0.25, 2)
