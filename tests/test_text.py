@@ -103,3 +103,19 @@ def test_nulls_stay_null(spark):
     df = spark.createDataFrame([(None,), ("x",)], "c string")
     got = df.select(P.without_greeting(F.col("c")).alias("g"), P.redacted(F.col("c"))["text"].alias("r"), T.clean_basic("c").alias("b")).collect()
     assert [r.g for r in got] == [None, "x"] and [r.b for r in got] == [None, "x"] and got[1].r == "x"
+
+
+def test_lead_names(spark):
+    from quern.operators import vectors as V
+
+    df = spark.createDataFrame([("Ainun Telinga berdenging sejak kemarin",), ("Vaksin Polio aman untuk bayi semua",)], "a string")
+    people = lambda t: t.withColumn("e", F.when(F.col("name") == "Ainun", F.array(F.struct(F.lit("PER").alias("entity_group"), F.lit(0.6).alias("score"), F.col("name").alias("word")))).otherwise(F.array().cast("array<struct<entity_group:string,score:double,word:string>>")))
+    names = [r.name for r in V.lead_names(df, "a", people, "e").collect()]
+    assert names == ["Ainun"]
+    got = [r[0] for r in df.select(P.lead_names_stripped(names)(F.col("a"))).collect()]
+    assert got == ["Telinga berdenging sejak kemarin", "Vaksin Polio aman untuk bayi semua"]
+
+
+def test_sentences_and_bullets(spark):
+    assert one(spark, "Satu. Dua kata ini! Tiga", T.sentence_of("c", "kata")) == ("Dua kata ini!",)
+    assert one(spark, "Langkah: 1. minum 2. makan 3. tidur", T.bullets("c"))[0].count("\n- ") == 3
