@@ -92,6 +92,20 @@ def residual_artefacts(spark, d):
     return flag_counts(documents(spark, d), A.residual_flags("text"), ("lang",))
 
 
+RESIDUAL = (
+    "with f as (select lang, count(*) as rows, "
+    + ", ".join(
+        f"count(*) filter (where {c}) as {n}"
+        for n, c in {
+            "html": "regexp_matches(text, '<[A-Za-z/][^>]*>')", "url": r"regexp_matches(text, 'https?://|www\.')", "email": r"regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z]')", "phone": r"regexp_matches(text, '(?:\+62|62|0)8\d{7,11}')",
+            "placeholder": r"regexp_matches(text, '(?i)[\[{<]\s*nama\s*[\]}>]')", "entity": "regexp_matches(text, '&[a-z]+;|&#[0-9]+;')", "spaces": "regexp_matches(text, ' {2,}')", "triple": "regexp_matches(text, 'a{3}|e{3}|i{3}|o{3}|u{3}')",
+            "replacement": "contains(text, chr(65533))", "greeting": r"regexp_matches(text, '(?i)^\s*(hai|halo|hello|hi|dear)[\s,!.]')", "repeated_mark": "regexp_matches(text, '[!?.,;:]{3,}')", "glued": "regexp_matches(text, '[a-z][A-Z]')",
+        }.items()
+    )
+    + " from documents group by lang) unpivot f on html, url, email, phone, placeholder, entity, spaces, triple, replacement, greeting, repeated_mark, glued into name flag value n"
+)
+
+
 def validation(spark, d):
     """Expected counts, fields and leaks of splits, as checks."""
     s = split_documents(spark, d).select("split", "text", F.md5(T.alnum("text")).alias("sig"))
@@ -190,7 +204,7 @@ def spelling_reverted(spark, d):
 
 QUERIES = {
     "detectors": (detectors, DETECTORS), "detector_rates": (detector_rates, RATES), "aligned_counts": (aligned_counts, ALIGNED), "aligned_heads": (aligned_heads, None), "restored_heads": (restored_heads, None),
-    "residual_artefacts": (residual_artefacts, None), "validation": (validation, CHECKS), "validation_verdict": (validation_verdict, VERDICT), "word_frequency": (word_frequency, FREQUENCY), "inner_capitals": (inner_capitals, None),
+    "residual_artefacts": (residual_artefacts, RESIDUAL), "validation": (validation, CHECKS), "validation_verdict": (validation_verdict, VERDICT), "word_frequency": (word_frequency, FREQUENCY), "inner_capitals": (inner_capitals, None),
     "dictionary_words": (dictionary_words, DICTIONARY), "known_stems": (known_stems, STEMS), "edit_neighbours": (edit_neighbours, EDITS), "spelling_corrections": (spelling_corrections, None), "spelling_changes": (spelling_changes, None),
     "spelling_reverted": (spelling_reverted, None),
 }

@@ -12,6 +12,7 @@ from quern.plans.tables import MESSAGES, PAIRS, conversations, documents, pairs
 
 #: Patterns that the tables at hand have, where the fixed ones are of another language.
 SPAM, RUDE, DEFLECT, PLATFORM, HELLO, LINK = "(?i)(licen[cs]e|copyright)", "(?i)(lorem)", "(?i)(?:^|[^a-z])(the|an)[^.!?]{0,60} (and|or) ", "(?i)(licen[cs]e|subscribe)", "(?i)(^|[^a-z])(in|le|de) ", "(?i)(https?://|www[.]|@[a-z]+[.])"
+PROFILES = {"en": ("the", "of", "and", "in", "to"), "fr": ("le", "la", "les", "de", "et"), "de": ("der", "die", "und", "das", "ein"), "es": ("el", "los", "que", "y", "en")}
 WORDS = ("the", "and", "of", "in", "is", "la", "de", "und")
 
 
@@ -151,14 +152,24 @@ def language_gate(spark, d):
     """Told by profiles of frequent words, for want of a model."""
     from quern.operators.vectors import by_profile
 
-    words = {"en": ("the", "of", "and", "in", "to"), "fr": ("le", "la", "les", "de", "et"), "de": ("der", "die", "und", "das", "ein"), "es": ("el", "los", "que", "y", "en")}
-    p = by_profile(words, "a", "a")(by_profile(words, "q", "q")(pairs(spark, d)))
+    p = by_profile(PROFILES, "a", "a")(by_profile(PROFILES, "q", "q")(pairs(spark, d)))
     return p.select("conv_id", "turn", "a_lang", "a_prob", G.first_failed([G.language_gate("q_lang", "q_prob", "a_lang", "a_prob", ("en",))]).alias("failed"))
 
 
+def _told(c: str, name: str) -> str:
+    hits = {k: f"len(list_filter(regexp_extract_all(lower({c}), '[' || chr(92) || 'p{{L}}]+'), lambda w: w in {v}))" for k, v in PROFILES.items()}
+    most, total = f"greatest({', '.join(hits.values())})", " + ".join(hits.values())
+    lang = f"case when length(trim({c})) < 3 then 'unknown' when {most} = 0 then 'unknown' {' '.join(f"when {n} = {most} then '{k}'" for k, n in hits.items())} end"
+    return f"{lang} as {name}_lang, case when {total} > 0 then {most}::double / ({total}) else 0.0 end as {name}_prob"
+
+
+LANGUAGE = f"""with {PAIRS}, t as (select conv_id, turn, {_told("q", "q")}, {_told("a", "a")} from pairs)
+select conv_id, turn, a_lang, a_prob, case when a_lang <> 'en' or a_prob < 0.65 then 'G3_language:answer' when q_lang <> 'en' or q_prob < 0.3 then 'G3_language:question' end as failed from t""".replace("{{", "{").replace("}}", "}")
+
+
 QUERIES = {
     "qa_pairs": (qa_pairs, f"with {PAIRS} select * from pairs"), "role_views": (role_views, ROLE_VIEWS), "chat_render": (chat_render, CHAT_RENDER), "merge_system_prompt": (merge_system_prompt, MERGE_SYSTEM),
     "inference_prompts": (inference_prompts, INFERENCE), "row_validity": (row_validity, ROW_VALIDITY), "qa_gates": (qa_gates, QA_GATES), "qa_gate_funnel": (qa_gate_funnel, QA_FUNNEL), "noise_reasons": (noise_reasons, NOISE),
-    "echo_pairs": (echo_pairs, ECHO), "person_gate": (person_gate, None), "language_gate": (language_gate, None),
+    "echo_pairs": (echo_pairs, ECHO), "person_gate": (person_gate, None), "language_gate": (language_gate, LANGUAGE),
 }
 

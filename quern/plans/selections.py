@@ -89,6 +89,11 @@ def oversample(spark, d):
     return S.oversample(documents(spark, d).select("doc_id", "lang"), F.col("lang") == "es", "doc_id", 0.25).select("doc_id", F.col("copy").cast("long").alias("copy"))
 
 
+OVERSAMPLE = f"""with c as (select count(*) filter (where lang = 'es') as n, count(*) filter (where lang <> 'es') as m from documents), g as (select n, m, least(floor(m * 0.25::double / 0.75::double), n * 2) - n as extra from c),
+r as (select doc_id, row_number() over (order by {_KEY}, doc_id) as rank from documents where lang = 'es')
+select doc_id, 0::bigint as copy from documents union all select doc_id, 1::bigint from r cross join g where n > 0 and n::double / (n + m) < 0.25 and rank <= extra"""
+
+
 def quota_fill(spark, d):
     return S.quota_fill(documents(spark, d).select("doc_id", "lang", "n_chars"), F.col("lang") == "de", "doc_id", "n_chars", 600_000).select("doc_id")
 
@@ -98,5 +103,5 @@ select doc_id from r where coalesce(before, 0) < 600000"""
 
 QUERIES = {
     "top_scored": (top_scored, TOP), "top_with_borderline": (top_with_borderline, BORDERLINE), "random_sample": (random_sample, SAMPLE), "split_80_10_10": (split_80_10_10, SPLIT_3), "stratified_split": (stratified_split, STRATIFIED),
-    "stratified_reduce": (stratified_reduce, REDUCE), "largest_remainder": (largest_remainder, REMAINDER), "best_of_stratum": (best_of_stratum, BEST), "oversample": (oversample, None), "quota_fill": (quota_fill, QUOTA),
+    "stratified_reduce": (stratified_reduce, REDUCE), "largest_remainder": (largest_remainder, REMAINDER), "best_of_stratum": (best_of_stratum, BEST), "oversample": (oversample, OVERSAMPLE), "quota_fill": (quota_fill, QUOTA),
 }
