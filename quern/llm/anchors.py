@@ -9,7 +9,8 @@ sharded by key; no pair of documents is ever listed.
 Keys that occur once leave at once. Of the others, a run's tokens (its segment) go to the shard of its
 key, equal segments as one row with their first document: a passage that a third of all documents share
 is one row for each task before the shuffle. What the shard finds out holds for the first document;
-the segments of all other documents are known to repeat it.
+the segments of all other documents are known to repeat it. A key that over HOT documents have with ever other
+surroundings (a common line) is dealt out by more of the windows' content.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffers, column, keyed, slices, word_bounds
+from quern.llm.common import buffers, column, keyed, slices, word_bounds, written
 
 #: Bytes of segments that a task remembers in order to send equal ones once.
 COMBINED = 48 << 20
+#: Documents with a key beyond which its windows are dealt out by more of their content, in RANGES ranges of offsets;
+#: such keys, 9 bytes each, that are broadcast.
+HOT, RANGES, FEW_HOT = 1000, 8, 100_000
 #: Bytes of text that are worked on at once: the arrays stay in the cache.
 SLICE = 1 << 18
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -169,9 +174,13 @@ class Recurring:
         self.docs = keyed(docs, id_col, text_col, *row).repartition("k")
         # a key's rows meet in its task, save those of which the sender knows that they recur
         met = F.when(F.col("known"), F.xxhash64("k")).otherwise(F.col("key"))
-        found = self.docs.mapInArrow(_keys(length, gram, words, within), "key long, k long, known boolean").repartition(met)
-        recurring = found.sortWithinPartitions("key").mapInArrow(_recurring(within), "key long, k long")
-        self.keys = recurring.groupBy("k").agg(F.collect_set("key").alias("keys"))
+        found = keyed(docs, id_col, text_col).mapInArrow(_keys(length, gram, words, within), "key long, k long, known boolean").repartition(met)
+        recurring = written(found.sortWithinPartitions("key").mapInArrow(_recurring(within), "key long, k long"), "recurring")
+        often = recurring.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
+        often = written(often, "hot")
+        few = often.count() <= FEW_HOT
+        flagged = recurring.join(F.broadcast(often) if few else often, "key", "left")
+        self.keys = flagged.groupBy("k").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
 
     def segments(self) -> DataFrame:
         """(key, segment, k, lo, n, off): the distinct segments with their first document and first place in it.
@@ -249,18 +258,42 @@ class Recurring:
 
 
 def chosen(t: Tokens, part: pa.RecordBatch, length: int, gram: int):
-    """Of each text with recurring keys: its number and the runs (lo, n, off, key) that have them."""
+    """Of each text with recurring keys: its number and the runs (lo, n, off, key) that have them.
+
+    A run whose key is hot comes as several: the windows with the anchor in one range of offsets, under a key of their
+    own, made of all the tokens that windows of that range have in common. Equal windows stay together, and what a
+    hot key's documents have around it tells them apart.
+    """
     text, lo, n, off, key = t.runs(length, gram)
     edge = np.searchsorted(text, np.arange(part.num_rows + 1))
-    keys = column(part, "keys")
+    keys, hots = column(part, "keys"), column(part, "hot")
+    width = -(-(length - gram + 1) // RANGES)
     for i in np.flatnonzero(np.diff(edge)):
         own = keys[int(i)].values
         if own is None or not len(own):
             continue
         a, b = edge[i], edge[i + 1]
         at = np.flatnonzero(np.isin(key[a:b], own.to_numpy())) + a
-        if len(at):
+        if not len(at):
+            continue
+        hot = hots[int(i)].values
+        some = np.isin(key[at], hot.to_numpy()) if len(hot) else np.zeros(len(at), bool)
+        if not some.any():
             yield int(i), lo[at], n[at], off[at], key[at]
+            continue
+        cold = at[~some]
+        runs = [(lo[cold], n[cold], off[cold], key[cold])]
+        more = []
+        for j in at[some].tolist():
+            place = int(lo[j] + off[j])
+            first, last = int(off[j]), int(off[j] - n[j] + 1)  # offsets of the anchor in the first and the last window
+            for r in range(last // width, first // width + 1):
+                high, low = min(first, (r + 1) * width - 1), max(last, r * width)
+                begin, end = place - r * width, place - ((r + 1) * width - 1) + length
+                finer = xxhash.xxh64_intdigest(t.segment(begin, max(0, end - begin)), r ^ (int(key[j]) & 0xFFFFFFFF))
+                more.append((place - high, high - low + 1, high, finer - (1 << 63)))
+        runs.append(tuple(np.array(x, np.int64) for x in zip(*more, strict=True)))
+        yield int(i), *(np.concatenate(x) for x in zip(*runs, strict=True))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], limit: int):

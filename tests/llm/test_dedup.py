@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from quern.llm import neardup, phrase_dedup, suffix_dedup
+from quern.llm import anchors, neardup, phrase_dedup, suffix_dedup
 from quern.llm.anchors import Tokens
 
 
@@ -51,6 +51,17 @@ def test_phrase_dedup(spark, seed):
     assert got == phrase_dedup.brute(texts)
 
 
+@pytest.mark.parametrize("hot", [0, 2])
+def test_hot_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(anchors, "HOT", hot)
+    texts = corpus(8)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.substring_dedup(frame(spark, texts)).collect()}
+    assert got == suffix_dedup.brute(texts)
+    monkeypatch.setattr(anchors, "FEW_HOT", -1)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in phrase_dedup.phrase_dedup(frame(spark, texts)).collect()}
+    assert got == phrase_dedup.brute(texts)
+
+
 def test_other_lengths(spark):
     texts = corpus(5, 30)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in phrase_dedup.phrase_dedup(frame(spark, texts), 20, 8).collect()}
