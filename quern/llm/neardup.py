@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: i
     if bits % 64 or bits % blocks:
         raise ValueError("bits must be a multiple of 64 and of blocks")
     prints = written(fingerprints(docs, shingle, bits, id_col, text_col), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("k").alias("node"))
+    # written, so that the join below has a shuffle on both sides and Spark can split a fingerprint that many share
+    nodes = written(prints.groupBy("fp").agg(F.min("k").alias("node")), "nodes")
     size, hexed = bits // blocks, F.hex("fp")
     if size % 4:
         raise ValueError("blocks must have a multiple of 4 bits")
