@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 from quern.llm.common import NULL_ID, WORD, written
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
+#: Sources up to which their plan, a row of some 100 bytes for each, is broadcast.
+FEW_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -91,7 +93,9 @@ def mix_sources(
     last = cut.join(inside, F.col("_cut").eqNullSafe(F.col("_source")), "left").select(
         "_cut", F.coalesce("last._draw", "bucket").alias("_last"), F.coalesce("last._id", F.lit(NULL_ID)).alias("_last_id")
     )
-    plan = targets.join(last, F.col("_to").eqNullSafe(F.col("_cut")), "left").drop("_cut")
+    plan = written(targets.join(last, F.col("_to").eqNullSafe(F.col("_cut")), "left").drop("_cut"), "plan")
+    if plan.count() <= FEW_SOURCES:  # else a join, in which Spark splits the sources that many rows have
+        plan = F.broadcast(plan)
     rows = sized.withColumn("_source", F.col(source_col)) if keep_text else narrow
     extra = F.coalesce((F.col("_draw") < F.col("_last")) | ((F.col("_draw") == F.col("_last")) & (F.col("_id") <= F.col("_last_id"))), F.lit(False))
     out = rows.join(plan, F.col("_source").eqNullSafe(F.col("_to")), "left").withColumn("mix_repeats", F.col("_whole") + extra.cast("int"))
