@@ -61,8 +61,8 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def stretches(docs: DataFrame) -> tuple[Column, Column]:
-    """For rows with k: the number of each one's stretch of the order by k, and whether k is the least in it.
+def stretches(docs: DataFrame) -> tuple[Column, Column, int]:
+    """For rows with k: the number of each one's stretch of the order by k, whether k is the least in it, and the last number.
 
     Bounds are quantiles, STRETCHES at most, and looked up by bisection.
     """
@@ -78,18 +78,16 @@ def stretches(docs: DataFrame) -> tuple[Column, Column]:
     held = F.split(F.lit(",".join(map(str, [least or 0, *bounds]))), ",").cast("array<bigint>")
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))]) if bounds else F.array().cast("array<int>")
     number = F.aggregate(steps, F.lit(0), lambda p, s: F.when(F.coalesce(F.get(held, p + s) <= F.col("k"), F.lit(False)), p + s).otherwise(p))
-    return number, F.get(held, F.col("stretch")) == F.col("k")
+    return number, F.get(held, F.col("stretch")) == F.col("k"), len(bounds)
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp) of every text, of the text with its last quarter replaced by the
     beginning of the next document's, and of that next document; after the last comes the first."""
     base = keyed(docs, id_col, text_col)
-    number, first = stretches(base)
+    number, first, last = stretches(base)
     rows = base.withColumn("stretch", number).withColumn("first", first)
-    count = F.max("stretch").alias("last")
-    last = rows.select(count).first()["last"]
-    before = F.when(F.col("stretch") == 0, F.lit(last or 0)).otherwise(F.col("stretch") - 1)
+    before = F.when(F.col("stretch") == 0, F.lit(last)).otherwise(F.col("stretch") - 1)
     # the first document of a stretch also ends the stretch before it, to be the next one there
     places = F.when(F.col("first"), F.array(F.struct(F.col("stretch").alias("s"), F.lit(False).alias("tail")), F.struct(before.alias("s"), F.lit(True).alias("tail"))))
     places = places.otherwise(F.array(F.struct(F.col("stretch").alias("s"), F.lit(False).alias("tail"))))
