@@ -115,3 +115,95 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def plain_languages(rows):
+    """Naive Bayes with plain counters; rows of (doc_id, text, lang)."""
+    import math
+    import zlib
+    from collections import Counter, defaultdict
+
+    from quern.llm import langid
+
+    def bins(text):
+        points = [p + 32 if 65 <= p <= 90 or 0xC0 <= p <= 0xDE and p != 0xD7 else p for p in map(ord, text)]
+        points = [32 if p < 97 or 122 < p < 0xAA else p for p in points]
+        for order in langid.ORDERS:
+            for i in range(len(points) - order + 1):
+                h = order
+                for p in points[i : i + order]:
+                    h = (h ^ p) * 0x9E3779B1 % 2**32
+                    h ^= h >> 15
+                yield h % langid.BINS
+
+    counts, docs, cache = defaultdict(Counter), Counter(), {k: Counter(bins(t or "")) for k, t, _ in rows}
+    for k, t, lang in rows:
+        if zlib.crc32(str(k).encode()) % 4 != 2 and lang is not None and t is not None:
+            docs[lang] += 1
+            counts[lang].update(cache[k])
+    total = {x: sum(c.values()) + langid.SMOOTH * langid.BINS for x, c in counts.items()}
+    out = {}
+    for k, t, _ in rows:
+        score = {x: math.log(docs[x] / sum(docs.values())) + sum(n * math.log((counts[x][b] + langid.SMOOTH) / total[x]) for b, n in cache[k].items()) for x in counts}
+        out[k] = max(sorted(score), key=score.get) if any(c.isalpha() for c in t or "") else "und"
+    return out
+
+
+def plain_groups(texts):
+    """Components of 512-bit fingerprints of five-word shingles, pair by pair."""
+
+    def mix(x):
+        x = x * 0x9E3779B97F4A7C15 % 2**64
+        x = (x ^ x >> 31) * 0xD6E8FEB86659FD93 % 2**64
+        return x ^ x >> 29
+
+    fps = {}
+    for k, t in texts.items():
+        hs = neardup.shingle_hashes("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode(), 5)
+        fps[k] = plain_bits(hs, mix)
+    blocks = {k: [f >> 16 * b & 0xFFFF for b in range(32)] for k, f in fps.items()}
+    label = {k: k for k in texts}
+    links = [(a, b) for a in texts for b in texts if a < b and (fps[a] ^ fps[b]).bit_count() <= 80 and any(x == y for x, y in zip(blocks[a], blocks[b], strict=True))]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    return label
+
+
+def plain_bits(hs, mix):
+    out = 0
+    for plane in range(8):
+        own = [h if plane == 0 else mix((h + plane) % 2**64) for h in hs]
+        ones = [0] * 64
+        for h in own:
+            while h:
+                low = h & -h
+                ones[low.bit_length() - 1] += 1
+                h ^= low
+        out = out << 64 | sum(1 << b for b in range(64) if 2 * ones[b] > len(own))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, small_dir):
+    from quern.llm import mixing
+
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()}
+    told = plain_languages([(k, r.text, r.lang) for k, r in rows.items()])
+    texts = {k: rows[k].text for k in rows if told[k] != "und"}
+    label = plain_groups(texts)
+    texts = {k: t for k, t in texts.items() if label[k] == k}
+    cut = phrase_dedup.brute(texts)
+    texts = {k: (kept if removed else texts[k]) for k, (n, removed, kept) in cut.items() if not removed or removed < n}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect()}
+    texts = {k: t for k, t in texts.items() if not decontam.brute({k: t}, items)[k][1]}
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", [(k, t, rows[k].source) for k, t in texts.items()])
+    want = {k: (texts[k], size, target, taken) for k, size, _, target, taken in con.sql(mixing.SQL).fetchall() if taken or not size}
+    got = {r.doc_id: (r.text, r.mix_size, r.mix_target, r.mix_size * r.mix_repeats) for r in corpus_pipeline.run(spark, small_dir).collect()}
+    assert got == want
