@@ -127,7 +127,7 @@ def bucketed_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, prefi
 
     The bucket is part of every item, so sets of different buckets share nothing and a large bucket is no list of pairs.
     """
-    bucket = F.substring(T.alnum(text), 1, prefix)
-    items = F.transform(F.array_distinct(T.words(text)), lambda w: F.xxhash64(F.col("_bucket"), w))
-    rows = df.withColumn("_bucket", bucket).select(key, F.coalesce(items, F.array().cast("array<bigint>")).alias("items"))
-    return similar_pairs(rows, key, "items", least)
+    # written, or the bucket would be made again for every word
+    rows = written(df.select(key, F.substring(T.alnum(text), 1, prefix).alias("_bucket"), F.array_distinct(T.words(text)).alias("_words")), "buckets")
+    items = F.transform("_words", lambda w: F.xxhash64(F.col("_bucket"), w))
+    return similar_pairs(rows.select(key, F.coalesce(items, F.array().cast("array<bigint>")).alias("items")), key, "items", least)
