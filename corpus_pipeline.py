@@ -13,15 +13,12 @@ from quern.llm.common import written
 from quern.llm.decontam import decontaminate
 from quern.llm.langid import identify_languages
 from quern.llm.mixing import mix_sources
-from quern.llm.neardup import near_duplicates
 from quern.llm.phrase_dedup import phrase_dedup
+from quern.llm.similar import similar_groups
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least probability of the language told.
 SURE = 0.5
-#: Shingles of five words on 512 bits: a similarity of 0.8 is a cosine of 0.89, which differs in 78 bits on average.
-#: By 32 blocks of 16 bits a pair of similarity 0.8 meets with probability 0.91, one of 0.9 with 0.998.
-NEAR = {"shingle": 5, "bits": 512, "radius": 80, "blocks": 32}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies stays; rows that share a doc_id stay or go together."""
-    groups = near_duplicates(docs.select("doc_id", "text"), **NEAR)
+    """The document with the smallest doc_id of each group stays, by links of an exact similarity of five-word shingles of 0.8 or more; rows that share a doc_id stay or go together."""
+    groups = similar_groups(docs.select("doc_id", "text"), 5)
     later = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     return docs.select(*COLUMNS).join(later, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 
@@ -65,7 +62,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: Naive Bayes and the trie join aren't expressible in SQL.
+#: Naive Bayes and the joins of phrases aren't expressible in SQL.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,210 @@
+"""Groups of texts whose sets of shingles have a Jaccard similarity of 4/5 or more, exactly.
+
+Lossless prefix filter: under any one order of all shingles, two sets that similar share one of their first
+n - ceil(4n/5) + 1. The order here is by hash, with shingles that many documents have at the end; which those are is
+told from some of the documents, which changes how many candidates there are and never what is found. Sets that meet in
+a shingle are candidates if their sizes and places leave room for the overlap, and each candidate's similarity is
+computed from the whole sets before it is a link. Where many sets meet, each is first compared with the next one; of
+what that links, pairs are no longer candidates, so a large group isn't all its pairs.
+
+Defined results: a null text is empty, texts without words are equal; a null doc_id comes before all others; rows that
+share a doc_id are one document; other columns are ignored; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.llm.common import buffers, column, id_back, keyed, lower_ascii, slices, written
+from quern.llm.neardup import components, shingle_hashes
+
+#: Documents from which common shingles are told, every so many at most, and how many shingles may be common.
+SEEN, EVERY, COMMON = 20_000, 16, 1 << 17
+#: Rows of shingles that are taken together.
+ROWS = 1 << 18
+
+
+def shingle_set(raw: bytes, size: int) -> np.ndarray:
+    """The different hashes, as signed numbers in order."""
+    return np.unique(np.array(shingle_hashes(raw, size), np.uint64).view(np.int64))
+
+
+def similar(n: int, m: int, both: int) -> bool:
+    return 9 * both >= 4 * (n + m)
+
+
+def _sets(size: int, row):
+    """mapInArrow over (k, text): row(k, set) gives the values of a row."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                at, data = buffers(column(part, "text"))
+                raw = lower_ascii(data).tobytes()
+                sets = [shingle_set(raw[a:b], size) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield row(column(part, "k"), sets)
+
+    return run
+
+
+def _digest(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+
+
+def _common(texts: DataFrame, size: int) -> np.ndarray:
+    """Shingles that many documents have, the rarest first."""
+    every = min(EVERY, max(1, texts.count() // SEEN))
+    some = texts.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0)
+    items = some.mapInArrow(_sets(size, lambda k, sets: pa.RecordBatch.from_arrays([_lists(sets)], ["items"])), "items array<long>")
+    n = items.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(3, 32 // every))
+    top = n.orderBy(F.desc("n"), "item").limit(COMMON).toArrow()
+    return top.column("item").to_numpy()[::-1].copy()
+
+
+def prefix(s: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of the set in the order; known: common shingles sorted, rank: their places."""
+    n = len(s)
+    if not n:
+        return s
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        hot = known[at] == s
+        s = np.concatenate([s[~hot], s[hot][np.argsort(rank[at[hot]])]])
+    return s[: n - (4 * n + 4) // 5 + 1]
+
+
+def meeting(key, d, n, at, group=None, first: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (i, j) of one key whose sets may be similar and are of different groups, with the keys; rows are sorted by key and n.
+
+    first: only the next such j of each i.
+    """
+    out, live, step = [], np.arange(len(key)), 0
+    while len(live):
+        step += 1
+        live = live[live + step < len(key)]
+        j = live + step
+        live = live[(key[live] == key[j]) & (4 * n[j] <= 5 * n[live])]
+        j = live + step
+        ok = 9 * np.minimum(n[live] - at[live], n[j] - at[j]) >= 4 * (n[live] + n[j])
+        if group is not None:
+            ok &= group[live] != group[j]
+        out.append((live[ok], j[ok]))
+        if first:
+            live = live[~ok]
+    i, j = (np.concatenate([np.zeros(0, np.int64), *(x[side] for x in out)]) for side in (0, 1))
+    return i, j, key[i]
+
+
+def _whole_keys(batches):
+    """Tables of whole keys from batches sorted by key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < ROWS:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        key = t.column("item").to_numpy()
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        if cut:
+            yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _shared(batches):
+    """Rows of keys by which any sets meet."""
+    for t in _whole_keys(batches):
+        key, d, n, at = (t.column(c).to_numpy() for c in ("item", "d", "n", "at"))
+        kept = np.isin(key, meeting(key, d, n, at, first=True)[2])
+        yield from t.filter(pa.array(kept)).to_batches()
+
+
+def _candidates(first: bool):
+    def run(batches):
+        for t in _whole_keys(batches):
+            key, d, n, at, group = (t.column(c).to_numpy() for c in ("item", "d", "n", "at", "component"))
+            i, j, _ = meeting(key, d, n, at, group, first)
+            uv = np.unique(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(uv[0]), pa.array(uv[1])], ["u", "v"])
+
+    return run
+
+
+def _verified(batches):
+    for batch in batches:
+        sides = []
+        for c in ("us", "vs"):
+            at, data = buffers(column(batch, c))
+            sides.append([np.frombuffer(data[a:b].tobytes(), np.int64) for a, b in zip(at[:-1], at[1:], strict=True)])
+        ok = [similar(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))) for a, b in zip(*sides, strict=True)]
+        yield pa.RecordBatch.from_arrays([column(batch, "u"), column(batch, "v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document with the smallest doc_id that links of similarity 4/5 or more reach from it."""
+    texts = keyed(docs, id_col, text_col)
+    common = _common(texts, shingle)
+    order = np.argsort(common)
+    known, rank = common[order], order
+
+    def rows(k, sets):
+        return pa.RecordBatch.from_arrays([k, pa.array([_digest(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), _lists([prefix(s, known, rank) for s in sets])], ["k", "d", "n", "items"])
+
+    prints = written(texts.mapInArrow(_sets(shingle, rows), "k long, d long, n long, items array<long>"), "prefixes")
+    # equal sets are one node, read from its smallest document
+    nodes = written(prints.groupBy("d").agg(F.min("k").alias("k")), "nodes")
+    one = prints.join(nodes, ["d", "k"]).dropDuplicates(["d"])
+    spread = one.select("d", "n", F.posexplode("items").alias("at", "item"))
+    by_key = lambda df: df.repartition("item").sortWithinPartitions("item", "n", "d")
+    schema = "d long, n long, at int, item long"
+    shared = written(by_key(spread).mapInArrow(_shared, schema), "shared")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        ends = written(pairs.selectExpr("explode(array(u, v)) as d").distinct(), "ends")
+        read = nodes.join(ends, "d", "left_semi").select("k").distinct()
+        row = lambda k, sets: pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["d", "s"])
+        sets = texts.join(read, "k", "left_semi").mapInArrow(_sets(shingle, row), "d long, s binary")
+        sets = written(sets.join(ends, "d", "left_semi").dropDuplicates(["d"]), "sets")
+        both = pairs.join(sets.selectExpr("d as u", "s as us"), "u").join(sets.selectExpr("d as v", "s as vs"), "v")
+        return written(both.select("u", "v", "us", "vs").mapInArrow(_verified, "u long, v long"), "links")
+
+    # rows that share a doc_id
+    edges = prints.groupBy("k").agg(F.min("d").alias("u"), F.collect_set("d").alias("ds")).where(F.size("ds") > 1).select("u", F.explode("ds").alias("v"))
+    near = written(by_key(shared.withColumn("component", F.col("d"))).mapInArrow(_candidates(True), "u long, v long").distinct(), "candidates")
+    edges = written(edges.union(links(near)), "links")
+    groups = components(edges).withColumnRenamed("node", "d")
+    labelled = shared.join(groups, "d", "left").withColumn("component", F.coalesce("component", "d"))
+    rest = by_key(labelled).mapInArrow(_candidates(False), "u long, v long").distinct()
+    rest = written(rest.join(near, ["u", "v"], "left_anti"), "candidates")
+    groups = components(edges.union(links(rest))).withColumnRenamed("node", "d")
+    classes = nodes.join(groups, "d", "left").select("d", "k", F.coalesce("component", "d").alias("component"))
+    least = classes.groupBy("component").agg(F.min("k").alias("low"))
+    return prints.select("k", "d").join(classes.join(least, "component").select("d", "low"), "d").select(id_back(name=id_col), id_back("low", "component_id"))
+
+
+def brute(texts: dict[int, str | None], size: int = 5) -> dict[int, int]:
+    """The component of every document, from the similarity of every pair; for tests."""
+    sets = {k: set(shingle_set("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode(), size).tolist()) for k, t in texts.items()}
+    label = {k: k for k in texts}
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    return label
