@@ -91,6 +91,16 @@ def similar_pairs(sets: DataFrame, key: str, items: str, least: float) -> DataFr
     return pairs.where(F.col("similarity") >= least).select("a", "b", "similarity"), members
 
 
+def class_members(sets: DataFrame, key: str, items: str) -> DataFrame:
+    """(key, a): each row with the smallest key of its class of equal sets, as similar_pairs() has them."""
+    base = written(sets.select(F.col(key).alias("k"), F.md5(F.array_join(F.transform(F.array_sort(items), lambda x: x.cast("string")), ",")).alias("klass")), "classes")
+    return base.join(base.groupBy("klass").agg(F.min("k").alias("a")), "klass").select(F.col("k").alias(key), "a")
+
+
+def with_class_size(members: DataFrame) -> DataFrame:
+    return members.join(members.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a").select(*members.columns, "n")
+
+
 def greedy_keep(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Keys that stay if rows are taken in order of key and one goes if a row that stayed before is similar to it.
 
@@ -122,12 +132,17 @@ def similar_to(sets: DataFrame, others: DataFrame, key: str, items: str, least:
     return members.where("k.side = 0").join(classes, "a").select(F.col("k.key").alias(key))
 
 
+def bucketed_sets(df: DataFrame, key: str, text: str, prefix: int = 200) -> DataFrame:
+    """(key, items): the words of each row, with its first `prefix` letters and digits, its bucket, as part of every item."""
+    # written, or the bucket would be made again for every word
+    rows = written(df.select(key, F.substring(T.alnum(text), 1, prefix).alias("_bucket"), F.array_distinct(T.words(text)).alias("_words")), "buckets")
+    items = F.transform("_words", lambda w: F.xxhash64(F.col("_bucket"), w))
+    return rows.select(key, F.coalesce(items, F.array().cast("array<bigint>")).alias("items"))
+
+
 def bucketed_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, prefix: int = 200) -> tuple[DataFrame, DataFrame]:
     """similar_pairs() of sets of words, for rows with the same first `prefix` letters and digits.
 
     The bucket is part of every item, so sets of different buckets share nothing and a large bucket is no list of pairs.
     """
-    # written, or the bucket would be made again for every word
-    rows = written(df.select(key, F.substring(T.alnum(text), 1, prefix).alias("_bucket"), F.array_distinct(T.words(text)).alias("_words")), "buckets")
-    items = F.transform("_words", lambda w: F.xxhash64(F.col("_bucket"), w))
-    return similar_pairs(rows.select(key, F.coalesce(items, F.array().cast("array<bigint>")).alias("items")), key, "items", least)
+    return similar_pairs(bucketed_sets(df, key, text, prefix), key, "items", least)

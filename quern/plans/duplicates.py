@@ -72,6 +72,15 @@ common as (select x.a, y.a as b, x.n, y.n as m, count(*) as c from one x join on
 select a, b, round(c::double / (n + m - c), 6) as similarity from common where c::double / (n + m - c) >= 0.8"""
 
 
+def near_members(spark, d):
+    """Every document that has a shingle with the first of its class, by which near_pairs has the class, and the size of the class."""
+    sets = documents(spark, d).select("doc_id", D.shingles("text", 3, "[a-z0-9]+").alias("items"))
+    return D.with_class_size(D.class_members(sets.where(F.size("items") > 0), "doc_id", "items"))
+
+
+NEAR_MEMBERS = f"""with {_SHINGLES} select s.doc_id, reps.a, count(*) over (partition by reps.a) as n from s join reps using (items)"""
+
+
 def near_greedy(spark, d):
     sets = documents(spark, d).select("doc_id", D.shingles("text", 3, "[a-z0-9]+").alias("items"))
     return D.greedy_keep(*D.similar_pairs(sets, "doc_id", "items", 0.8), "doc_id")
@@ -106,6 +115,16 @@ p as (select x.k as a, y.k as b, len(list_intersect(x.items, y.items)) as c, len
 select a, b, round(c::double / (n + m - c), 6) as similarity from p where n + m > 0 and c::double / (n + m - c) >= 0.8"""
 
 
+def bucketed_members(spark, d):
+    """Every document that has a word with the first of its bucket and set of words, by which bucketed_similar has them, and how many those are."""
+    sets = D.bucketed_sets(documents(spark, d), "doc_id", "text")
+    return D.with_class_size(D.class_members(sets.where(F.size("items") > 0), "doc_id", "items"))
+
+
+BUCKETED_MEMBERS = f"""with r as (select doc_id, substr({_ALNUM.format("text")}, 1, 200) as bucket, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as items from documents),
+m as (select doc_id, min(doc_id) over (partition by bucket, items) as a from r where len(items) > 0) select doc_id, a, count(*) over (partition by a) as n from m"""
+
+
 def minhash_candidates(spark, d):
     """How many documents share each number of bands with another one."""
     sets = documents(spark, d).select("doc_id", D.shingles("text").alias("items")).where(F.size("items") > 0)
@@ -190,7 +209,7 @@ ZIP = rf"""with c as (select doc_id, text, regexp_replace(regexp_replace(text, '
 
 QUERIES = {
     "dedup_question": (dedup_question, DEDUP_QUESTION), "dedup_pair": (dedup_pair, DEDUP_PAIR), "dedup_md5": (dedup_md5, DEDUP_MD5), "dedup_documents": (dedup_documents, DEDUP_DOCUMENTS), "cap_repeats": (cap_repeats, CAP),
-    "near_pairs": (near_pairs, NEAR_PAIRS), "near_greedy": (near_greedy, None), "near_text": (near_text, None), "near_leaks": (near_leaks, NEAR_LEAKS), "bucketed_similar": (bucketed_similar, BUCKETED), "minhash_candidates": (minhash_candidates, None),
+    "near_pairs": (near_pairs, NEAR_PAIRS), "near_members": (near_members, NEAR_MEMBERS), "near_greedy": (near_greedy, None), "near_text": (near_text, None), "near_leaks": (near_leaks, NEAR_LEAKS), "bucketed_similar": (bucketed_similar, BUCKETED), "bucketed_members": (bucketed_members, BUCKETED_MEMBERS), "minhash_candidates": (minhash_candidates, None),
     "exact_leaks": (exact_leaks, EXACT_LEAKS), "eval_reasons": (eval_reasons, None), "leak_counts": (leak_counts, LEAK_COUNTS), "union_sources": (union_sources, UNION), "not_chosen": (not_chosen, NOT_CHOSEN), "benchmark_overlap": (benchmark_overlap, BENCHMARK),
     "rare_keywords": (rare_keywords, RARE), "positional_zip": (positional_zip, ZIP),
 }
