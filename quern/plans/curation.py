@@ -57,9 +57,8 @@ def scored(rows: DataFrame, terms: tuple[str, ...], pre: int | None = None) -> D
     return r.join(ends, F.lit(True)).withColumn("composite", T.composite_score("a", F.col("lang_conf"), scaled, terms)).drop("_low", "_high")
 
 
-def gated(rows: DataFrame, gates: list[G.Gate], languages: V.Scorer, family: tuple[str, ...], terms: tuple[str, ...], train: int, val: int, test: int, least: float = 0.0, pre: int | None = None) -> DataFrame:
-    """All gates in order, artefacts and personal data rewritten between them, exact and similar duplicates, the best by composite, stratified splits
-    without similar questions across them."""
+def passed(rows: DataFrame, gates: list[G.Gate], languages: V.Scorer, family: tuple[str, ...], terms: tuple[str, ...], least: float = 0.0, pre: int | None = None) -> DataFrame:
+    """What all gates in order keep, with a composite: artefacts and personal data rewritten between them, exact and similar duplicates dropped."""
     r = rows.where(G.first_failed([G.format_gate()]).isNull()).withColumns({"q": P.normalized(F.col("q")), "a": P.normalized(F.col("a"))})
     r = G.survivors(r, [G.encoding_gate()]).withColumns({"q": P.clean_question(F.col("q")), "a": P.clean_answer(F.col("a"))})
     r = G.survivors(written(r, "rewritten"), [G.artefact_gate(), *gates])
@@ -69,8 +68,12 @@ def gated(rows: DataFrame, gates: list[G.Gate], languages: V.Scorer, family: tup
     r = written(D.first_per_key(r, D.pair_key("q", "a"), ["id"]), "exact")
     near, members = D.similar_pairs(r.select("id", D.shingles("q").alias("items")), "id", "items", 0.8)
     r = r.join(D.greedy_keep(near, members, "id"), "id", "left_semi")
-    r = G.survivors(scored(r, terms, pre), [G.relevance_gate(least=least)])
-    best = S.top(r, train + val + test, "composite", "id").withColumn("domain", T.domain("q"))
+    return G.survivors(scored(r, terms, pre), [G.relevance_gate(least=least)])
+
+
+def gated(rows: DataFrame, train: int, val: int, test: int) -> DataFrame:
+    """Of rows that passed, the best by composite, in stratified splits without similar questions across them."""
+    best = S.top(rows, train + val + test, "composite", "id").withColumn("domain", T.domain("q"))
     return across_splits(S.stratified_split(best, "domain", "id", train, val, test))
 
 
@@ -108,6 +111,9 @@ def final(rows: DataFrame, target: int) -> DataFrame:
 
 # ------------------------------------------------------------------ registered over the conversations
 
+#: The reference's sizes: train, val and test of the gated and the strict selection, and train after the reduction.
+SIZES, REDUCED = (30_000, 3_000, 3_000), 20_000
+
 
 def _rows(spark, d):
     p = pairs(spark, d)
@@ -130,27 +136,27 @@ BASIC = BASIC.replace("{q}", _CLEAN.format("q")).replace("{a}", _CLEAN.format("a
 
 
 def curate_leak_free(spark, d):
-    return leak_free(_rows(spark, d), 120).select("id", "split")
+    return leak_free(_rows(spark, d), REDUCED).select("id", "split")
 
 
 _PROFILES = {"en": ("the", "of", "and", "in", "to", "is", "that"), "fr": ("le", "la", "les", "de", "et"), "de": ("der", "die", "und", "das", "ein"), "es": ("el", "los", "que", "y", "en")}
 
 
-def _gated(spark, d):
+def _passed(spark, d):
     both = lambda df: V.by_profile(_PROFILES, "a", "a")(V.by_profile(_PROFILES, "q", "q")(df))
-    return gated(_rows(spark, d), [G.length_gate(min_a=5, max_a=200), G.invisible_gate(), G.deflection_gate(), G.spam_gate()], both, ("en", "fr", "de", "es"), chats.WORDS, 80, 10, 10)
+    return passed(_rows(spark, d), [G.length_gate(min_a=5, max_a=200), G.invisible_gate(), G.deflection_gate(), G.spam_gate()], both, ("en", "fr", "de", "es"), chats.WORDS)
 
 
 def curate_gated(spark, d):
-    return _gated(spark, d).select("id", "domain", "split")
+    return gated(_passed(spark, d), *SIZES).select("id", "domain", "split")
 
 
 def curate_strict(spark, d):
-    return strict(_gated(spark, d).drop("split", "domain"), None, 40, 10, 10).select("id", "split")
+    return strict(_passed(spark, d), None, *SIZES).select("id", "split")
 
 
 def curate_final(spark, d):
-    return final(_gated(spark, d), 30).select("id", "split")
+    return final(gated(_passed(spark, d), *SIZES), REDUCED).select("id", "split")
 
 
 QUERIES = {

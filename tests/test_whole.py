@@ -3,7 +3,7 @@
 import hashlib
 
 from quern.functions import passes as P
-from quern.plans import audits, duplicates
+from quern.plans import audits, curation, duplicates
 
 
 def documents(spark, tmp_path, texts):
@@ -33,3 +33,7 @@ def test_every_copy_has_a_row(spark, tmp_path):
     want = {(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 1)}
     for query in (duplicates.near_members, duplicates.bucketed_members):
         assert {tuple(r) for r in query(spark, d).collect()} == want
+
+
+def test_gated_selects_from_more_than_a_hundred_rows(spark):
+    assert curation.curate_gated(spark, "/root/testdata/sf0.1").count() > 100
