@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern import rules as R
+from quern.functions import ladders as L
 from quern.functions import passes as P
 from quern.functions import text as T
 from quern.plans.tables import documents, pairs, table
@@ -69,34 +70,34 @@ def normalize_text(spark, d):
 
 def greeting_strip(spark, d):
     p = pairs(spark, d)
-    return p.select("conv_id", "turn", *_md5(P.without_greeting(F.col("a")), "shared"), *_md5(P.without_opening(F.col("a")), "extended"), *_md5(P.without_address(F.col("a")), "address"))
+    return p.select("conv_id", "turn", *_md5(L.without_greeting(F.col("a")), "shared"), *_md5(L.without_opening(F.col("a")), "extended"), *_md5(L.without_address(F.col("a")), "address"))
 
 
 def strip_artefacts(spark, d):
     p = pairs(spark, d)
-    return p.select("conv_id", "turn", *_md5(P.clean_question(F.col("q")), "q"), *_md5(P.clean_answer(F.col("a")), "a"), *_md5(T.drop_sentences("a"), "sign_off"))
+    return p.select("conv_id", "turn", *_md5(L.clean_question(F.col("q")), "q"), *_md5(L.clean_answer(F.col("a")), "a"), *_md5(T.drop_sentences("a"), "sign_off"))
 
 
 def strict_clean(spark, d):
-    p = pairs(spark, d).select("conv_id", "turn", P.strict_question(F.col("q")).alias("sq"), P.strict_answer(F.col("a")).alias("sa"))
+    p = pairs(spark, d).select("conv_id", "turn", L.strict_question(P.normalized(F.col("q"))).alias("sq"), L.strict_answer(P.normalized(F.col("a"))).alias("sa"))
     return p.select("conv_id", "turn", *_md5(F.col("sq.text"), "q"), *_md5(F.col("sa.text"), "a"), F.greatest("sq.glued", "sa.glued").cast("long").alias("glued"))
 
 
 def over_strip_audit(spark, d, k: int = 25):
     """The answers that lose most by the extended greeting pass, over 50 characters."""
-    p = pairs(spark, d).select("conv_id", "turn", F.col("a"), P.without_opening(F.col("a")).alias("after"))
+    p = pairs(spark, d).select("conv_id", "turn", F.col("a"), L.without_opening(F.col("a")).alias("after"))
     lost = (F.length("a") - F.length("after")).cast("long")
     return p.withColumn("lost", lost).where("lost > 50").orderBy(F.col("lost").desc(), "conv_id", "turn").limit(k).select("conv_id", "turn", "lost")
 
 
 def remediation(spark, d):
-    p = documents(spark, d).select("doc_id", P.scrubbed(F.col("text")).alias("s"), P.tail_trimmed(F.col("text")).alias("c"), P.truncation_trimmed(F.col("text")).alias("t"))
+    p = documents(spark, d).select("doc_id", L.scrubbed(F.col("text")).alias("s"), L.tail_trimmed(F.col("text")).alias("c"), L.truncation_trimmed(F.col("text")).alias("t"))
     return p.select("doc_id", F.col("s.n").cast("long").alias("doctors"), *_md5(F.col("s.text"), "scrubbed"), F.col("c.cut").alias("tail_cut"), F.col("t.status").alias("status"))
 
 
 def conservative_clean(spark, d):
     """How many answers each rule changes."""
-    p = documents(spark, d).select(F.explode(P.conservative(F.col("text"))["fired"]).alias("rule"))
+    p = documents(spark, d).select(F.explode(L.conservative(F.col("text"))["fired"]).alias("rule"))
     return p.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -105,7 +106,7 @@ def collapse_triples(spark, d):
 
 
 def redact_names(spark, d):
-    p = documents(spark, d).select("doc_id", P.redacted(F.col("text")).alias("r"))
+    p = documents(spark, d).select("doc_id", L.redacted(F.col("text")).alias("r"))
     return p.select("doc_id", F.col("r.n").cast("long").alias("n"), *_md5(F.col("r.text"), "text"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import ladders as L
 from quern.functions import passes as P
 from quern.functions import text as T
 from quern.operators import dedup as D
@@ -36,7 +37,7 @@ def leak_free(rows: DataFrame, target: int, minority: Column | None = None) -> D
     sets = r.select("id", "split", D.shingles(F.lower(F.concat("q", F.lit(" "), "a")), 5, r"\S+", "whole").alias("items"))
     near, members = D.similar_pairs(sets.select("id", "items"), "id", "items", 0.9)
     r = written(r.join(D.greedy_keep(near, members, "id"), "id", "left_semi"), "distinct")
-    r = r.withColumn("a", P.without_opening(F.col("a")))
+    r = r.withColumn("a", L.without_opening(F.col("a")))
     message = F.array(F.struct(F.lit("user").alias("role"), F.col("q").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("a").alias("content")))
     strict = F.col("split") != "test"
     r = written(r.where(~F.when(strict, G.low_quality(message)).otherwise(G.low_quality(message, False))).where(~G.code_lookup("q")), "quality")
@@ -60,9 +61,9 @@ def scored(rows: DataFrame, terms: tuple[str, ...], pre: int | None = None) -> D
 def passed(rows: DataFrame, gates: list[G.Gate], languages: V.Scorer, family: tuple[str, ...], terms: tuple[str, ...], least: float = 0.0, pre: int | None = None) -> DataFrame:
     """What all gates in order keep, with a composite: artefacts and personal data rewritten between them, exact and similar duplicates dropped."""
     r = rows.where(G.first_failed([G.format_gate()]).isNull()).withColumns({"q": P.normalized(F.col("q")), "a": P.normalized(F.col("a"))})
-    r = G.survivors(r, [G.encoding_gate()]).withColumns({"q": P.clean_question(F.col("q")), "a": P.clean_answer(F.col("a"))})
+    r = G.survivors(r, [G.encoding_gate()]).withColumns({"q": L.clean_question(F.col("q")), "a": L.clean_answer(F.col("a"))})
     r = G.survivors(written(r, "rewritten"), [G.artefact_gate(), *gates])
-    r = r.withColumns({"q": P.redacted(F.col("q"))["text"], "a": P.redacted(F.col("a"))["text"]})
+    r = r.withColumns({"q": L.redacted(F.col("q"))["text"], "a": L.redacted(F.col("a"))["text"]})
     r = languages(r)
     r = G.survivors(r, [G.language_gate("q_lang", "q_prob", "a_lang", "a_prob", family)])
     r = written(D.first_per_key(r, D.pair_key("q", "a"), ["id"]), "exact")
@@ -87,7 +88,7 @@ def across_splits(rows: DataFrame) -> DataFrame:
 
 def strict(rows: DataFrame, entities: V.Scorer | None, train: int, val: int, test: int) -> DataFrame:
     """Strict cleaning, the checks after it, leading names, the last gate, and a new selection; rows need a composite."""
-    r = rows.withColumns({"_q": P.strict_question(F.col("q")), "_a": P.strict_answer(F.col("a"))})
+    r = rows.withColumns({"_q": L.strict_question(P.normalized(F.col("q"))), "_a": L.strict_answer(P.normalized(F.col("a")))})
     r = r.withColumns({"q": F.col("_q.text"), "a": F.col("_a.text"), "q_glued": F.col("_q.glued"), "a_glued": F.col("_a.glued")}).drop("_q", "_a")
     r = written(G.survivors(r, [G.glued_gate("q_glued", "a_glued"), G.recheck_gate(), G.echo_gate()]).drop("q_glued", "a_glued"), "strict")
     for c, name in (("q", "q_entities"), ("a", "a_entities")):

@@ -26,12 +26,10 @@ MIN_ANSWER_WORDS, MAX_ANSWER_WORDS = 20, 400
 SHORT_ANSWER_CHARS, GREETING_CHARS, NOISE_CHARS = 80, 150, 120
 ANSWER_CHARS = (20, 3000)
 TRUNCATE_CHARS = 2000
-CAP_PREFIX, CAP_REPEATS = 120, 5
 MAX_GLUED = 4
 
 # thresholds
 LANGUAGE_ANSWER, LANGUAGE_QUESTION, LANGUAGE_FAMILY = 0.65, 0.30, ("id", "ms")
-NEAR_QUESTION, NEAR_TEXT, NEAR_TOKENS = 0.80, 0.90, 0.80
 RELEVANCE, BORDERLINE = 0.84, 0.02
 PERSON_SCORE, PERSON_LENGTH, LEAD_NAME_SCORE = 0.90, 4, 0.5
 SEED = 42
@@ -63,6 +61,8 @@ BOILERPLATE = (
 )
 SENTENCE = r"[^.!?…]*[.!?…]+[\s\"')]*"
 GREETING_SENTENCE_CHARS, BOILERPLATE_CHARS, KEEP_CHARS = 40, 80, 20
+# what the extended pass takes from the beginning, in order, each with the characters that go after it
+OPENERS = ((GREETING_NAME, r" ,.!:;\-"), (HELLO_THERE, r"\s"), (GREETING_RUN, r"\s"), (GREETING_GLUED, r"\s"), (PLATFORM_THANKS, r"\s"), (QUESTION_THANKS, r"\s"))
 
 # addresses and sign-offs
 ADDRESS_GREETING = r"(?i)^\s*(?:hai+|halo+|h[ae]llo+|alo+|hi|hey|hae)\b[\s,!.:;-]*"
@@ -119,11 +119,13 @@ NOISE_GREETING = r"(?i)\b(halo|hallo|hai|selamat (pagi|siang|sore|malam)|terima
 NOISE_URL = r"(?i)(https?://|www\.|\.com|\.id\b|@\w+\.)"
 
 # personal data
-PII_INTRO = r"\b([Nn]ama\s+[Ss]aya|[Pp]erkenalkan,?\s*[Ss]aya|[Ss]aya)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})(?=\s*[.,;)]|\s+(?:umur|usia|berumur|seorang))"
 PII_NOT_NAMES = (
     "ingin mau mohon sudah pernah tidak baru sedang masih merasa mengalami punya ada sering akan hanya cuma juga takut bingung khawatir bekerja seorang perempuan laki wanita "
     "pria anak mahasiswa ibu bapak demam sakit batuk pusing nyeri mual flu pilek rasa kira pikir habis barusan kemarin tadi sempat coba mengidap menderita umur usia"
 ).split()
+# an introduction, if the word after it is a name
+PII_INTRO = rf"\b([Nn]ama\s+[Ss]aya|[Pp]erkenalkan,?\s*[Ss]aya|[Ss]aya)\s+(?!(?i:{'|'.join(PII_NOT_NAMES)})\b)([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}})(?=\s*[.,;)]|\s+(?:umur|usia|berumur|seorang))"
+NAMED_SELF = r"\b[Nn]ama\s+[Ss]aya \[NAMA\]"
 PII_PHONE = r"\b(?:\+62|62|0)8\d{7,11}\b"
 PII_EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
 
@@ -158,6 +160,10 @@ ANSWER_GREETING = (
     r"(?i)^\s*(?:(?:hai|halo+|alo|hallo|hello|hi|hey|selamat\s+(?:pagi|siang|sore|malam)|assalamu'?alaikum(?:\s+wr\.?\s*wb\.?)?|wa'?alaikum\s*salam|wassalam|permisi"
     r"|pagi|siang|sore|malam|malem)\b[\s,.!]*)+(?:dok(?:ter)?\b[\s,.!]*)*"
 )
+# the strict rules in order: before glued words are split, after that by kind of text, and last
+STRICT_FIRST = ((ANSWER_GREETING, ""), (TIMESTAMP, " "), (CLOCK, " "), (PLACEHOLDER_INTRO, " "), (PLACEHOLDER_ANY, " "), (EMOJI, ""), (EMOTICON, ""), (CITATION, ""))
+STRICT_ANSWER, STRICT_QUESTION = ((ARTICLE_TAIL, ""),), ((PII_INTRO_ANY, " "), (PII_AGE, "saya"))
+STRICT_LAST = ((ORPHAN_PUNCTUATION, "$1"), (REPEATED_PUNCTUATION, "$1"), (LEAD_PUNCTUATION, ""))
 ECHO_GREETING = (
     r"(?i)^\s*(hai|halo|alo|hallo|hello|hi|hey|pagi|malam|malem|siang|sore|selamat\s+(pagi|siang|sore|malam)|permisi|assalamualaikum|waalaikumsalam)[\s,.!]*"
 )
@@ -184,10 +190,14 @@ PREPOSITION_COPULA = r"(?i)^(pada|di|dari|untuk|dengan)\b[^.!?]{1,80}?\b(merupak
 BARE_TAIL = r"(?i)\b(silakan|silahkan|baca|lihat|klik|kunjungi|simak|ikuti)\b[^.!?]{0,40}?(di\s?sini|disini|berikut|tautan|link|diskusi|selengkapnya)?\s*[.!]?\s*$"
 DANGLING_TAIL = r"(?i)\b(silakan|silahkan|baca|lihat|klik|kunjungi|simak|ikuti|berikut|tautan|link)(\s+(anda|kamu|di\s?sini|disini))?\s*[.!]?\s*$"
 INFORMATION_TAIL = r"(?i)\b(informasi\s+(lebih\s+lanjut|terkait)|lebih\s+rincinya|info\s+(lebih\s+lanjut|terkait))\b[^.!?]{0,40}?(pada|berikut|di\s?sini|disini)?\s*[.!:]?\s*$"
+CITATION_TAILS = (BARE_TAIL, DANGLING_TAIL, INFORMATION_TAIL)
 TAIL_CHARS = 90
 KNOWN_DOCTORS = ("caecilia", "cecilia", "danny", "irna", "jati", "kresnawati", "nofrina", "ulfi", "william", "yosephine")
 DOCTOR_ABBREVIATED = r"(?i)\b(dr|drg)\.\s*([A-Za-z][a-z]+)\b"
 DOCTOR_STOP = "spesialis bedah dok paru anak spog saya umum gigi nya spkk sp obgyn internis kandungan kulit mata jiwa saraf jantung gizi kelamin dalam tht ahli muda hewan".split()
+DOCTOR_KNOWN = r"(?i)\b(dr\.?|drg\.?|dokter)\s+(" + "|".join(KNOWN_DOCTORS) + r")\b"
+DOCTOR_NAMED = r"(?i)\b(?:dr|drg)\.\s*(?!(?:" + "|".join(DOCTOR_STOP) + r")\b)[A-Za-z][a-z]+\b"
+DOCTOR_TWICE = r"(?i)\bdokter\s+dokter\b"
 TERMINAL = r"[.!?…][\"'\)\]]?\s*$"
 LAST_WORD = r"([A-Za-z]+)[\"'\)\]]?\s*$"
 SIGN_OFF_WORDS = (
@@ -265,6 +275,7 @@ SIGNATURE_NAMES = (
 CREDENTIALS = (
     r"[\s.,;:-]*(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}\s*,?\s*)?(?:BMed|B\.?Med|Sci?\b|S\.?Ked\b|Sp\.?[A-Z().\-]*|M\.?Kes\b|MARS\b|FINASIM\b|drg?\.)\.?\s*$"
 )
+POINTER = f"(?:{REFERENCE_PHRASE})|(?:{PLATFORM_PHRASE})"
 SIGNATURE_WORDS, POINTER_CHARS, HEAD_CHARS = 8, 120, 40
 
 # spelling

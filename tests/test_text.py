@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import ladders as L
 from quern.functions import passes as P
 from quern.functions import text as T
 
@@ -11,10 +12,15 @@ def one(spark, value, *columns):
     return tuple(spark.createDataFrame([(value,)], "c string").select(*columns).first())
 
 
+def told(spark, rule, value):
+    out = spark.createDataFrame([(value,)], "c string").select(rule(F.col("c")).alias("v")).first().v
+    return tuple(out) if hasattr(out, "asDict") else out
+
+
 @pytest.mark.parametrize("name", ["Hippocrates membuat sumpah itu.", "Hidradenitis adalah penyakit kulit.", "Alopecia areata bisa diobati.", "Halothane dipakai sebagai obat bius."])
-def test_medical_words_are_no_greetings(name):
-    assert P.strip_greeting(name) == name
-    assert P.strip_opening(name) == name
+def test_medical_words_are_no_greetings(spark, name):
+    assert told(spark, L.without_greeting, name) == name
+    assert told(spark, L.without_opening, name) == name
 
 
 @pytest.mark.parametrize(
@@ -26,52 +32,56 @@ def test_medical_words_are_no_greetings(name):
         ("", ""),
     ],
 )
-def test_greeting(given, wanted):
-    assert P.strip_greeting(given) == wanted
+def test_greeting(spark, given, wanted):
+    assert told(spark, L.without_greeting, given) == wanted
 
 
-def test_opening_takes_name_and_boilerplate():
-    assert P.strip_opening("Hai Sofy, I have read your query. Gejala ini biasanya ringan dan sembuh sendiri.") == "Gejala ini biasanya ringan dan sembuh sendiri."
+def test_opening_takes_name_and_boilerplate(spark):
+    assert told(spark, L.without_opening, "Hai Sofy, I have read your query. Gejala ini biasanya ringan dan sembuh sendiri.") == "Gejala ini biasanya ringan dan sembuh sendiri."
 
 
-def test_address():
-    assert P.strip_address("Halo Budi, demam bisa turun.") == "Demam bisa turun." or P.strip_address("Halo Budi demam bisa turun.") == "Demam bisa turun."
-    assert P.strip_address("Saya, dan kamu.") == "Saya, dan kamu."
+def test_address(spark):
+    assert told(spark, L.without_address, "Halo Budi demam bisa turun.") == "Demam bisa turun."
+    assert told(spark, L.without_address, "Budi... demam bisa turun.") == told(spark, L.without_address, "Budi, demam bisa turun.") == "Demam bisa turun."
+    assert told(spark, L.without_address, "Saya, dan kamu.") == "Saya, dan kamu."
 
 
-def test_redaction():
-    assert P.redact_names("nama saya Budi Santoso, telepon 081234567890, surel a.b@c.co.id") == ("nama saya [NAMA], telepon [NOMOR], surel [EMAIL]", 3)
-    assert P.redact_names("Saya Demam, dokter.")[0] == "Saya Demam, dokter."
+def test_redaction(spark):
+    assert told(spark, L.redacted, "nama saya Budi Santoso, telepon 081234567890, surel a.b@c.co.id") == ("nama saya [NAMA], telepon [NOMOR], surel [EMAIL]", 3)
+    assert told(spark, L.redacted, "Saya Demam, dokter.") == ("Saya Demam, dokter.", 0)
+    assert told(spark, L.redacted, "Nama Saya Ani. perkenalkan saya Rudi Hartono umur 3") == ("nama saya [NAMA]. perkenalkan saya [NAMA] umur 3", 2)
 
 
 def test_normalize():
     assert P.normalize("a&amp;b <br> c​d  https://x.y/z é") == "a&b cd é"
 
 
-def test_strict_clean():
-    text, glued = P.strict_clean("Halo dok, demamTinggi bisa turun (WHO). Minum air putih. baca juga artikel lain", True)
+def test_strict_clean(spark):
+    text, glued = told(spark, L.strict_answer, "Halo dok, demamTinggi bisa turun (WHO). Minum air putih. baca juga artikel lain")
     assert glued == 1 and "WHO" not in text and "baca juga" not in text and text.startswith("Demam Tinggi")
 
 
 def test_triples(spark):
     assert one(spark, "Sayaaa XIII vaaa!!", T.collapse_triples("c")) == ("Sayaa XIII vaa!!",)
-    assert P.collapse_triples("Sayaaa XIII vaaa!!") == "Sayaa XIII vaa!!"
 
 
-def test_repairs():
-    assert P.scrub_doctors("Tanya dr. irna cecilia, bukan dr. spesialis") == ("Tanya dokter, bukan dr. spesialis", 2)
-    assert P.trim_truncation("Obat ini aman untuk semua orang. Jangan minum dengan") == ("Obat ini aman untuk semua orang.", "kept")
-    assert P.trim_truncation("Semoga bermanfaat") == ("Semoga bermanfaat", "noop")
-    assert P.trim_truncation("dan") == ("dan", "drop")
-    assert P.trim_citation_tail("Minum obat ini. Informasi lebih lanjut baca di sini.")[1]
+def test_repairs(spark):
+    assert told(spark, L.scrubbed, "Tanya dr. irna cecilia, bukan dr. spesialis") == ("Tanya dokter, bukan dr. spesialis", 2)
+    assert told(spark, L.truncation_trimmed, "Obat ini aman untuk semua orang. Jangan minum dengan") == ("Obat ini aman untuk semua orang.", "kept")
+    assert told(spark, L.truncation_trimmed, "Semoga bermanfaat") == ("Semoga bermanfaat", "noop")
+    assert told(spark, L.truncation_trimmed, "dan") == ("dan", "drop")
+    assert told(spark, L.tail_trimmed, "Minum obat ini. Informasi lebih lanjut baca di sini.") == ("Minum obat ini.", True)
+    assert told(spark, L.tail_trimmed, "Minum obat ini.") == ("Minum obat ini.", False)
     assert P.restore_head("Halo Budi kista ovarium", "adalah benjolan.") == "kista ovarium adalah benjolan."
     assert P.lost_head("Budi, kista ini.", "kista ini.") == "Budi"
 
 
-def test_conservative_clean():
-    text, fired = P.conservative_clean("Obat diatas aman,murah dll Jika perlu minum lagi")
-    assert text == "Obat di atas aman, murah, dll. Jika perlu minum lagi." or text.endswith("minum lagi.")
-    assert {"prep_di", "comma_space", "add_period"} <= set(fired)
+def test_conservative_clean(spark):
+    """Every rule fires."""
+    given = "Obat diatas aman,murah dll Jika perlu kedokter lagi. Sayaaa lainya. Untuk lebih jelas mengenai keluhan yang Anda alami silakan unduh aplikasi. S.Ked Radhianie Djan"
+    fired = {r for t in (given, "Tubuh sehat Hindari rokok", "Minum air. Budi Santoso, S.Ked", "Obat ini baik. Radhianie Djan", "jamu, dll, obat") for r in told(spark, L.conservative, t)[1]}
+    assert fired == set(L.RULES)
+    assert told(spark, L.conservative, "Tubuh sehat Hindari rokok") == ("Tubuh sehat. Hindari rokok.", ["sentence_split", "add_period"])
 
 
 def test_detectors(spark):
@@ -101,7 +111,7 @@ def test_one_edit(a, b, near):
 
 def test_nulls_stay_null(spark):
     df = spark.createDataFrame([(None,), ("x",)], "c string")
-    got = df.select(P.without_greeting(F.col("c")).alias("g"), P.redacted(F.col("c"))["text"].alias("r"), T.clean_basic("c").alias("b")).collect()
+    got = df.select(L.without_greeting(F.col("c")).alias("g"), L.redacted(F.col("c"))["text"].alias("r"), T.clean_basic("c").alias("b")).collect()
     assert [r.g for r in got] == [None, "x"] and [r.b for r in got] == [None, "x"] and got[1].r == "x"
 
 
@@ -112,10 +122,27 @@ def test_lead_names(spark):
     people = lambda t: t.withColumn("e", F.when(F.col("name") == "Ainun", F.array(F.struct(F.lit("PER").alias("entity_group"), F.lit(0.6).alias("score"), F.col("name").alias("word")))).otherwise(F.array().cast("array<struct<entity_group:string,score:double,word:string>>")))
     names = [r.name for r in V.lead_names(df, "a", people, "e").collect()]
     assert names == ["Ainun"]
-    got = [r[0] for r in df.select(P.lead_names_stripped(names)(F.col("a"))).collect()]
+    got = [r[0] for r in df.select(L.lead_names_stripped(names)(F.col("a"))).collect()]
     assert got == ["Telinga berdenging sejak kemarin", "Vaksin Polio aman untuk bayi semua"]
 
 
+def test_reverts_words_beside_marks_and_blanks():
+    assert P.revert("CT urogram, kiri", "CT program, kiri", {"urogram>program": ""}) == "CT urogram, kiri"
+    assert P.revert("a  Garus\tyang", "a  Harus\tyang", {"garus>harus": "garis"}) == "a  Garis\tyang"
+    assert P.revert("x on y", "x om y z", {"on>om": ""}) == "x on y z"
+    assert P.substitutions("a  b, c", "a  d, c") == [{"at": 1, "old": "b", "new": "d"}]
+
+
+@pytest.mark.parametrize(("whole", "part", "at"), [([1, 2, 1, 2, 3], [1, 2, 3], 2), ([1, 1, 1, 2], [1, 1, 2], 1), ([1, 2], [3], -1), ([], [1], -1), ([5], [], 0), ([4, 4], [4, 4], 0)])
+def test_part_of_a_sequence(whole, part, at):
+    assert P.find_part(whole, part) == at
+
+
+def test_part_of_a_sequence_as_a_column(spark):
+    df = spark.createDataFrame([([1, 2, 3], [2, 3]), (None, [1])], "w array<int>, p array<int>")
+    assert [r[0] for r in df.select(P.part_at(F.col("w"), F.col("p"))).collect()] == [1, None]
+
+
 def test_sentences_and_bullets(spark):
     assert one(spark, "Satu. Dua kata ini! Tiga", T.sentence_of("c", "kata")) == ("Dua kata ini!",)
     assert one(spark, "Langkah: 1. minum 2. makan 3. tidur", T.bullets("c"))[0].count("\n- ") == 3

@@ -2,7 +2,6 @@
 
 import hashlib
 
-from quern.functions import passes as P
 from quern.plans import audits, curation, duplicates
 
 
@@ -22,12 +21,6 @@ def test_reverts_after_the_first_500_characters(spark, tmp_path):
     assert (row.back, row.corrected) == (md5(text), md5(text.replace("thing", "think")))
 
 
-def test_reverts_in_place_or_by_diff():
-    wrong = {"on>om": ""}
-    assert P.revert_in_place("a on\nb on, c", "a om\nb om, d", wrong) == "a on\nb om, d"
-    assert P.revert_in_place("a on b", "a om b c", wrong) == P.revert("a on b", "a om b c", wrong) == "a on b c"
-
-
 def test_every_copy_has_a_row(spark, tmp_path):
     d = documents(spark, tmp_path, {1: "one two three four", 2: "One two, three four", 3: "one two three four", 4: "five six seven", 5: ""})
     want = {(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 1)}
