@@ -16,15 +16,11 @@ from pyspark.sql import functions as F
 
 from quern import rules as R
 from quern.functions import text as T
+from quern.functions.text import let
 
 Step = Callable[[Column], Column]
 
 
-def let(value: Column, use: Step) -> Column:
-    """use(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def ladder(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
     """Each pattern replaced, in order."""
     return reduce(lambda t, rule: T.drop(t, *rule), rules, c)
@@ -202,24 +198,24 @@ def tail_trimmed(c: Column) -> Column:
             heads = F.array(*[let(before(t, p), lambda h: F.when(h != "", F.struct(F.length(h).alias("n"), h.alias("head")))) for p in R.CITATION_TAILS])
             return F.array_min(F.array_compact(heads))["head"]
 
-        head = let(trimmed(s["text"], r"\s"), shortest)
+        head = let(T.strip_end(s["text"]), shortest)
         return let(head, lambda h: F.struct(F.when(h.isNull(), s["text"]).otherwise(trimmed(h, r" ,:;\-")).alias("text"), (s["cut"] | h.isNotNull()).alias("cut")))
 
     out = rounds(F.struct(c.alias("text"), F.lit(False).alias("cut")), 3, step)
-    return let(out, lambda s: F.struct(F.when(s["cut"] & (s["text"] != "") & ~s["text"].rlike(R.TERMINAL), F.concat(s["text"], F.lit("."))).otherwise(s["text"]).alias("text"), s["cut"].alias("cut")))
+    return let(out, lambda s: F.struct(F.when(s["cut"] & (s["text"] != "") & ~T.ended(s["text"]), F.concat(s["text"], F.lit("."))).otherwise(s["text"]).alias("text"), s["cut"].alias("cut")))
 
 
 def truncation_trimmed(c: Column) -> Column:
     """(text, status): noop, kept (cut at its last sentence end) or drop."""
 
     def judged(t: Column) -> Column:
-        last = F.lower(F.regexp_extract(t, R.LAST_WORD, 1))
-        whole = t.rlike(R.TERMINAL) | last.isin(*R.SIGN_OFF_WORDS) | ((last != "") & ~last.isin(*R.DANGLING_WORDS))
+        last = T.last_word(t)
+        whole = T.ended(t) | last.isin(*R.SIGN_OFF_WORDS) | ((last != "") & ~last.isin(*R.DANGLING_WORDS))
         ended = T.strip(F.regexp_extract(t, r"(?s)^(.*[.!?])(?:\s|$)", 1))
         status = F.when(whole, "noop").when(F.length(ended) >= R.MIN_REPAIRED_CHARS, "kept").otherwise("drop")
         return let(status, lambda x: F.struct(F.when(x == "kept", ended).otherwise(c).alias("text"), x.alias("status")))
 
-    return let(trimmed(c, r"\s"), judged)
+    return let(T.strip_end(c), judged)
 
 
 # ------------------------------------------------------------------ answers of an older source

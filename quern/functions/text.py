@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,9 +19,22 @@ def drop(c: Column | str, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(col(c), pattern, by)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+#: What \s stands for in patterns.
+WHITE = " \t\n\x0b\f\r"
+
+
 def strip(c: Column | str) -> Column:
-    """Without white space of any kind at the ends."""
-    return drop(c, r"^\s+|\s+$")
+    """Without white space at the ends."""
+    return F.trim(col(c), F.lit(WHITE))
+
+
+def strip_end(c: Column | str) -> Column:
+    return F.rtrim(col(c), F.lit(WHITE))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -165,11 +179,21 @@ def sentence_of(c: Column | str, word: str, around: int = 80) -> Column:
     return F.coalesce(found, near)
 
 
-def bullets(c: Column | str, at_least: int = 3) -> Column:
-    """Numbered parts of a line, or sentences after a colon, as lines of their own."""
-    numbered = drop(c, r"\s+(?=\d{1,2}[.)]\s)", "\n")
-    lines = F.size(F.split(numbered, "\n"))
-    return F.when(lines >= at_least, drop(numbered, r"(?m)^\d{1,2}[.)]\s+", "- ")).otherwise(col(c))
+def enumerations(c: Column | str) -> Column:
+    """Sentences as paragraphs; one that says `lead: a, b, c` becomes its lead in bold and a line for each part."""
+
+    def part(x: Column) -> Column:
+        return strip(drop(drop(x, r"^[ .]+|[ .]+$"), R.JOINING_WORD))
+
+    def sentence(s: Column) -> Column:
+        lead, rest = (F.regexp_extract(s, R.ENUMERATION, i) for i in (1, 2))
+        bare = drop(strip(lead), ",+$")
+        parts = F.filter(F.transform(F.split(rest, r",\s*"), part), lambda x: (x != "") & ~x.rlike(R.AND_SO_ON))
+        lines = F.array_join(F.transform(parts, lambda x: F.concat(F.lit("- "), x)), "\n")
+        return F.when((lead != "") & (F.regexp_count(rest, F.lit(",")) >= R.ENUMERATION_COMMAS), F.concat(F.lit("**"), sentence_case(bare), F.lit(":**\n"), lines)).otherwise(s)
+
+    sentences = F.filter(F.transform(F.split(squeeze(c), R.SENTENCE_END), strip), lambda s: s != "")
+    return F.array_join(F.transform(sentences, sentence), "\n\n")
 
 
 # ------------------------------------------------------------------ lexicons and scores
@@ -205,11 +229,12 @@ def length_score(count: Column, low: int = R.MIN_ANSWER_WORDS, high: int = 250,
 
 def diversity(tokens: Column) -> Column:
     """Different tokens over all; 0 without any."""
-    return F.when(F.size(tokens) > 0, F.size(F.array_distinct(tokens)) / F.size(tokens)).otherwise(F.lit(0.0))
+    return let(tokens, lambda t: F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.size(t)).otherwise(F.lit(0.0)))
 
 
 def cheap_score(answer: Column | str, language: Column, terms=tuple(R.MEDICAL_TERMS)) -> Column:
-    return 0.4 * language + 0.3 * length_score(word_count(answer)) + 0.3 * F.least(lexicon_hits(answer, terms) / 8.0, F.lit(1.0))
+    w = R.CHEAP_WEIGHTS
+    return w["language"] * language + w["length"] * length_score(word_count(answer)) + w["terms"] * F.least(lexicon_hits(answer, terms) / R.FULL_TERMS, F.lit(1.0))
 
 
 def scaled(c: Column, low: Column, high: Column) -> Column:
@@ -218,15 +243,16 @@ def scaled(c: Column, low: Column, high: Column) -> Column:
 
 def composite_score(answer: Column | str, language: Column, relevance: Column, terms=tuple(R.MEDICAL_TERMS)) -> Column:
     """Of language, length, scaled relevance, terms and diversity."""
+    w = R.COMPOSITE_WEIGHTS
     return (
-        0.20 * language + 0.15 * length_score(word_count(answer), 40) + 0.30 * relevance
-        + 0.20 * F.least(lexicon_hits(answer, terms) / 8.0, F.lit(1.0)) + 0.15 * diversity(words(answer, r"\w+"))
+        w["language"] * language + w["length"] * length_score(word_count(answer), R.LONG_ANSWER_WORDS) + w["relevance"] * relevance
+        + w["terms"] * F.least(lexicon_hits(answer, terms) / R.FULL_TERMS, F.lit(1.0)) + w["diversity"] * diversity(words(answer, r"\w+"))
     )
 
 
 def readable_quality(answer: Column | str, score: Column) -> Column:
     a = col(answer)
-    return score + F.when(F.length(a).between(200, 2000), 0.02).otherwise(0.0) + F.when(drop(a, r"\s+$").rlike("[.!?]$"), 0.01).otherwise(0.0)
+    return score + F.when(F.length(a).between(200, 2000), 0.02).otherwise(0.0) + F.when(last_chars(strip_end(a), 1).rlike("[.!?]"), 0.01).otherwise(0.0)
 
 
 def in_language(c: Column | str, source: Column, words_=R.LANGUAGE_WORDS, sources=R.LANGUAGE_SOURCES, hits: int = R.LANGUAGE_HITS) -> Column:
@@ -263,8 +289,18 @@ def over_strip_reasons(c: Column | str) -> Column:
 
 
 def citation_tail(c: Column | str) -> Column:
-    tail = last_chars(drop(c, r"\s+$"), R.TAIL_CHARS)
-    return reduce(lambda a, b: a | b, [tail.rlike(p) for p in (R.BARE_TAIL, R.DANGLING_TAIL, R.INFORMATION_TAIL)])
+    tail = last_chars(strip_end(c), R.TAIL_CHARS)
+    return let(tail, lambda t: reduce(lambda a, b: a | b, [t.rlike(p) for p in R.CITATION_TAILS]))
+
+
+def last_word(c: Column | str) -> Column:
+    """The letters that a text ends with, before a closing mark, in lower case; read from the end."""
+    return F.lower(F.reverse(F.regexp_extract(F.reverse(strip_end(c)), r"^[\"'\)\]]?([A-Za-z]+)", 1)))
+
+
+def ended(c: Column | str) -> Column:
+    """Whether a text ends as a sentence does."""
+    return last_chars(strip_end(c), 2).rlike(R.TERMINAL)
 
 
 def doctor_leak(c: Column | str) -> Column:
@@ -275,9 +311,8 @@ def doctor_leak(c: Column | str) -> Column:
 
 
 def truncated(c: Column | str, dangling=tuple(R.DANGLING_WORDS), closing=tuple(R.SIGN_OFF_WORDS)) -> Column:
-    t = drop(c, r"\s+$")
-    last = F.lower(F.regexp_extract(t, R.LAST_WORD, 1))
-    return F.when((t == "") | t.rlike(R.TERMINAL) | one_of(last, closing), F.lit(False)).otherwise(one_of(last, dangling) | (last == ""))
+    whole = (strip(c) == "") | ended(c)
+    return let(last_word(c), lambda last: F.when(whole | one_of(last, closing), F.lit(False)).otherwise(one_of(last, dangling) | (last == "")))
 
 
 def is_echo(question: Column | str, answer: Column | str) -> Column:
@@ -295,8 +330,10 @@ def question_signature(c: Column | str) -> Column:
     return F.when(F.length(n) < 40, n).otherwise(last_chars(n, 80))
 
 
-def looks_medical(c: Column | str, suffixes=("itis", "osis", "emia", "oma", "pati", "logi", "ektomi", "algia")) -> Column:
-    return F.lower(col(c)).rlike("(" + "|".join(suffixes) + ")$")
+def looks_medical(c: Column | str, suffixes=R.MEDICAL_SUFFIXES, hints=R.MEDICAL_HINTS, stem: int = R.MEDICAL_STEM) -> Column:
+    """Whether a word is a known term, or ends like one after `stem` letters or more."""
+    low = F.lower(col(c))
+    return low.isin(*hints) | low.rlike(f"^.{{{stem},}}(?:" + "|".join(suffixes) + ")$")
 
 
 def head_class(c: Column | str) -> Column:
@@ -326,8 +363,12 @@ def yes_no(c: Column | str) -> Column:
     return F.nullif(english, F.lit(""))
 
 
-def bucket(question: Column | str, reference: Column | str) -> Column:
-    return F.when(col(question).rlike(r"\n\s*[A-E]\)"), "mcqa").when(yes_no(reference).isNotNull(), "yesno").otherwise("open")
+def bucket(question: Column | str, reference: Column | str, kind: Column | None = None, source: Column | None = None) -> Column:
+    """open, mcqa or yesno: told by the type and the source, if they say so, else by the question and the reference."""
+    of = lambda sources: F.coalesce(source.isin(*sources), F.lit(False)) if source is not None else F.lit(False)
+    told = F.coalesce(F.lower(kind) == "open", F.lit(False)) if kind is not None else F.lit(False)
+    options = of(R.OPTION_SOURCES) | col(question).rlike(r"\n\s*[A-E]\)")
+    return F.when(told | of(R.OPEN_SOURCES), "open").when(options, "mcqa").when(of(R.YES_NO_SOURCES) | yes_no(reference).isNotNull(), "yesno").otherwise("open")
 
 
 def f1(common: Column, predicted: Column, expected: Column) -> Column:
@@ -341,8 +382,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def token_f1(prediction: Column | str, reference: Column | str, pattern: str = "[a-z0-9]+") -> Column:
-    a, b = words(prediction, pattern), words(reference, pattern)
-    return f1(overlap(a, b), F.size(a), F.size(b))
+    return let(words(prediction, pattern), lambda a: let(words(reference, pattern), lambda b: f1(overlap(a, b), F.size(a), F.size(b))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -353,3 +393,34 @@ def jaccard(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+# ------------------------------------------------------------------ taxonomies
+
+
+def title_keywords(title: Column | str, stop_words, least: int = R.KEYWORD_CHARS) -> Column:
+    """The words of a title of `least` letters or more that are no stop words, and each two of them that follow each other."""
+    bare = drop(F.lower(col(title)), r"\[.*?\]|\(.*?\)")
+    found = F.filter(F.regexp_extract_all(bare, F.lit(r"[a-z][a-z\-']+"), F.lit(0)), lambda w: (F.length(w) >= least) & ~w.isin(*stop_words))
+    two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found) - 1, F.lit(1))), lambda i: F.array_join(F.slice(found, i, 2), " "))
+    return F.array_distinct(F.concat(found, F.when(F.size(found) > 1, two).otherwise(F.array().cast("array<string>"))))
+
+
+def keyword_weight(c: Column | str, keywords) -> Column:
+    """The words of all keywords found whole in the text, longer ones first, none overlapping another."""
+    ordered = sorted(set(keywords), key=lambda k: (-len(k), k))
+    pattern = r"(?i)\b(?:" + "|".join(escaped(k) for k in ordered) + r")\b"
+    return F.aggregate(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(0)), F.lit(0), lambda n, m: n + F.size(F.split(m, " ")))
+
+
+def escaped(word: str) -> str:
+    """The word as a pattern, in the syntax that Java and Python share."""
+    return "".join(ch if ch.isalnum() or ch == " " else f"\\{ch}" for ch in word)
+
+
+def topic(c: Column | str, groups: dict[str, tuple[str, ...]], fallback: str = R.FALLBACK_TOPIC, none: str = R.NO_TOPIC) -> Column:
+    """The group whose keywords weigh most, the first of equals; the fallback group only where no other has any."""
+    weights = {g: keyword_weight(c, ks) for g, ks in groups.items() if g != fallback}
+    best = F.array_max(F.array(*[F.struct(w.alias("w"), F.lit(-i).alias("i"), F.lit(g).alias("g")) for i, (g, w) in enumerate(weights.items())]))
+    last = F.when(keyword_weight(c, groups[fallback]) > 0, fallback).otherwise(none) if fallback in groups else F.lit(none)
+    return F.get(F.transform(F.array(best), lambda x: F.when(x["w"] > 0, x["g"]).otherwise(last)), 0)

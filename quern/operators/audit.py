@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern import rules as R
 from quern.functions import passes as P
 from quern.functions import text as T
 
@@ -45,11 +46,30 @@ def verdict(checks: DataFrame, name: str = "check", passed: str = "passed") -> D
     return checks.agg(F.when(F.bool_and(passed), "PASS").otherwise("FAIL").alias("verdict"), failed.alias("failed"))
 
 
-def residual_flags(c: Column | str) -> dict[str, Column]:
-    """What a cleaned text should have none of."""
-    c = T.col(c)
+def residual_flags(q: Column | str, a: Column | str) -> dict[str, Column]:
+    """What a finished set should have none of: some only looked for in the answer, the others in each text by itself."""
+    q, a = T.col(q), T.col(a)
+    name = F.lower(F.regexp_extract(a, R.TRAIL_NAME, 1))
+    flags = {n: a.rlike(p) for n, p in R.LEFT_IN_ANSWERS.items()} | {n: q.rlike(p) | a.rlike(p) for n, p in R.LEFT_IN_EITHER.items()}
+    return flags | {"B1_trail_name": (name != "") & ~name.isin(*R.TRAIL_NAME_STOP), "B6_glued": T.glued_count(q) + T.glued_count(a) > 0}
+
+
+def suspicious_flags(a: Column | str) -> dict[str, Column]:
+    """What looks like noise in an answer."""
+    a = T.col(a)
+    return {R.TOO_SHORT: F.length(T.strip(a)) < R.TOO_SHORT_CHARS} | {n: a.rlike(p) for n, p in R.SUSPICIOUS.items()}
+
+
+def artefact_flags(q: Column | str, a: Column | str, source: Column) -> dict[str, Column]:
+    """What an audit counts: code questions, greetings with and without a name, empty thoughts, empty answers."""
+    q, a = F.coalesce(T.col(q), F.lit("")), F.coalesce(T.col(a), F.lit(""))
     return {
-        "html": c.rlike("<[A-Za-z/][^>]*>"), "url": c.rlike(r"https?://|www\."), "email": c.rlike(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z]"), "phone": c.rlike(r"(?:\+62|62|0)8\d{7,11}"),
-        "placeholder": c.rlike(r"(?i)[\[{<]\s*nama\s*[\]}>]"), "entity": c.rlike("&[a-z]+;|&#[0-9]+;"), "spaces": c.rlike(" {2,}"), "triple": c.rlike("a{3}|e{3}|i{3}|o{3}|u{3}"),
-        "replacement": F.contains(c, F.lit("�")), "greeting": c.rlike(r"(?i)^\s*(hai|halo|hello|hi|dear)[\s,!.]"), "repeated_mark": c.rlike(r"[!?.,;:]{3,}"), "glued": c.rlike("[a-z][A-Z]"),
+        "icd_or_hidr_lookup": q.rlike(R.CODE_QUESTION) | a.rlike(R.CODE_QUESTION) | F.coalesce(source.isin(*R.CODE_SOURCES), F.lit(False)),
+        "greeting_with_name": a.rlike(R.GREETED_BY_NAME), "greeting_leading": a.rlike(R.GREETED), "empty_think_tags": a.rlike(R.EMPTY_THOUGHT) | q.rlike(R.EMPTY_THOUGHT), "empty_answer": ~a.rlike(r"\S"),
     }
+
+
+def mixed_languages(q_lang: Column | str, a_lang: Column | str, known: tuple[str, ...] = ("id", "en")) -> Column:
+    """Whether question and answer are told to be of two of the known languages."""
+    q, a = T.col(q_lang), T.col(a_lang)
+    return F.coalesce(q.isin(*known) & a.isin(*known) & (q != a), F.lit(False))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,48 +40,47 @@ def pair_key(q: Column | str, a: Column | str) -> Column:
     return T.squeeze(F.lower(F.concat(T.col(q), F.lit(" ||| "), T.col(a))))
 
 
-def _shingle_udf(size: int, pattern: str, short: str):
-    find = re.compile(pattern, re.ASCII).findall
-
-    @F.pandas_udf("array<bigint>")
-    def run(s: pd.Series) -> pd.Series:
-        def one(t: str | None) -> list[int]:
-            ws = find((t or "").lower())
-            grams = {" ".join(ws[i : i + size]) for i in range(len(ws) - size + 1)}
-            if not grams and ws and short != "none":
-                grams = set(ws) if short == "words" else {" ".join(ws)}
-            return [xxhash.xxh64_intdigest(g) - (1 << 63) for g in grams]
+def shingles(c: Column | str, size: int = 3, pattern: str = r"\w+", short: str = "words") -> Column:
+    """Hashes of the different runs of `size` tokens. Shorter texts: their words, or (short='whole') all of them as one, or (short='none') nothing."""
+    nothing = F.array().cast("array<bigint>")
 
-        return s.map(one)
+    def runs(ws: Column) -> Column:
+        n = F.size(ws)
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, size), " ")))
+        less = {"words": F.transform(ws, lambda w: F.xxhash64(w)), "whole": F.array(F.xxhash64(F.array_join(ws, " "))), "none": nothing}[short]
+        return F.when(n >= size, F.array_distinct(grams)).when(n > 0, F.array_distinct(less)).otherwise(nothing)
 
-    return run
+    return F.get(F.transform(F.array(F.coalesce(T.words(c, pattern), F.array().cast("array<string>"))), runs), 0)
 
 
-def shingles(c: Column | str, size: int = 3, pattern: str = r"\w+", short: str = "words") -> Column:
-    """Hashes of the different runs of `size` tokens. Shorter texts: their words, or (short='whole') all of them as one, or (short='none') nothing."""
-    return _shingle_udf(size, pattern, short)(T.col(c))
+def _klass(items: Column) -> Column:
+    """Tells sets apart, by 128 bits."""
+    return F.struct(F.xxhash64(items).alias("x"), F.xxhash64(F.lit(1), items).alias("y"))
 
 
 def similar_pairs(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:
     """(a, b, similarity) for pairs of different sets with a Jaccard similarity of `least` or more, and (key, a) members.
 
     Lossless prefix filter: items are sorted by how rare they are in the whole table, and two sets that similar share
-    one of their first n - ceil(least * n) + 1 items. Equal sets are one class, which its smallest key stands for; classes
-    are what pairs are made of. Returns (pairs, members).
+    one of their first n - ceil(least * n) + 1 items; where they meet first, what comes after it must leave room for the
+    overlap. Equal sets are one class, which its smallest key stands for; classes are what pairs are made of. Returns
+    (pairs, members).
     """
-    base = sets.select(F.col(key).alias("k"), F.array_sort(items).alias("items")).withColumn("klass", F.md5(F.array_join(F.transform("items", lambda x: x.cast("string")), ",")))
-    base = written(base, "sets")
+    base = written(sets.select(F.col(key).alias("k"), F.array_sort(items).alias("items")).withColumn("klass", _klass(F.col("items"))), "sets")
     first = base.groupBy("klass").agg(F.min("k").alias("a"))
     members = base.select("k", "klass").join(first, "klass").select(F.col("k").alias(key), "a")
     reps = written(base.join(first, [base["klass"] == first["klass"], base["k"] == first["a"]]).where(F.size("items") > 0).groupBy("a").agg(F.first("items").alias("items")), "representatives")
     one = reps.select("a", F.size("items").alias("n"), F.explode("items").alias("item"))
-    rarity = one.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    # an item of one set can't be shared, so it needs no place in the join
-    ordered = one.join(rarity, "item").groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("by_rarity"))
-    prefix = ordered.select("a", "n", F.explode(F.slice("by_rarity", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("i")).where("i.df > 1").select("a", "n", "i.item")
-    other = prefix.select(F.col("a").alias("b"), F.col("n").alias("m"), "item")
-    size = (F.col("n") <= F.col("m") / least + 1e-9) & (F.col("m") <= F.col("n") / least + 1e-9)
-    found = prefix.join(other, "item").where((F.col("a") < F.col("b")) & size).select("a", "b").distinct()
+    # an item of one set can't be shared; such items come first in the order, and only their number matters
+    shared = one.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = one.join(shared, "item").groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("by_rarity"))
+    length = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
+    alone = F.col("n") - F.size("by_rarity")
+    prefix = ordered.select("a", "n", alone.alias("alone"), F.posexplode(F.slice("by_rarity", F.lit(1), F.greatest(length - alone, F.lit(0)))).alias("at", "i"))
+    prefix = written(prefix.select("a", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), "i.item"), "prefixes")
+    other = prefix.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("rest").alias("other"), "item")
+    room = F.least("rest", "other") * (1 + least) + 1e-9 >= (F.col("n") + F.col("m")) * least
+    found = prefix.join(other, "item").where((F.col("a") < F.col("b")) & room).select("a", "b").distinct()
     full = reps.select(F.col("a").alias("b"), F.col("items").alias("others"))
     pairs = found.join(reps, "a").join(full, "b").withColumn("similarity", T.jaccard(F.col("items"), F.col("others")))
     return pairs.where(F.col("similarity") >= least).select("a", "b", "similarity"), members
@@ -93,7 +88,7 @@ def similar_pairs(sets: DataFrame, key: str, items: str, least: float) -> DataFr
 
 def class_members(sets: DataFrame, key: str, items: str) -> DataFrame:
     """(key, a): each row with the smallest key of its class of equal sets, as similar_pairs() has them."""
-    base = written(sets.select(F.col(key).alias("k"), F.md5(F.array_join(F.transform(F.array_sort(items), lambda x: x.cast("string")), ",")).alias("klass")), "classes")
+    base = written(sets.select(F.col(key).alias("k"), _klass(F.array_sort(items)).alias("klass")), "classes")
     return base.join(base.groupBy("klass").agg(F.min("k").alias("a")), "klass").select(F.col("k").alias(key), "a")
 
 

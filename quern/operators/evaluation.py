@@ -14,8 +14,9 @@ from quern.operators.profile import ends_of_series, repeat_ratio
 
 
 def scored(pairs: DataFrame, pred: str = "pred", ref: str = "ref", question: str = "question") -> DataFrame:
-    """pairs with bucket, token_f1, rouge_l and accuracy; a metric that doesn't apply is null."""
-    b = T.bucket(question, ref)
+    """pairs with bucket, token_f1, rouge_l and accuracy; a metric that doesn't apply is null. Columns type and source, if there are any, tell the bucket first."""
+    told = {k: F.col(c) if c in pairs.columns else None for k, c in (("kind", "type"), ("source", "source"))}
+    b = T.bucket(question, ref, **told)
     a, c = T.option_letter(pred), T.option_letter(ref)
     y, z = T.yes_no(pred), T.yes_no(ref)
     out = pairs.withColumn("bucket", b)
@@ -81,6 +82,11 @@ def run_deltas(runs: DataFrame, suffix: str = "_finetuned", base: str = "_baseli
     return out.select("label", "key", "metric", "value", "base_value", (F.col("value") - F.col("base_value")).alias("delta"), (F.col("value") >= target).alias("reached"))
 
 
+def quantisation_gap(runs: DataFrame, suffix: str = "_q4") -> DataFrame:
+    """run_deltas() of quantised runs against the run of the same label without the suffix; runs without one are left out."""
+    return run_deltas(runs, suffix, "").where("base_value is not null")
+
+
 def small_cells(cells: DataFrame, n: str = "n", least: int = R.SMALL_CELL) -> DataFrame:
     return cells.where(F.col(n) < least)
 

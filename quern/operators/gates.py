@@ -114,7 +114,7 @@ def short_answer_gate(a: str = "a", least: int = R.SHORT_ANSWER_CHARS) -> Gate:
     return Gate("short_answer", (("short", F.length(T.strip(a)) < least),))
 
 
-def greeting_gate(a: str = "a", pattern: str = R.NOISE_GREETING, below: int = R.GREETING_CHARS) -> Gate:
+def greeting_gate(a: str = "a", pattern: str = R.GENERIC_GREETING, below: int = R.GREETING_CHARS) -> Gate:
     return Gate("generic_greeting", (("greeting", F.col(a).rlike(pattern) & (F.length(a) < below)),))
 
 
@@ -133,12 +133,18 @@ def low_quality(messages: Column | str, strict: bool = True, banned=R.BANNED) ->
 
 
 def code_lookup(c: Column | str, source: Column | None = None, sources: tuple[str, ...] = ()) -> Column:
-    """Questions for the code of something, or rows of sources that are nothing else."""
+    """Questions for the code of something, or rows of sources that are nothing else. c: a text, or messages of which any may ask."""
     t = T.col(c)
     asks = F.contains(t, F.lit("What is the")) & F.contains(F.lower(t), F.lit("code")) & F.contains(t, F.lit("ICD")) & (F.length(t) < 200)
     return asks | source.isin(*sources) if source is not None and sources else asks
 
 
+def any_code_lookup(messages: Column | str, source: Column | None = None, sources: tuple[str, ...] = ()) -> Column:
+    """code_lookup() of any of the messages."""
+    asks = F.exists(T.col(messages), lambda m: code_lookup(m["content"]))
+    return asks | source.isin(*sources) if source is not None and sources else asks
+
+
 def high_person(entities: Column | str, least: float = R.PERSON_SCORE) -> Column:
     """Whether a recogniser's entities have a person that is no common word."""
 

@@ -19,6 +19,7 @@ GATHERED = 10_000
 
 
 def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of the order. They are a set: whichever way they are found, their own order isn't told."""
     if n <= GATHERED:
         return df.orderBy(*order).limit(n)
     return ranked(df, order, name="_rank").where(F.col("_rank") <= n).drop("_rank")
@@ -80,6 +81,7 @@ def stratified_reduce(df: DataFrame, stratum: str, key: str, target: int, seed:
 
 def largest_remainder(df: DataFrame, stratum: str, quality: str, key: str, target: int) -> DataFrame:
     """The best rows of each stratum, as many as its exact share rounded down and one more for the largest remainders."""
+    df = written(df, "scored")  # else the score would be worked out for each count, sample and sort
     n = df.groupBy(F.col(stratum).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     total = df.count()
     if total <= target:

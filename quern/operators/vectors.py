@@ -26,8 +26,8 @@ def bag(c: Column | str, size: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("float"))
 
 
-def by_profile(profiles: dict[str, tuple[str, ...]], text: str, name: str) -> Scorer:
-    """Language by the share of words that its list has, for want of a model: <name>_lang and <name>_prob."""
+def by_profile(profiles: dict[str, tuple[str, ...]], text: str, name: str, least: int = R.LANGUAGE_CHARS) -> Scorer:
+    """Language by the share of words that its list has, for want of a model: <name>_lang and <name>_prob; unknown below `least` characters."""
 
     def run(df: DataFrame) -> DataFrame:
         ws = T.words(text, r"[\p{L}]+")
@@ -38,7 +38,7 @@ def by_profile(profiles: dict[str, tuple[str, ...]], text: str, name: str) -> Sc
         lang = F.lit("unknown")
         for k, n in reversed(hits.items()):
             lang = F.when((most > 0) & (n == most), k).otherwise(lang)
-        return df.withColumns({f"{name}_lang": F.when(F.length(F.trim(text)) < 3, "unknown").otherwise(lang), f"{name}_prob": F.when(total > 0, most / total).otherwise(F.lit(0.0))})
+        return df.withColumns({f"{name}_lang": F.when(F.length(F.trim(text)) < least, "unknown").otherwise(lang), f"{name}_prob": F.when(total > 0, most / total).otherwise(F.lit(0.0))})
 
     return run
 

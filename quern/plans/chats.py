@@ -159,7 +159,7 @@ def language_gate(spark, d):
 def _told(c: str, name: str) -> str:
     hits = {k: f"len(list_filter(regexp_extract_all(lower({c}), '[' || chr(92) || 'p{{L}}]+'), lambda w: w in {v}))" for k, v in PROFILES.items()}
     most, total = f"greatest({', '.join(hits.values())})", " + ".join(hits.values())
-    lang = f"case when length(trim({c})) < 3 then 'unknown' when {most} = 0 then 'unknown' {' '.join(f"when {n} = {most} then '{k}'" for k, n in hits.items())} end"
+    lang = f"case when length(trim({c})) < 12 then 'unknown' when {most} = 0 then 'unknown' {' '.join(f"when {n} = {most} then '{k}'" for k, n in hits.items())} end"
     return f"{lang} as {name}_lang, case when {total} > 0 then {most}::double / ({total}) else 0.0 end as {name}_prob"
 
 

@@ -15,7 +15,7 @@ from quern.operators import dedup as D
 from quern.operators import gates as G
 from quern.operators import selection as S
 from quern.operators import vectors as V
-from quern.plans import chats
+from quern.plans import chats, samples
 from quern.plans.tables import pairs
 from quern.shared import written
 
@@ -117,8 +117,8 @@ SIZES, REDUCED = (30_000, 3_000, 3_000), 20_000
 
 
 def _rows(spark, d):
-    p = pairs(spark, d)
-    return p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "q", "a", F.concat(F.lit("s"), F.col("conv_id") % 5).alias("source"))
+    """Pairs of turns and made-up rows, in five sources."""
+    return samples.with_questions(pairs(spark, d)).withColumn("source", F.concat(F.lit("s"), F.pmod(F.floor(F.col("id") / 1000), F.lit(5))))
 
 
 def curate_basic(spark, d):
@@ -126,14 +126,15 @@ def curate_basic(spark, d):
 
 
 BASIC = r"""with next as (select conv_id, turn, role, text as q, lead(role) over w as next_role, lead(text) over w as a from conversations window w as (partition by conv_id order by turn)),
-pairs as (select conv_id * 1000 + turn as id, q, a from next where role = 'user' and next_role = 'assistant'),
-c as (select id, {q} as q, {a} as a from pairs), s as (select * from c where length({ta}) >= 80 and not (regexp_matches(a, '{greeting}') and length(a) < 150)),
+pairs as (select conv_id, turn, q, a from next where role = 'user' and next_role = 'assistant'), {rows},
+c as (select id, {q} as q, {a} as a from qa), s as (select * from c where length({ta}) >= 80 and not (regexp_matches(a, '{greeting}') and length(a) < 150)),
 u as (select * from s where lower({tq}) <> '' qualify row_number() over (partition by lower({tq}) order by id) = 1), k as (select * from u qualify row_number() over (partition by substr({ta}, 1, 120) order by id) <= 5),
 r as (select id, row_number() over (order by md5(id::varchar || '|42'), id) as rank, count(*) over () as n from k)
 select id, case when rank <= n * 80 // 100 then 'train' when rank <= n * 80 // 100 + n * 10 // 100 then 'val' else 'test' end as split from r"""
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '<[^>]{{1,80}}>', ' ', 'g'), 'https?://\S+|www\.\S+', '', 'g'), '[ ' || chr(9) || ']{{2,}}', ' ', 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-BASIC = BASIC.replace("{q}", _CLEAN.format("q")).replace("{a}", _CLEAN.format("a")).replace("{ta}", _TRIM.format("a")).replace("{tq}", _TRIM.format("q")).replace("{greeting}", G.R.NOISE_GREETING)
+_GENERIC = r"(?i)^(Hello[,.]?\s*Thank you for (asking|consulting)|Hi+[.,]?\s*(Thank you|Hope this message|I have gone through)|Hi+[.,]?\s*Thank you for consulting in Chat Doctor\.\s*$)"
+BASIC = BASIC.replace("{q}", _CLEAN.format("q")).replace("{a}", _CLEAN.format("a")).replace("{ta}", _TRIM.format("a")).replace("{tq}", _TRIM.format("q")).replace("{greeting}", _GENERIC).replace("{rows}", samples.WITH_QUESTIONS)
 
 
 def curate_leak_free(spark, d):

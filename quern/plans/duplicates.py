@@ -81,17 +81,36 @@ def near_members(spark, d):
 NEAR_MEMBERS = f"""with {_SHINGLES} select s.doc_id, reps.a, count(*) over (partition by reps.a) as n from s join reps using (items)"""
 
 
+def _greedy(edges: str) -> str:
+    """Relations that take nodes in order and let one go if an earlier one that stays is near: gone (x)."""
+    return f"""edges as ({edges}), placed as (select b, list(a) as near, row_number() over (order by b) as r from edges group by b),
+walk as (select 0::bigint as r, []::bigint[] as gone union all select p.r, case when len(list_filter(near, lambda x: not list_contains(gone, x))) > 0 then list_append(gone, p.b) else gone end from walk join placed p on p.r = walk.r + 1),
+gone as (select unnest(gone) as x from (select gone from walk order by r desc limit 1))"""
+
+
 def near_greedy(spark, d):
     sets = documents(spark, d).select("doc_id", D.shingles("text", 3, "[a-z0-9]+").alias("items"))
     return D.greedy_keep(*D.similar_pairs(sets, "doc_id", "items", 0.8), "doc_id")
 
 
+_NEAR = NEAR_PAIRS[NEAR_PAIRS.index("one as (") : NEAR_PAIRS.rindex("select a, b, round")].rstrip()
+NEAR_GREEDY = f"""with recursive {_SHINGLES}, {_NEAR}, {_greedy("select a, b from common where c::double / (n + m - c) >= 0.8")}
+select min(doc_id) as doc_id from s group by items having min(doc_id) not in (select x from gone)"""
+
+
 def near_text(spark, d):
     """Five words, similarity 0.9, over both sides of a pair."""
     p = pairs(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), D.shingles(F.concat("q", F.lit(" "), "a"), 5, r"\S+", "whole").alias("items"))
     return D.greedy_keep(*D.similar_pairs(p, "id", "items", 0.9), "id")
 
 
+_FIVE = """w as (select conv_id * 1000 + turn as doc_id, regexp_extract_all(lower(q || ' ' || a), '\\S+') as w from pairs),
+s as (select doc_id, case when len(w) >= 5 then list_sort(list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)])) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as items from w),
+reps as (select min(doc_id) as a, items, len(items) as n from s where len(items) > 0 group by items)"""
+NEAR_TEXT = f"""with recursive {PAIRS}, {_FIVE}, {_NEAR}, {_greedy("select a, b from common where c::double / (n + m - c) >= 0.9")}
+select min(doc_id) as id from s group by items having min(doc_id) not in (select x from gone)"""
+
+
 def near_leaks(spark, d):
     """Training documents that a validation or test document is similar to."""
     docs = split_documents(spark, d).select("doc_id", "split", D.shingles("text", 3, "[a-z0-9]+").alias("items"))
@@ -154,9 +173,12 @@ select x.split as a, y.split as b, coalesce(n, 0)::bigint as common from g x joi
 
 
 def eval_reasons(spark, d):
-    """Why test documents would leave beside the training ones; the first 60 characters stand for a question."""
-    s = split_documents(spark, d).select("doc_id", "split", F.substring("text", 1, 60).alias("q"), F.col("text").alias("a"))
-    return L.eval_reasons(s.where("split <> 'train'"), s.where("split = 'train'"), "doc_id")
+    """Why pairs of turns, and made-up rows, set aside for tests would leave beside the others."""
+    from quern.plans import samples
+
+    rows = samples.with_questions(pairs(spark, d))
+    test = F.pmod(F.xxhash64("id"), F.lit(4)) == 0
+    return L.eval_reasons(rows.where(test), rows.where(~test), "id")
 
 
 def union_sources(spark, d):
@@ -209,7 +231,7 @@ ZIP = rf"""with c as (select doc_id, text, regexp_replace(regexp_replace(text, '
 
 QUERIES = {
     "dedup_question": (dedup_question, DEDUP_QUESTION), "dedup_pair": (dedup_pair, DEDUP_PAIR), "dedup_md5": (dedup_md5, DEDUP_MD5), "dedup_documents": (dedup_documents, DEDUP_DOCUMENTS), "cap_repeats": (cap_repeats, CAP),
-    "near_pairs": (near_pairs, NEAR_PAIRS), "near_members": (near_members, NEAR_MEMBERS), "near_greedy": (near_greedy, None), "near_text": (near_text, None), "near_leaks": (near_leaks, NEAR_LEAKS), "bucketed_similar": (bucketed_similar, BUCKETED), "bucketed_members": (bucketed_members, BUCKETED_MEMBERS), "minhash_candidates": (minhash_candidates, None),
+    "near_pairs": (near_pairs, NEAR_PAIRS), "near_members": (near_members, NEAR_MEMBERS), "near_greedy": (near_greedy, NEAR_GREEDY), "near_text": (near_text, NEAR_TEXT), "near_leaks": (near_leaks, NEAR_LEAKS), "bucketed_similar": (bucketed_similar, BUCKETED), "bucketed_members": (bucketed_members, BUCKETED_MEMBERS), "minhash_candidates": (minhash_candidates, None),
     "exact_leaks": (exact_leaks, EXACT_LEAKS), "eval_reasons": (eval_reasons, None), "leak_counts": (leak_counts, LEAK_COUNTS), "union_sources": (union_sources, UNION), "not_chosen": (not_chosen, NOT_CHOSEN), "benchmark_overlap": (benchmark_overlap, BENCHMARK),
     "rare_keywords": (rare_keywords, RARE), "positional_zip": (positional_zip, ZIP),
 }

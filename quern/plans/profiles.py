@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import audit as A
 from quern.operators import profile as P
-from quern.plans.tables import SPLIT, documents, split_documents, table
+from quern.operators.vectors import by_profile
+from quern.plans import samples
+from quern.plans.tables import PAIRS, SPLIT, documents, pairs, split_documents, table
 
 LIMITS = (512, 1024, 1536, 2048)
 
@@ -101,32 +104,75 @@ CLIPPED = "with c as (select quantile_cont(length(text)::double, 0.95) as cut fr
 
 
 def noise_scan(spark, d):
-    c = F.col("text")
-    flags = {"email": c.rlike("[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.]"), "url": c.rlike("https?://|www[.]"), "html": c.rlike("<[A-Za-z/][^>]*>"), "digits": c.rlike("[0-9]{8,}"), "marks": c.rlike("[*$%&#]{3,}"), "hashes": F.contains(c, F.lit("##")), "licence": c.rlike("(?i)licen[cs]e"), "short": F.length(c) < 120}
-    return P.flag_counts(documents(spark, d), flags, ("lang",))
-
-
-NOISE = (
-    "with f as (select lang, count(*) as rows, "
-    + ", ".join(
-        f"count(*) filter (where {c}) as {n}"
-        for n, c in {
-            "email": "regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+[.]')", "url": "regexp_matches(text, 'https?://|www[.]')", "html": "regexp_matches(text, '<[A-Za-z/][^>]*>')", "digits": "regexp_matches(text, '[0-9]{8,}')",
-            "marks": "regexp_matches(text, '[*$%&#]{3,}')", "hashes": "contains(text, '##')", "licence": "regexp_matches(text, '(?i)licen[cs]e')", "short": "length(text) < 120",
-        }.items()
-    )
-    + " from documents group by lang) unpivot f on email, url, html, digits, marks, hashes, licence, short into name flag value n"
-)
+    """What looks like noise in the answers of pairs of turns and of made-up rows."""
+    return P.flag_counts(samples.with_questions(pairs(spark, d)), A.suspicious_flags("a"), ("source",))
+
+
+_SUSPICIOUS = {
+    "terlalu_pendek": r"length(regexp_replace(a, '^\s+|\s+$', '', 'g')) < 20",
+    "sapaan_awal": r"regexp_matches(a, '(?i)^(Hai|Halo|Alo|Hi|Hello|Hallo|Salam|Selamat|Dear|@\w+|Terima\s*kasih|Terimakasih|Thanks|Thank\s*you)\b')",
+    "mention": r"regexp_matches(a, '@\w+')", "url": r"regexp_matches(a, '(?i)https?://|www\.')", "html": "regexp_matches(a, '(?i)<[a-z]+>|&nbsp;|&amp;')", "markdown_dump": r"regexp_matches(a, '#{2,}|\|\s*-{2,}')",
+    "placeholder": r"regexp_matches(a, '(?i)\[deleted\]|\[removed\]|lorem ipsum|\bN/A\b|\bTBD\b')", "kode_aneh": r"regexp_matches(a, '\{[^}]*\}|\[\[[^\]]*\]\]')",
+}
+
+
+def _flagged(flags: dict[str, str]) -> str:
+    cols = ", ".join(f"count(*) filter (where {c}) as {n}" for n, c in flags.items())
+    return f"with {PAIRS}, {samples.WITH_QUESTIONS}, f as (select source, count(*) as rows, {cols} from qa group by source) unpivot f on {', '.join(flags)} into name flag value n"
+
+
+NOISE = _flagged(_SUSPICIOUS)
 
 
 def artefact_flags(spark, d):
-    c = F.coalesce("text", F.lit(""))
-    flags = {"lookup": F.contains(c, F.lit("What is the")), "greeting": c.rlike("(?i)^(hai|halo|hello|hi|in) "), "empty": ~c.rlike(r"\S"), "think": F.contains(c, F.lit("<think>"))}
-    return P.flag_counts(table(spark, d, "conversations"), flags, ("role",))
+    """What an audit counts in pairs of turns and made-up rows."""
+    return P.flag_counts(samples.with_questions(pairs(spark, d)), A.artefact_flags("q", "a", F.col("source")), ("source",))
+
+
+_CODE = "(?i)(ICD[- ]?11 code|ICD[- ]?10 code|kode ICD|ICD[- ]?11 classification|what (condition|disease) does .* represent|ICD[- ]?11 code for)"
+_HELLO = r"(?i)^\s*(hi|hai|halo|hello|dear|hallo)\b"
+_THOUGHT = r"(?i)<think>\s*</think>|<thinking>\s*</thinking>"
+ARTEFACTS = _flagged(
+    {
+        "icd_or_hidr_lookup": f"regexp_matches(q, '{_CODE}') or regexp_matches(a, '{_CODE}') or source in ('icd11', 'hidr')", "greeting_with_name": rf"regexp_matches(a, '{_HELLO}[\s,]+[A-Z][a-z]+')", "greeting_leading": f"regexp_matches(a, '{_HELLO}')",
+        "empty_think_tags": f"regexp_matches(a, '{_THOUGHT}') or regexp_matches(q, '{_THOUGHT}')", "empty_answer": r"not regexp_matches(a, '\S')",
+    }
+)
+
+
+def mixed_languages(spark, d):
+    """Languages of question and answer by source, told by profiles of frequent words, and the pairs that are in two."""
+    told = by_profile(LANGUAGES, "a", "a")(by_profile(LANGUAGES, "q", "q")(samples.with_questions(pairs(spark, d))))
+    return told.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a_lang") == "id").alias("a_id"), F.count_if(A.mixed_languages("q_lang", "a_lang")).alias("mixed"))
+
+
+LANGUAGES = {"id": ("dan", "yang", "tidak", "saya", "untuk", "pada", "dokter"), "en": ("the", "of", "and", "in", "is", "for", "you")}
+
+
+def _told(c: str) -> str:
+    hits = {k: f"len(list_filter(regexp_extract_all(lower({c}), '[' || chr(92) || 'p{{L}}]+'), lambda w: w in {v}))" for k, v in LANGUAGES.items()}
+    most = f"greatest({', '.join(hits.values())})"
+    return f"case when length(trim({c})) < 12 then 'unknown' when {most} = 0 then 'unknown' {' '.join(f"when {n} = {most} then '{k}'" for k, n in hits.items())} end"
+
+
+MIXED = f"with {PAIRS}, {samples.WITH_QUESTIONS}, t as (select source, {_told('q')} as x, {_told('a')} as y from qa) select source, count(*) as n, count(*) filter (where y = 'id') as a_id, count(*) filter (where x in ('id', 'en') and y in ('id', 'en') and x <> y) as mixed from t group by source".replace("{{", "{").replace("}}", "}")
+
+
+def enumerations(spark, d):
+    """Whole documents and made-up answers with their enumerations laid out."""
+    rows = documents(spark, d).select(F.col("doc_id").alias("id"), "text").union(samples.frame(spark, samples.QUESTIONS, samples.NAMES).select("id", "a"))
+    return rows.select("id", F.md5(T.enumerations("text")).alias("laid_out"), F.regexp_count(T.enumerations("text"), F.lit("(?m)^- ")).cast("long").alias("parts"))
 
 
-ARTEFACTS = r"""with c as (select role, coalesce(text, '') as t from conversations), f as (select role, count(*) as rows, count(*) filter (where contains(t, 'What is the')) as lookup, count(*) filter (where regexp_matches(t, '(?i)^(hai|halo|hello|hi|in) ')) as greeting,
-count(*) filter (where not regexp_matches(t, '\S')) as empty, count(*) filter (where contains(t, '<think>')) as think from c group by role) unpivot f on lookup, greeting, empty, think into name flag value n"""
+_STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_ITEM = _STRIPPED.format(r"regexp_replace(regexp_replace(x, '^[ .]+|[ .]+$', '', 'g'), '^(atau|dan|serta)\s+', '')")
+_LEAD = r"regexp_replace(" + _STRIPPED.format(r"regexp_extract(s, '^(.{{3,90}}?):\s*(.+)$', 1)") + ", ',+$', '')"
+_REST = r"regexp_extract(s, '^(.{{3,90}}?):\s*(.+)$', 2)"
+ENUMERATIONS = rf"""with t as (select doc_id as id, text from documents union all select id, a from {samples.values(samples.QUESTIONS, samples.NAMES)}),
+s as (select id, list_filter(string_split(regexp_replace({_STRIPPED.format(r"regexp_replace(text, '\s+', ' ', 'g')")}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as ss from t),
+l as (select id, array_to_string(list_transform(ss, lambda s: case when {_LEAD} <> '' and length({_REST}) - length(replace({_REST}, ',', '')) >= 2
+  then '**' || upper(substr({_LEAD}, 1, 1)) || substr({_LEAD}, 2) || ':**' || chr(10) || array_to_string(list_transform(list_filter(list_transform(string_split_regex({_REST}, ',\s*'), lambda x: {_ITEM}), lambda x: x <> '' and not regexp_full_match(x, '(?i)(dan|atau)?\s*lain[- ]?(lain|nya|sebagainya)?')), lambda x: '- ' || x), chr(10)) else s end), chr(10) || chr(10)) as t from s)
+select id, md5(t) as laid_out, len(regexp_extract_all(t, '(?m)^- '))::bigint as parts from l""".replace("{{", "{").replace("}}", "}")
 
 
 def top_words(spark, d):
@@ -182,6 +228,6 @@ select conv_id, turn, case when len(w) >= 4 then 1 - len(list_distinct([array_to
 QUERIES = {
     "source_distribution": (source_distribution, SOURCES), "lang_by_source": (lang_by_source, LANGS), "domain_by_split": (domain_by_split, DOMAINS), "length_stats": (length_stats, STATS), "floor_percentiles": (floor_percentiles, FLOORS),
     "linear_percentiles": (linear_percentiles, LINEAR), "truncation_counts": (truncation_counts, ABOVE), "recommended_length": (recommended_length, RECOMMENDED), "category_crosstab": (category_crosstab, CROSSTAB), "language_share": (language_share, SHARE),
-    "clipped_lengths": (clipped_lengths, CLIPPED), "noise_scan": (noise_scan, NOISE), "artefact_flags": (artefact_flags, ARTEFACTS), "top_words": (top_words, WORDS), "cumulative_lengths": (cumulative_lengths, CUMULATIVE),
+    "clipped_lengths": (clipped_lengths, CLIPPED), "noise_scan": (noise_scan, NOISE), "artefact_flags": (artefact_flags, ARTEFACTS), "mixed_languages": (mixed_languages, MIXED), "enumerations": (enumerations, ENUMERATIONS), "top_words": (top_words, WORDS), "cumulative_lengths": (cumulative_lengths, CUMULATIVE),
     "quality_by_label": (quality_by_label, QUALITY), "throughput": (throughput, THROUGHPUT), "series_ends": (series_ends, SERIES), "repeat_ratio": (repeat_ratio, REPEATS),
 }

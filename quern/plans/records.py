@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern import rules as R
 from quern.operators import gates as G
+from quern.plans import samples
 from quern.plans.tables import table
 from quern.sources import builders as B
 from quern.sources import readers
@@ -12,50 +14,70 @@ from quern.streaming import gates as stream
 
 
 def code_questions(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("- "), "p_name").alias("title"), F.col("p_brand").alias("chapter"), F.col("p_type").alias("note"), F.col("p_partkey").cast("string").alias("code"))
-    return B.code_templates(p, "code", "title", "chapter", "note", ("p_partkey",))
-
-
-_CODES = """select p_partkey, 'What is the code for ' || p_name || '?' as q, 'The code for ' || p_name || ' is ' || p_partkey || ', in the chapter ' || p_brand || '.' as a from part
-union all select p_partkey, 'What does the code ' || p_partkey || ' stand for?', p_partkey || ' stands for ' || p_name || '. It belongs to the chapter ' || p_brand || '.' from part
-union all select p_partkey, 'What is noted on ' || p_name || ' (' || p_partkey || ')?', p_type from part where length(p_type) > 20"""
+    """Parts as a sheet of codes, with blocks, missing codes, short titles, an extension chapter and notes of several lengths among them."""
+    k = F.col("p_partkey")
+    chapter = F.when(k % 23 == 0, "X").when(k % 19 == 0, " V ").otherwise(F.lpad((k % 29).cast("string"), 2, "0"))
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.when(k % 13 > 0, F.concat(F.lit(" C"), k.cast("string"))).alias("code"), F.when(k % 17 == 0, "-- ab").otherwise(F.concat(F.lit("- - "), "p_name")).alias("title"), chapter.alias("chapter"),
+        F.when(k % 3 == 0, F.concat("p_name", F.lit(" of the "), "p_brand", F.lit(" "))).when(k % 3 == 1, F.col("p_brand")).alias("note"), F.when(k % 11 == 0, "block").otherwise("category").alias("kind"),
+    )
+    return B.code_templates(B.code_rows(rows, "code", "title", "chapter", "note", "kind", ("p_partkey",)), ("p_partkey",))
+
+
+_CHAPTERS = ", ".join(f"('{k}', '{v}')" for k, v in R.CHAPTERS.items())
+_CODES = f"""with s as (select p_partkey, 'C' || p_partkey as code, p_name as title, case when p_partkey % 19 = 0 then 'V' else lpad((p_partkey % 29)::varchar, 2, '0') end as chapter, case p_partkey % 3 when 0 then p_name || ' of the ' || p_brand when 1 then p_brand else '' end as note
+from part where p_partkey % 11 > 0 and p_partkey % 13 > 0 and p_partkey % 23 > 0 and p_partkey % 17 > 0 and length(p_name) > 3),
+r as (select s.*, coalesce(c.name, 'Unknown chapter') as name from s left join (values {_CHAPTERS}) as c(chapter, name) using (chapter))
+select p_partkey, 'What is the ICD-11 code for ' || title || '?' as q, 'The ICD-11 code for **' || title || '** is **' || code || '**. It is classified under Chapter ' || chapter || ': ' || name || '.' as a from r
+union all select p_partkey, 'A patient has been diagnosed with ICD-11 code ' || code || '. What condition does this represent?', 'ICD-11 code **' || code || '** represents **' || title || '**. This condition is classified under Chapter ' || chapter || ': ' || name
+  || ' in the ICD-11 international classification system. For detailed clinical information and patient-specific advice, please consult a qualified healthcare professional.' from r
+union all select p_partkey, 'Describe ' || title || ' according to ICD-11 classification guidelines.', '**' || title || '** (ICD-11: ' || code || ') — ' || note || ' This condition falls under Chapter ' || chapter || ': ' || name || '.' from r where length(note) > 20"""
 
 
 def indicator_questions(spark, d):
+    """Nations as indicators, what is known of them told in several ways and not at all."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = n.select("n_nationkey", F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 5 > 0, F.col("r_name")).alias("topic"), F.when(F.col("n_nationkey") % 3 > 0, F.lit("the census")).alias("data"), F.when(F.col("n_nationkey") % 2 > 0, F.lit("year")).alias("dimension"), F.when(F.col("n_nationkey") % 7 > 0, F.substring("n_name", 1, 3)).alias("short"))
-    return B.indicator_templates(rows, "name", "topic", "data", "dimension", "short", ("n_nationkey",))
+    k = F.col("n_nationkey")
+    rows = n.select(
+        "n_nationkey", F.when(k % 8 == 7, "nan").otherwise(F.concat(F.lit(" "), "n_name")).alias("name"), F.when(k % 5 > 0, F.col("r_name")).alias("topic"), F.when(k % 3 > 0, "the census").otherwise("").alias("data"),
+        F.when(k % 2 > 0, "year ").otherwise("NaN").alias("dimension"), F.when(k % 7 > 0, F.substring("n_name", 1, 3)).alias("short"), F.when(k % 4 > 0, k.cast("string")).alias("data_id"),
+    )
+    return B.indicator_templates(rows, "name", "topic", "data", "dimension", "short", "data_id", ("n_nationkey",))
 
 
-_INDICATORS = """with r as (select n_nationkey, n_name as name, case when n_nationkey % 5 > 0 then r_name end as topic, case when n_nationkey % 3 > 0 then 'the census' end as data, case when n_nationkey % 2 > 0 then 'year' end as dim, case when n_nationkey % 7 > 0 then substr(n_name, 1, 3) end as short from nation join region on n_regionkey = r_regionkey)
-select n_nationkey, 'What is ' || name || coalesce(' (' || short || ')', '') || '?' as q, 'It is an indicator of ' || topic || coalesce(', taken from ' || data, '') || coalesce(', by ' || dim, '') || '.' as a from r where topic is not null
-union all select n_nationkey, 'Where does ' || name || ' come from?', 'From ' || data || '.' from r where data is not null
-union all select n_nationkey, 'By what is ' || name || ' broken down?', 'By ' || dim || '.' from r where dim is not null"""
+_INDICATORS = """with r as (select n_nationkey, n_name as name, r_name as topic, substr(n_name, 1, 3) as short from nation join region on n_regionkey = r_regionkey where n_nationkey % 8 <> 7)
+select n_nationkey, 'What does the health indicator ''' || short || ''' measure?' as q, 'The indicator ''' || short || ''' measures **' || name || '**' || case when n_nationkey % 2 > 0 then ', categorized under the dimension: year.' else '.' end as a from r where n_nationkey % 7 > 0
+union all select n_nationkey, 'Which dataset covers the health indicator ''' || name || '''?', 'The indicator **' || name || '** is covered by the **the census** dataset' || case when n_nationkey % 4 > 0 then ' (ID: ' || n_nationkey || ')' else '' end || '.' from r where n_nationkey % 3 > 0
+union all select n_nationkey, 'What topic area does ''' || name || ''' fall under in WHO HIDR?', '**' || name || '** falls under the **''' || topic || '''** topic area in the WHO Health Indicator and Data Repository (HIDR).' from r where n_nationkey % 5 > 0"""
 
 
 def option_questions(spark, d):
     p = table(spark, d, "part")
     choices = ["p_brand", "p_type", "p_name", F.col("p_size").cast("string")]
     q = B.options(F.concat(F.lit("What is "), "p_name", F.lit("?")), choices)
-    a = B.option_answer((F.col("p_partkey") % 5).cast("int"), choices, F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")))
-    return p.select("p_partkey", q.alias("q"), a.alias("a"))
+    why = F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).when(F.col("p_partkey") % 3 == 1, F.lit("None"))
+    a = B.option_answer(F.when(F.col("p_partkey") % 7 > 0, F.col("p_partkey") % 6 - 1).cast("int"), choices, why)
+    return p.select("p_partkey", q.alias("q"), a.alias("a")).where("a is not null")
 
 
 _OPTIONS = """select p_partkey, 'What is ' || p_name || '?' || chr(10) || 'A) ' || p_brand || chr(10) || 'B) ' || p_type || chr(10) || 'C) ' || p_name || chr(10) || 'D) ' || p_size as q,
-case p_partkey % 5 when 0 then 'The correct answer is A) ' || p_brand when 1 then 'The correct answer is B) ' || p_type when 2 then 'The correct answer is C) ' || p_name when 3 then 'The correct answer is D) ' || p_size end || '.' || case when p_partkey % 2 = 0 then ' ' || p_type else '' end as a from part"""
+'The correct answer is **' || case p_partkey % 6 - 1 when 0 then 'A) ' || p_brand when 1 then 'B) ' || p_type when 2 then 'C) ' || p_name when 3 then 'D) ' || p_size else '?) ' end || '**.' || case when p_partkey % 3 = 0 then ' ' || p_type else '' end as a from part where p_partkey % 7 > 0"""
 
 
 def typed_answers(spark, d):
     p = table(spark, d, "part")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("yesno", "factoid", "list", "summary")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    exact = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("YES"))).otherwise(F.split("p_name", " "))
+    verdict = F.array(F.when(F.col("p_partkey") % 8 == 0, "YES").otherwise("unclear"))
+    listed = F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name", "p_name", "p_name"), " ")
+    exact = F.when(F.col("p_partkey") % 5 == 0, F.array().cast("array<string>")).when(F.col("p_partkey") % 4 == 0, verdict).otherwise(listed)
     ideal = F.when(F.col("p_partkey") % 3 > 0, F.col("p_type"))
-    return p.select("p_partkey", B.typed_answer(kind, ideal, exact).alias("a"), B.decision_answer(F.when(F.col("p_partkey") % 2 == 0, "mAYBE"), "p_type").alias("decision"), B.instruction("p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit("None")).when(F.col("p_partkey") % 3 == 1, F.col("p_type"))).alias("instruction"))
+    given = F.when(F.col("p_partkey") % 3 == 0, F.lit("None")).when(F.col("p_partkey") % 3 == 1, F.col("p_type"))
+    return p.select("p_partkey", B.typed_answer(kind, ideal, exact).alias("a"), B.decision_answer(F.when(F.col("p_partkey") % 2 == 0, "mAYBE"), "p_type").alias("decision"), B.instruction("p_name", given).alias("instruction"))
 
 
-_TYPED = """select p_partkey, case p_partkey % 4 when 0 then 'Yes. ' || coalesce(t, '') when 1 then coalesce(t, array_to_string(e[1:5], ', ')) when 2 then coalesce(t, array_to_string(e[1:10], '; ')) else coalesce(t, '') end as a,
+_TYPED = """select p_partkey, case when p_partkey % 3 = 0 then '' when p_partkey % 5 = 0 then p_type else case p_partkey % 4 when 0 then case when p_partkey % 8 = 0 then 'Yes. ' else 'No. ' end when 1 then array_to_string(e[1:5], ', ') || '. ' when 2 then 'These include: ' || array_to_string(e[1:10], '; ') || '. ' else '' end || p_type end as a,
 case when p_partkey % 2 = 0 then 'Maybe. ' || p_type else p_type end as decision, case when p_partkey % 3 = 1 then p_name || chr(10) || p_type else p_name end as instruction
-from (select *, case when p_partkey % 3 > 0 then p_type end as t, string_split(p_name, ' ') as e from part)"""
+from (select *, string_split(concat_ws(' ', p_name, p_type, p_brand, p_name, p_name, p_name), ' ') as e from part)"""
 
 
 def named_regions(spark, d):
@@ -68,15 +90,19 @@ _REGIONS = "select n_nationkey, coalesce(r_name, 'Unknown') as name from nation
 
 
 def clean_questions(spark, d):
-    """Conversations' first question and answer as a source table: null drop, length band, no echo, one row per question."""
+    """Conversations' first question and answer, and made-up rows, as a source table: cleaned, in length bands, no echo or follow-up, one row per question."""
     c = table(spark, d, "conversations")
     rows = c.groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("question"), F.min_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("answer"))
-    return readers.questions_csv(rows, F.col("conv_id"))
+    made = samples.frame(spark, samples.QUESTIONS, samples.NAMES).select(F.col("id").alias("conv_id"), F.col("q").alias("question"), F.col("a").alias("answer"))
+    return readers.questions_csv(rows.union(made), F.col("conv_id"))
 
 
-_QUESTIONS = """with r as (select conv_id, arg_min(text, turn) filter (role = 'user') as q, arg_min(text, turn) filter (role = 'assistant') as a from conversations group by conv_id),
-v as (select conv_id, case when lower(trim(q)) not in ('', 'nan', 'none') then trim(q) end as q, case when lower(trim(a)) not in ('', 'nan', 'none') then trim(a) end as a from r)
-select q, a from v where q is not null and a is not null and length(a) between 50 and 2000 and q <> a qualify row_number() over (partition by q order by conv_id) = 1"""
+_BARE = "regexp_replace({0}, '<[^>]+>', ' ', 'g')"
+_TIDY = "trim(regexp_replace(regexp_replace(replace(replace(replace(" + _BARE + r", '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), 'https?://\S+', '', 'g'), '\s{{2,}}', ' ', 'g'))"
+_FOLLOW_UP = r"(?i)tolong\s*(d\s*)?balas|tolong\s*di\s*jawab|gmna\s*dok|belum\s*di\s*balas|kenapa\s*belum|mohon\s*d\s*balas|dong\s*dok|ma[''\s]?af.*belum|dok\s*tolong|harap\s*di\s*balas"
+_QUESTIONS = f"""with r as (select conv_id, arg_min(text, turn) filter (role = 'user') as q, arg_min(text, turn) filter (role = 'assistant') as a from conversations group by conv_id union all select id, q, a from {samples.values(samples.QUESTIONS, samples.NAMES)}),
+v as (select conv_id, case when lower(trim(q)) not in ('', 'nan', 'none') then {_TIDY.format("trim(q)")} end as q, case when lower(trim(a)) not in ('', 'nan', 'none') then {_TIDY.format("trim(a)")} end as a from r)
+select q, a from v where length(q) >= 20 and length(a) between 100 and 2000 and q <> a and not regexp_matches(a, '{_FOLLOW_UP}') qualify row_number() over (partition by q order by conv_id) = 1"""
 
 
 def first_rows(spark, d):

@@ -192,8 +192,15 @@ def pilot_checks(spark, d):
     return E.pilot_checks(log, out, "day", "loss", "text", "ok")
 
 
+PILOT = """with log as (select ts::date as day, avg(value) as loss from events group by 1), r as (select loss, row_number() over (order by day) as r, count(*) over () as c from log),
+e as (select avg(loss) filter (where r <= greatest(1, floor(c * 0.2))) as first, avg(loss) filter (where r > c - greatest(1, floor(c * 0.2))) as last, max(loss) as highest, arg_min(loss, r) as begin, bool_and(loss is not null and not isnan(loss) and not isinf(loss)) as finite from r),
+w as (select text, regexp_extract_all(lower(text), '[a-z0-9]+') as w from conversations where role = 'assistant'),
+t as (select avg(regexp_matches(text, '[a-z]')::int::double) as ok, max(case when len(w) >= 4 then 1 - len(list_distinct([array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)]))::double / (len(w) - 3) else 0.0 end) as repeats from w),
+k as (select last < first as trend, highest <= 2 * begin as no_explosion, finite, ok >= 0.9 as language, repeats <= 0.3 as no_repeats from e cross join t)
+unpivot k on trend, no_explosion, finite, language, no_repeats into name "check" value passed"""
+
 QUERIES = {
     "lexicon_scores": (lexicon_scores, LEXICON_SQL), "composite": (composite, COMPOSITE), "vector_relevance": (vector_relevance, VECTORS), "prediction_scores": (prediction_scores, f"with {PREDICTIONS} select idx, lang, bucket, accuracy, token_f1 from scored"),
     "metric_grouping_sets": (metric_grouping_sets, GROUPING), "closed_grouping_sets": (closed_grouping_sets, CLOSED), "unparsed_references": (unparsed_references, UNPARSED), "whitespace_f1": (whitespace_f1, WHITESPACE), "rouge_l": (rouge_l, None),
-    "bootstrap_ci": (bootstrap_ci, None), "paired_bootstrap": (paired_bootstrap, None), "run_deltas": (run_deltas, RUNS), "best_checkpoint": (best_checkpoint, CHECKPOINT), "spot_check_rates": (spot_check_rates, SPOT), "pilot_checks": (pilot_checks, None),
+    "bootstrap_ci": (bootstrap_ci, None), "paired_bootstrap": (paired_bootstrap, None), "run_deltas": (run_deltas, RUNS), "best_checkpoint": (best_checkpoint, CHECKPOINT), "spot_check_rates": (spot_check_rates, SPOT), "pilot_checks": (pilot_checks, PILOT),
 }

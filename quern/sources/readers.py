@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern import rules as R
+from quern.functions import passes as P
 from quern.operators.selection import first_rows, sample
 
 MESSAGE = "array<struct<role: string, content: string>>"
@@ -56,10 +58,14 @@ def nested_questions(spark: SparkSession, paths: list[str]) -> DataFrame:
     return q.select("q.body", "q.type", F.to_json("q.ideal_answer").alias("ideal_answer"), F.to_json("q.exact_answer").alias("exact_answer"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def parquet_or_json(spark: SparkSession, path: str) -> DataFrame | None:
     """A data set that was fetched before; None if it isn't there."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+    if not exists(spark, path):
         return None
     return spark.read.json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else spark.read.parquet(path)
 
@@ -80,7 +86,7 @@ def prefix(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def pool(spark: SparkSession, paths: list[str], schema: str = POOL) -> DataFrame:
     """The first path that is there, or the union of the later ones."""
-    found = [p for p in paths if parquet_or_json(spark, p) is not None]
+    found = [p for p in paths if exists(spark, p)]
     if not found:
         raise FileNotFoundError(", ".join(paths))
     tables = [json_lines(spark, p, schema) for p in (found[:1] if found[0] == paths[0] else found)]
@@ -91,9 +97,13 @@ def pool(spark: SparkSession, paths: list[str], schema: str = POOL) -> DataFrame
 
 
 def latest(spark: SparkSession, pattern: str) -> DataFrame:
-    """The file of the greatest name that fits the pattern, as lines."""
-    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"))
-    return lines.join(F.broadcast(lines.agg(F.max("path").alias("path"))), "path", "left_semi").select("value")
+    """The file of the greatest name that fits the pattern, as lines; only that one is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    paths = sorted(x.getPath().toString() for x in found or [])
+    if not paths:
+        raise FileNotFoundError(pattern)
+    return spark.read.text(paths[-1]).select("value")
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,10 +112,11 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("label", F.explode("metrics").alias("key", "m")).select("label", "key", F.explode("m").alias("metric", "value"))
 
 
-def questions_csv(df: DataFrame, key: Column, low: int = 50, high: int = 2000, reject: str | None = None, n: int | None = None) -> DataFrame:
-    """(q, a) of a table of questions: cleaned columns first, answers of low to high characters, no echo, one row per question, n of them."""
+def questions_csv(df: DataFrame, key: Column, question: int = R.SOURCE_QUESTION_CHARS, answer: tuple[int, int] = R.SOURCE_ANSWER_CHARS, reject: str | None = R.NOT_ANSWER, n: int | None = None) -> DataFrame:
+    """(q, a) of a table of questions, cleaned: questions of some length, answers within two, no echo, no users' follow-ups, one row per question, n of them."""
     rows = df.select(first_of(df, "question_clean", "question").alias("q"), first_of(df, "answer_clean", "answer").alias("a"), key.alias("_k")).where("q is not null and a is not null")
-    rows = rows.where(F.length("a").between(low, high) & (F.col("q") != F.col("a")))
+    rows = rows.select(P.source_cleaned(F.col("q")).alias("q"), P.source_cleaned(F.col("a")).alias("a"), "_k")
+    rows = rows.where((F.length("q") >= question) & F.length("a").between(*answer) & (F.col("q") != F.col("a")))
     if reject:
         rows = rows.where(~F.col("a").rlike(reject))
     rows = rows.groupBy("q").agg(F.min_by("a", "_k").alias("a"))

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import dedup as D
 from quern.operators import evaluation as E
 from quern.operators import gates as G
@@ -87,9 +88,28 @@ def test_minhash_estimates(spark):
 def test_spelling(spark):
     df = spark.createDataFrame([("Tge tge man THE tge.",)], "t string")
     assert Y.apply(df, "t", {"tge": "the"}).first().t == "The the man THE the."
-    assert df.select(Y.corrected("t", {"tge": "the"}, {})).first()[0] == "Tge tge man THE tge."
-    long = spark.createDataFrame([("Telfon saya. Telfon dan Telfon",)], "t string")
-    assert long.select(Y.corrected("t", {"telfon": "telepon"}, {})).first()[0] == "Telepon saya. Telepon dan Telfon"
+    assert tuple(df.select(Y.corrected("t", {"tge": "the"})).first()[0]) == ("Tge tge man THE tge.", 0)
+    long = spark.createDataFrame([("Telfon saya. Telfon dan Telfon TELFON",), ("  Telfon\nTelfon, Telfon",), ("",), (None,)], "t string")
+    got = [r[0] and tuple(r[0]) for r in long.select(Y.corrected("t", {"telfon": "telepon"})).collect()]
+    assert got[:3] == [("Telepon saya. Telepon dan Telfon TELFON", 2), ("  Telepon\nTelepon, Telfon", 2), ("", 0)]
+    assert tuple(df.select(Y.corrected("t", {})).first()[0]) == ("Tge tge man THE tge.", 0)
+
+
+def test_runtime_corrections(spark):
+    """By hand, else the official list for unknown words, else the one word of the dictionary that is one edit away."""
+    words = spark.createDataFrame([("karna",), ("apotik",), ("demma",), ("berobat",), ("salma",), ("obar",), ("kata",), ("abc",), ("Obatt",)], "word string")
+    valid = spark.createDataFrame([("demam",), ("obat",), ("obak",), ("kata",), ("deema",)], "word string")
+    official = spark.createDataFrame([("demma", "demam"), ("kata", "katak"), ("salma", "salam"), ("obar", "x")], "old string, new string")
+    plain = {r.old: r.new for r in Y.runtime_corrections(words, valid, official).collect()}
+    assert plain == {"karna": "karena", "apotik": "apotek", "demma": "demam"}
+    more = {r.old: r.new for r in Y.runtime_corrections(words, valid, official, aggressive=True).collect()}
+    assert more == plain | {"obatt": "obat"}  # obar is one edit from two words
+
+
+def test_correction_flags_are_counted(spark):
+    df = spark.createDataFrame([(["MEDIS", "JAUH(d=3)"], 2), (["JAUH(d=4)", "SERING(9)"], 5)], "flags array<string>, n int")
+    assert {(r.flag, r.types, r.applied) for r in Y.flag_counts(df, "flags", "n").collect()} == {("MEDIS", 1, 2), ("JAUH", 2, 7), ("SERING", 1, 5)}
+    assert [r[0] for r in df.select(Y.priority("flags")).collect()] == [0, 9]
 
 
 def test_readers_and_sinks(spark, tmp_path):
@@ -159,10 +179,39 @@ def test_pilot_checks(spark):
 def test_spelling_corrections(spark):
     counts = spark.createDataFrame([("demam", 50), ("deman", 1), ("demma", 2), ("telfon", 1), ("salma", 1), ("minuman", 1), ("minum", 40), ("obat", 100)], "word string, n long")
     caps = spark.createDataFrame([("demma", 1)], "word string, n long")
-    valid = spark.createDataFrame([("demam",), ("minum",), ("obat",)], "word string")
-    official = spark.createDataFrame([], "old string, new string")
+    valid = spark.createDataFrame([("demam",), ("minum",), ("obat",), ("telepon",), ("apotek",)], "word string")
+    official = spark.createDataFrame([("apotik", "apotek"), ("obatt", "xxxx"), ("minuman", "minum")], "old string, new string")
+    counts = counts.union(spark.createDataFrame([("apotik", 70), ("obatt", 1)], "word string, n long"))
     got = {r.old: r.new for r in Y.corrections(counts, caps, valid, official).collect()}
-    assert got == {"deman": "demam", "telfon": "telepon"}
+    assert got == {"deman": "demam", "telfon": "telepon", "apotik": "apotek"}  # xxxx, the listed one for obatt, is no word
+
+
+def test_taxonomy(spark):
+    """Keywords of titles by group, weighed by their words; the fallback group only where no other has any."""
+    titles = spark.createDataFrame([("heart", "Acute heart failure [x] (y)"), ("heart", "Heart valve disorders"), ("skin", "Atopic eczema"), ("Gejala & Tanda Klinis", "Fever")], "g string, t string")
+    kws = titles.select("g", F.explode(T.title_keywords("t", ("acute", "disorders"))).alias("k")).groupBy("g").agg(F.collect_set("k").alias("k"))
+    groups = {r.g: tuple(r.k) for r in kws.collect()}
+    assert set(groups["heart"]) == {"heart", "failure", "heart failure", "valve", "heart valve"} and set(groups["skin"]) == {"atopic", "eczema", "atopic eczema"}
+    df = spark.createDataFrame([("heart failure and eczema",), ("atopic eczema of the Heart",), ("fever",), ("eczemas",), (None,), ("eczema heart",)], "c string")
+    assert [r[0] for r in df.select(T.topic("c", {k: groups[k] for k in ("skin", "heart", "Gejala & Tanda Klinis")})).collect()] == ["heart", "skin", "Gejala & Tanda Klinis", "Lain-lain", "Lain-lain", "skin"]
+
+
+def test_buckets_by_type_and_source(spark):
+    rows = [("q\nA) x", "Yes", "open", "x", "open"), ("q\nA) x", "Yes", None, "x", "mcqa"), ("q", "Ya, bisa", None, "indonesia_qna", "open"), ("q", "z", None, "medmcqa", "mcqa"), ("q", "z", None, "pubmedqa", "yesno"), ("q", "tidak", None, None, "yesno"), ("q", "z", "x", None, "open")]
+    df = spark.createDataFrame(rows, "question string, ref string, type string, source string, want string")
+    assert all(r.b == r.want for r in df.select("want", T.bucket("question", "ref", F.col("type"), F.col("source")).alias("b")).collect())
+    assert [r.bucket for r in E.scored(df.withColumn("pred", F.col("ref"))).collect()] == [r[4] for r in rows]
+
+
+def test_quantisation_gap(spark):
+    runs = spark.createDataFrame([("m_finetuned", "overall", "rougeL", 0.4), ("m_finetuned_q4", "overall", "rougeL", 0.37), ("n_q4", "overall", "rougeL", 0.1)], "label string, key string, metric string, value double")
+    got = E.quantisation_gap(runs).collect()
+    assert [(r.label, round(r.delta, 3)) for r in got] == [("m_finetuned_q4", -0.03)]
+
+
+def test_any_message_may_ask_for_a_code(spark):
+    df = spark.createDataFrame([([("user", "x"), ("assistant", "What is the ICD-11 code for x?")], "s"), ([("user", "x")], "icd11"), ([("user", "x")], "s")], "m array<struct<role: string, content: string>>, source string")
+    assert [r[0] for r in df.select(G.any_code_lookup("m", F.col("source"), ("icd11",))).collect()] == [True, True, False]
 
 
 def test_dictionary(spark):

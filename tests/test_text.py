@@ -145,4 +145,10 @@ def test_part_of_a_sequence_as_a_column(spark):
 
 def test_sentences_and_bullets(spark):
     assert one(spark, "Satu. Dua kata ini! Tiga", T.sentence_of("c", "kata")) == ("Dua kata ini!",)
-    assert one(spark, "Langkah: 1. minum 2. makan 3. tidur", T.bullets("c"))[0].count("\n- ") == 3
+    got = one(spark, "langkah, : a b, atau c, dan lainnya.  Perhatikan: satu, dua. Sebab: a, dan lain-lain, c", T.enumerations("c"))[0]
+    assert got == "**Langkah:**\n- a b\n- c\n\nPerhatikan: satu, dua.\n\n**Sebab:**\n- a\n- c"
+
+
+def test_medical_words(spark):
+    df = spark.createDataFrame([("Gastritis",), ("itis",), ("oitis",), ("dermatitis",), ("vertigo",), ("rumah",), ("grafi",)], "c string")
+    assert [r[0] for r in df.select(T.looks_medical("c")).collect()] == [True, False, False, True, True, False, False]
