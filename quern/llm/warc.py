@@ -8,12 +8,15 @@ Of pages with equal payloads of at least `least` bytes the one with the smallest
 others revisit it and have no payload of their own.
 
 Defined results: null html is an empty payload; a null url has no WARC-Target-URI; a null page_id comes before all
-others; rows that share page_id and payload are all response; other columns are ignored; an empty table gives no
-archive and an empty table. A damaged archive raises ValueError.
+others; rows that share page_id and payload are all response; payloads of any length are written and read whole; other
+columns are ignored; an empty table gives no archive and an empty table. A damaged archive, one whose records tell no
+content length among them, raises ValueError. Digests by sha256, sha1, md5 and sha512, in hexadecimal or base32, are
+verified; a digest of another kind raises ValueError, as it can't be.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -114,8 +117,26 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
+def _length(told: dict[str, str], at: int) -> int:
+    if not re.fullmatch(r"\d+", told.get("content-length", "")):
+        raise ValueError(f"the record at {at} tells no content length")
+    return int(told["content-length"])
+
+
+def _verify(data: bytes, digest: str | None, what: str) -> None:
+    """Raises unless data has the digest, `name:value`."""
+    if not digest:
+        return
+    name, _, value = digest.partition(":")
+    if name.lower().replace("-", "") not in ("md5", "sha1", "sha256", "sha512"):
+        raise ValueError(f"{what} has a digest of a kind that can't be verified: {name}")
+    own = hashlib.new(name.lower().replace("-", ""), data).digest()
+    if value.lower() != own.hex() and value.upper().rstrip("=") != base64.b32encode(own).decode().rstrip("="):
+        raise ValueError(f"{what} doesn't have its digest")
+
+
 def read_records(stream) -> Iterator[dict]:
-    """The records of one archive, in order, each verified."""
+    """The records of one archive, in order, each verified. payload_bytes is what a response has, and what a revisit's HTTP head tells."""
     source = Inflated(stream)
     while source.member():
         at = source.begin
@@ -123,23 +144,24 @@ def read_records(stream) -> Iterator[dict]:
         if not head.startswith(b"WARC/"):
             raise ValueError(f"no record at {at}")
         told = _fields(head)
-        block = source.take(int(told["content-length"]))
+        block = source.take(_length(told, at))
         if source.take(4) != b"\r\n\r\n":
             raise ValueError(f"the record at {at} is longer than its content length")
         source.close()
-        sha, payload = "sha256:", None
-        if told.get("warc-block-digest", sha).startswith(sha) and "warc-block-digest" in told and sha + hashlib.sha256(block).hexdigest() != told["warc-block-digest"]:
-            raise ValueError(f"the block at {at} doesn't have its digest")
-        kind, size = told.get("warc-type"), None
+        _verify(block, told.get("warc-block-digest"), f"the block at {at}")
+        kind, size, payload = told.get("warc-type"), None, None
         if told.get("content-type", "").startswith("application/http"):
             http, _, payload = block.partition(b"\r\n\r\n")
-            size = int(_fields(http).get("content-length", len(payload)))
+            if kind == "response":
+                size = len(payload)
+            elif re.fullmatch(r"\d+", length := _fields(http).get("content-length", "")):
+                size = int(length)
         digest = told.get("warc-payload-digest")
-        if kind == "response" and digest and digest.startswith(sha) and (sha + hashlib.sha256(payload or b"").hexdigest() != digest or len(payload or b"") != size):
-            raise ValueError(f"the payload at {at} doesn't have its digest")
+        if kind == "response":
+            _verify(payload or b"", digest, f"the payload at {at}")
         yield {
             "page_id": _page(told.get("warc-record-id")), "record_type": kind, "refers_to": _page(told.get("warc-refers-to")), "target_uri": told.get("warc-target-uri"), "payload_bytes": size,
-            "payload_digest": digest.removeprefix(sha) if digest else None, "payload": payload if kind == "response" else None, "offset": at,
+            "payload_digest": digest.partition(":")[2] if digest else None, "payload": payload if kind == "response" else None, "offset": at,
         }
 
 
@@ -155,7 +177,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     large = F.octet_length("payload") >= least
     first = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("met"), "first")
     # small payloads never revisit, and get keys of their own, so that they don't meet in one task
-    rows = rows.withColumn("meet", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("page_id").cast("string"))))
+    rows = rows.withColumn("meet", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))))
     rows = rows.join(first, F.col("meet") == F.col("met"), "left").select("page_id", "url", "payload", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
     def run(batches):
@@ -203,3 +225,12 @@ def read_warc(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
     tasks = max(1, min(archives.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return archives.select("archive").repartition(tasks).mapInArrow(run, RECORDS)
+
+
+#: op1's digests in DuckDB SQL, over the view pages.
+SQL = f"""
+with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, min(page_id) over (partition by payload_digest) as response from p),
+j as (select *, payload_bytes >= {LEAST} and response < page_id as again from f)
+select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then response end as refers_to from j
+"""
