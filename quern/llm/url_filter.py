@@ -4,17 +4,19 @@ Every url has a key: its host and as many leading path segments as the longest r
 is all keys of the corpus, the listed keys are those whose rule says block. Level 0 is a Bloom filter of the
 listed keys; level 1 encodes the unlisted keys that level 0 lets pass, level 2 the listed ones that level 1 lets
 pass, and so on until a level lets nothing false pass. A key's first level without it decides: exact for every
-key of the universe, with no join. The levels are constants of the plan; the size of each is checked against
-`most_bits`, and a list beyond it is cut by key hash into sections, each with a cascade of its own and a pass of
-its own over the urls.
+key of the universe, with no join. The levels are constants of the plan, each once, and none has more than `most_bits`
+bits: keys are cut by hash into as many sections as the listed keys, and the unlisted ones that level 0 is expected to
+let pass, ask for, each section with a cascade of its own; if a level comes out above the bound all the same, there are
+twice as many sections. One pass over the urls serves PASS sections, each row by its own section's bits.
 
 Defined results: a null url, or one without ://, has empty host and path and no rule; repeated rows get equal
-verdicts; other columns are kept out; an empty table gives an empty table.
+verdicts; urls are read whole, however long; other columns are kept out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,8 @@ from quern.llm.common import written
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Bits for each key of a level and bits set for each, for about 1 in 100 false; bits that one level may have.
 BITS, SET, MOST_BITS = 10, 5, 1 << 25
+#: Share of other keys that a level lets pass, rounded up; sections that one pass over the urls serves.
+FALSE, PASS = 0.012, 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -62,13 +66,17 @@ def key_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.concat(host, F.lit(" "), lead)
 
 
+class LevelTooLarge(OverflowError):
+    """A level would have more bits than it may."""
+
+
 class Level:
     """A Bloom filter as an array of 64-bit words that the plan carries as a constant."""
 
     def __init__(self, keys: DataFrame, count: int, number: int, most_bits: int):
         self.words = max(1, math.ceil(count * BITS / 64))
         if self.words * 64 > most_bits:
-            raise OverflowError(f"a level of {count} keys is above {most_bits} bits")
+            raise LevelTooLarge(f"a level of {count} keys is above {most_bits} bits")
         self.number = number
         bit = keys.select(F.explode(F.array(*self.places(F.col("key")))).alias("at"))
         found = bit.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
@@ -83,9 +91,7 @@ class Level:
         return [F.pmod(a + F.lit(i) * b, F.lit(self.words * 64)) for i in range(SET)]
 
     def has(self, key: Column) -> Column:
-        bit = lambda at: F.get(self.bits, F.floor(at / 64).cast("int"))
-        tests = [F.call_function("shiftright", bit(at), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1 for at in self.places(key)]
-        return reduce(lambda x, y: x & y, tests)
+        return F.forall(F.array(*self.places(key)), lambda at: F.call_function("shiftright", F.get(self.bits, F.floor(at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
 
 
 class Cascade:
@@ -117,17 +123,31 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     which, says = rule_of(F.col("host"), F.col("path"), rules)
     listed = F.coalesce(says == "block", F.lit(False))
     universe = written(urls.groupBy("key").agg(F.max(listed).alias("listed")), "universe")
-    sections = max(1, math.ceil(universe.where("listed").count() * BITS / (most_bits * 0.9)))
-    of = lambda key: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(sections))
+    of, cascades = sections(universe, most_bits)
     out = []
-    for s in range(sections):
-        own = universe if sections == 1 else universe.where(of(F.col("key")) == s)
-        some = urls if sections == 1 else urls.where(of(F.col("key")) == s)
-        blocked = Cascade(own, most_bits).has(F.col("key"))
+    for begin in range(0, len(cascades), PASS):
+        own = cascades[begin : begin + PASS]
+        blocked = F.lit(False)
+        for s, cascade in enumerate(own, begin):
+            blocked = cascade.has(F.col("key")) if len(cascades) == 1 else F.when(of(F.col("key")) == s, cascade.has(F.col("key"))).otherwise(blocked)
+        some = urls if len(cascades) <= PASS else urls.where(of(F.col("key")).between(begin, begin + len(own) - 1))
         out.append(some.select(id_col, "host", "path", which.alias("rule"), F.when(blocked, "block").otherwise("allow").alias("verdict")))
     return reduce(DataFrame.union, out)
 
 
+def sections(universe: DataFrame, most_bits: int = MOST_BITS) -> tuple[Callable[[Column], Column], list[Cascade]]:
+    """The section of a key, and a cascade for each section."""
+    n = dict(universe.groupBy("listed").count().collect())
+    most = max(n.get(True, 0), n.get(False, 0) * FALSE if n.get(True) else 0)
+    many = max(1, math.ceil(most * BITS / (most_bits * 0.9)))
+    while True:
+        of = lambda key, many=many: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(many))
+        try:
+            return of, [Cascade(universe if many == 1 else universe.where(of(F.col("key")) == s), most_bits) for s in range(many)]
+        except LevelTooLarge:
+            many *= 2
+
+
 #: The whole operator with the default rules in DuckDB SQL, over the view pages.
 SQL = """
 with rest as (

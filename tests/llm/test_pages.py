@@ -45,6 +45,28 @@ def test_warc_damage():
             list(warc.read_records(io.BytesIO(bad)))
 
 
+def test_warc_of_other_writers():
+    import base64
+
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nabc"
+
+    def packed(*fields):
+        return gzip.compress("\r\n".join(["WARC/1.0", "WARC-Type: response", "Content-Type: application/http", *fields]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    size, sha1 = f"Content-Length: {len(block)}", base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+    (one,) = warc.read_records(io.BytesIO(packed(size, f"WARC-Payload-Digest: sha1:{sha1}")))
+    assert (one["payload"], one["payload_bytes"], one["payload_digest"]) == (b"abc", 3, sha1)  # the HTTP head's own length decides nothing
+    for fields in ((), ("Content-Length: x",), (size, "WARC-Payload-Digest: sha1:AAAA"), (size, "WARC-Block-Digest: md5:00"), (size, "WARC-Payload-Digest: crc:1")):
+        with pytest.raises(ValueError, match="."):
+            list(warc.read_records(io.BytesIO(packed(*fields))))
+
+
+def test_warc_long_and_repeated(spark):
+    rows = [(1, "u", "é" * 1_500_000), (2, "u" * 70_000, "é" * 1_500_000), *[(None, None, None)] * 40]
+    got = warc.read_warc(warc.write_warc(pages(spark, rows))).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.payload_bytes, r.refers_to) for r in got) == [(0, "response", 0, None)] * 40 + [(1, "response", 3_000_000, None), (2, "revisit", 3_000_000, 1)]
+
+
 def test_warc_of_nothing(spark):
     assert warc.read_warc(warc.write_warc(pages(spark, []))).count() == 0
 
@@ -81,6 +103,29 @@ def test_cascade_is_exact(spark):
         url_filter.Cascade(universe, 1000)
 
 
+def test_few_listed_of_many(spark):
+    """What level 0 lets pass counts for the sections too."""
+    from pyspark.sql import functions as F
+
+    universe = spark.range(60_005).select(F.col("id").cast("string").alias("key"), (F.col("id") < 5).alias("listed")).cache()
+    of, cascades = url_filter.sections(universe, 4096)
+    assert len(cascades) > 1 and all(level.words * 64 <= 4096 for c in cascades for level in c.levels)
+    answer = F.lit(None).cast("boolean")
+    for s, c in enumerate(cascades):
+        answer = F.when(of(F.col("key")) == s, c.has(F.col("key"))).otherwise(answer)
+    assert universe.where(~answer.eqNullSafe(F.col("listed"))).count() == 0
+
+
+def test_sections_read_the_pages_once(spark, tmp_path):
+    rows = [(i, f"http://h{i}.{'net' if i % 2 else 'org'}/{i}/{'x' * (100_000 if i == 7 else 3)}", "k", True) for i in range(700)]
+    spark.createDataFrame(rows, "page_id long, url string, key string, listed boolean").write.parquet(f"{tmp_path}/p")
+    df = spark.read.parquet(f"{tmp_path}/p")
+    out = url_filter.filter_urls(df, most_bits=384)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("pmod(xxhash64") >= 1
+    assert {r.page_id: r.verdict for r in out.collect()} == {i: "block" if i % 2 else "allow" for i in range(700)}
+
+
 CONVERSATIONS = {
     1: [("system", "be kind"), ("user", "hi ### there"), ("assistant", r"\### Assistant: </turn> ok")],
     2: [("system", "be kind"), ("user", "hi ### there"), ("assistant", "####</turn></turn>\\")],
