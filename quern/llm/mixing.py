@@ -9,8 +9,9 @@ until half a document would be too much. The cut is found on sums of 4096 hash b
 bucket in which it falls is sorted, so a source of any size is never in one task.
 
 Defined results: a null text has size 0; null sources are one source, the last; a null doc_id is hashed like
-any other value; repeated rows count and are taken alike; a source of size 0 has target 0; other columns are
-kept; an empty table gives an empty table.
+any other value; repeated rows count and are taken alike; a source of size 0 has target 0; documents of size 0 follow
+the passes of their source like any other, and none is taken more often than `epochs`; texts are counted whole, however
+long; other columns are kept, under a new name (given_…) where they clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ def mix_sources(
     ).withColumn("_part", F.col("mix_target") - F.col("_whole") * F.col("mix_source_size"))
     so_far = Window.partitionBy("_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cut = per.withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0))).join(targets, F.col("_source").eqNullSafe(F.col("_to")))
-    cut = cut.where("before <= _part and _part < before + words").select(F.col("_source").alias("_cut"), "bucket", "before", "_part")
+    # a clamped source has no fractional pass
+    cut = cut.where("_part > 0 and before <= _part and _part < before + words").select(F.col("_source").alias("_cut"), "bucket", "before", "_part")
     ahead = Window.partitionBy("_source").orderBy("_draw", "_id").rowsBetween(Window.unboundedPreceding, -1)
     inside = narrow.select("_source", "_draw", "_id", "mix_size").join(cut, F.col("_source").eqNullSafe(F.col("_cut")) & (F.substring("_draw", 1, 3) == F.col("bucket")))
     inside = inside.withColumn("at", F.col("before") + F.coalesce(F.sum("mix_size").over(ahead), F.lit(0)) + F.col("mix_size") / 2).where("at <= _part")
