@@ -3,10 +3,12 @@
 Texts become code points, A-Z and the Latin-1 capitals lower-cased and all else but letters of that range made
 one blank; the n-grams of each order are hashed into a fixed number of bins. Training counts bins for each
 language in the tasks and adds up the counts; the matrix of log-probabilities is broadcast, which its size,
-languages times bins, bounds. A batch of texts is scored at once, as one gather and one sum per text.
+at most LANGUAGES times bins, bounds; with more languages there is a matrix, and a pass, for each so many, and the best
+of all passes is told. Texts are scored by gathers of a bounded number of rows and a sum per text, however long a text is.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text if nothing could be
-learned; a null doc_id is never held out and never learned from; repeated rows get equal results; texts shorter
+learned; a null doc_id is never held out and never learned from; repeated rows get equal results; texts are read whole,
+however long; texts shorter
 than the n-grams are told by the prior; other columns are ignored; an empty table gives an empty table.
 """
 
@@ -22,8 +24,8 @@ from quern.llm.common import buffers, column, few_rows, slices
 ORDERS, BINS, SMOOTH = (2, 3), 1 << 15, 0.5
 #: Bound of the training sample: about so many labelled rows of each language, chosen by hash; all if there are fewer.
 SAMPLE = 5000
-#: Most languages; with BINS it bounds the model.
-LANGUAGES = 200
+#: Languages of one matrix; with BINS it bounds what is broadcast. Numbers that a gather holds at once.
+LANGUAGES, GATHERED = 200, 1 << 22
 
 _M = np.uint32(0x9E3779B1)
 
@@ -66,21 +68,23 @@ class Model:
     def __init__(self, names: list[str], prior: np.ndarray, logs: np.ndarray):
         self.names, self.prior, self.logs = names, prior, logs
 
-    def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def score(self, texts: pa.Array) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """Of each text the best language, null without a letter, its log-probability, and the logarithm of the sum of all."""
         bounds, points = code_points(texts)
-        n = len(bounds) - 1
-        total = np.tile(self.prior, (n, 1))
-        full = np.flatnonzero(np.diff(bounds))
-        if len(full) and self.names:
-            for order in ORDERS:
-                total[full] += np.add.reduceat(self.logs[grams(bounds, points, order)], bounds[:-1][full], axis=0, dtype=np.float64)
+        total = np.tile(self.prior, (len(bounds) - 1, 1))
+        step = max(1, GATHERED // len(self.names))
+        for order in ORDERS:
+            bins = grams(bounds, points, order)
+            for begin in range(0, len(points), step):
+                end = min(begin + step, len(points))
+                edge = np.clip(bounds, begin, end)
+                full = np.flatnonzero(np.diff(edge))
+                total[full] += np.add.reduceat(self.logs[bins[begin:end]], edge[:-1][full] - begin, axis=0, dtype=np.float64)
         known = letters(bounds, points, texts)
-        if not self.names:
-            return ["und"] * n, np.zeros(n)
-        best = total.argmax(1)
+        top = total.max(1)
         with np.errstate(under="ignore"):
-            p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        return [self.names[b] if ok else "und" for b, ok in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, p, 0.0)
+            all_ = top + np.log(np.exp(total - top[:, None]).sum(1))
+        return [self.names[b] if ok else None for b, ok in zip(total.argmax(1).tolist(), known.tolist(), strict=True)], top, all_
 
 
 def letters(bounds: np.ndarray, points: np.ndarray, texts: pa.Array) -> np.ndarray:
@@ -92,15 +96,15 @@ def letters(bounds: np.ndarray, points: np.ndarray, texts: pa.Array) -> np.ndarr
     return has
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of rows with a language: about `sample` of each, chosen by a hash of id_col, and whole texts."""
+def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[Model]:
+    """Models of rows with a language, LANGUAGES in each: about `sample` rows of each language, chosen by a hash of id_col, and whole texts."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     names = sorted(counts)
-    if not names:
-        return Model([], np.zeros(0), np.zeros((BINS + 1, 0), np.float32))
+    return [_fit(rows, names[at : at + LANGUAGES], counts, sample, id_col, text_col, lang_col) for at in range(0, len(names), LANGUAGES)]
+
+
+def _fit(rows: DataFrame, names: list[str], counts: dict[str, int], sample: int, id_col: str, text_col: str, lang_col: str) -> Model:
     share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, sample / counts[n]))])
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(1 << 20)) / float(1 << 20)
     chosen = rows.where(draw < F.element_at(share, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -124,34 +128,42 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
     n[:BINS] += SMOOTH
     logs = np.zeros((BINS + 1, len(names)), np.float32)
     logs[:BINS] = np.log(n[:BINS] / n[:BINS].sum(0))
-    prior = np.log(np.array([counts[x] for x in names]) / sum(counts.values()))
-    return Model(names, prior, logs)
+    return Model(names, np.log(np.array([counts[x] for x in names]) / sum(counts.values())), logs)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, models: list[Model], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, lang_pred and score of every whole text; only the text is looked at."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
     few_rows(docs.sparkSession)
     names = [f"c{i}" for i in range(len(keep))]
-    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], *([] if text_col in keep else [F.col(text_col).alias("the_text")]))
     text = names[keep.index(text_col)] if text_col in keep else "the_text"
+    best = [F.lit(None).cast("string").alias("best"), F.lit(float("-inf")).alias("top"), F.lit(float("-inf")).alias("all")]
+    told = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], *([] if text_col in keep else [F.col(text_col).alias("the_text")]), *best)
+    schema = told.schema
 
-    def run(batches):
-        for batch in batches:
-            lang, score = [], []
-            for part in slices(batch, text, 1 << 19):
-                told, p = held.value.score(column(part, text))
-                lang += told
-                score.append(p)
-            # one batch out for one in: the columns that pass through are not cut
-            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in names), pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], [*names, "lang_pred", "score"])
+    def scored(model):
+        held = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            for batch in batches:
+                parts = [held.value.score(column(part, text)) for part in slices(batch, text, 1 << 19)]
+                name = [x for p in parts for x in p[0]]
+                top, all_ = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in (1, 2))
+                before = column(batch, "top").to_numpy()
+                own = [n if a > b else o for n, o, a, b in zip(name, column(batch, "best").to_pylist(), top, before, strict=True)]
+                # one batch out for one in: the columns that pass through are not cut
+                put = {"best": pa.array(own, pa.string()), "top": pa.array(np.maximum(top, before)), "all": pa.array(np.logaddexp(all_, column(batch, "all").to_numpy()))}
+                yield pa.RecordBatch.from_arrays([put.get(n, column(batch, n)) for n in schema.names], schema.names)
+
+        return run
 
-    schema = ", ".join([f"{n} {given.schema[n].dataType.simpleString()}" for n in names] + ["lang_pred string", "score double"])
-    return given.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score")
+    for model in models:
+        told = told.mapInArrow(scored(model), schema)
+    score = F.when(F.col("best").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.exp(F.col("top") - F.col("all"))))
+    return told.select(*names, F.coalesce("best", F.lit("und")).alias("lang_pred"), score.alias("score")).toDF(*keep, "lang_pred", "score")
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, keep: tuple[str, ...] | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from the rows that are not held out, told of all."""
     out = held_out(F.col(id_col))
-    model = fit(docs.where(~out & F.col(id_col).isNotNull()), sample, id_col, text_col, lang_col)
-    return predict(docs.withColumn("held_out", out), model, text_col, keep or (id_col, "held_out"))
+    models = fit(docs.where(~out & F.col(id_col).isNotNull()), sample, id_col, text_col, lang_col)
+    return predict(docs.withColumn("held_out", out), models, text_col, keep or (id_col, "held_out"))
