@@ -188,3 +188,19 @@ def read_back(packs: DataFrame, vocabulary: str | None = None, pattern: str | No
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names)
 
     return packs.mapInArrow(run, "conv_id long, turns array<struct<role: string, text: string>>, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+#: op5's digests in DuckDB SQL, over the view conversations.
+SQL = r"""
+with told as (
+  select conv_id, turn, coalesce(role, 'null') as role, coalesce(text, '') as text from conversations
+  union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) as v(t, r)),
+sized as (
+  select *, length('### ') + length(role) + length(regexp_replace(role, '[^\\:#<\n]', '', 'g')) + length(': ') + length('</turn>') + 1
+    + length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + len(regexp_extract_all(text, '</turn>'))
+    + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0) as chars from told)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(length(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant')), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, sum(chars)::bigint as formatted_chars
+from sized group by conv_id
+"""
