@@ -136,6 +136,55 @@ def test_readers_and_sinks(spark, tmp_path):
     assert [tuple(r) for r in readers.runs(spark, str(runs)).collect()] == [("m_baseline", "overall", "token_f1", 0.5)]
 
 
+def test_limits_sheets_pools_and_latest(spark, tmp_path):
+    lines = tmp_path / "chat.jsonl"
+    lines.write_text("".join(json.dumps({"messages": [], "source": f"s{i}"}) + "\n" for i in range(5)))
+    assert readers.json_lines(spark, str(lines), limit=3).count() == 3
+    sheet = tmp_path / "codes.csv"
+    sheet.write_text('Code,Title,Note\n1A,"- Cholera, acute",\nnan,x,"two\nlines"\n')
+    got = [tuple(r) for r in readers.sheet(spark, str(sheet), ("Code", "Title", "Note")).collect()]
+    assert got == [("1A", "- Cholera, acute", None), (None, "x", "two\nlines")]
+    with pytest.raises(ValueError, match="no Chapter"):
+        readers.sheet(spark, str(sheet), ("Code", "Chapter"))
+    row = lambda q: json.dumps({"q": q, "a": "x", "title": None, "scores": {"lang": 0.5}}) + "\n"
+    first, b, c = (tmp_path / f"{n}.jsonl" for n in "fbc")
+    b.write_text(row("b"))
+    c.write_text(row("c"))
+    paths = [str(x) for x in (first, b, c)]
+    assert {r.q for r in readers.pool(spark, paths).collect()} == {"b", "c"}
+    first.write_text(row("f"))
+    assert {r.q for r in readers.pool(spark, paths).collect()} == {"f"}
+    with pytest.raises(FileNotFoundError):
+        readers.pool(spark, [str(tmp_path / "none.jsonl")])
+    for day in ("2024-01-02", "2024-01-10", "2023-12-31"):
+        (tmp_path / f"run-{day}.txt").write_text(f"{day}\n")
+    assert [r.value for r in readers.latest(spark, f"{tmp_path}/run-*.txt").collect()] == ["2024-01-10"]
+    with pytest.raises(FileNotFoundError):
+        readers.latest(spark, f"{tmp_path}/no-*.txt")
+    assert readers.parquet_or_json(spark, str(tmp_path / "none.parquet")) is None
+    assert readers.parquet_or_json(spark, str(b)).count() == 1
+
+
+def test_sinks(spark, tmp_path):
+    d = str(tmp_path)
+    df = spark.createDataFrame([(1, "train", "x", 5), (2, "val", "x", 7), (3, "train", "y", 9)], "id int, split string, domain string, n int")
+    sinks.splits(df, f"{d}/splits")
+    assert {r.split: r.n for r in spark.read.json(f"{d}/splits").groupBy("split").agg(F.count("id").alias("n")).collect()} == {"train": 2, "val": 1}
+    assert {tuple(r) for r in sinks.split_stats(df, "split", "domain", "n").collect()} == {("train", "x", 1, 5, 5), ("train", "y", 1, 9, 9), ("val", "x", 1, 7, 7)}
+    for write, name, sep in ((sinks.tsv, "t", "\t"), (sinks.csv, "c", ",")):
+        write(df, f"{d}/{name}")
+        assert spark.read.option("header", True).option("sep", sep).csv(f"{d}/{name}").count() == 3
+    sinks.two(df, f"{d}/two", F.col("n") > 6, df.agg(F.sum("n").alias("total")))
+    assert spark.read.json(f"{d}/two/flagged").count() == 2 and spark.read.json(f"{d}/two/summary").first().total == 21
+    funnel = spark.createDataFrame([(1, "G2", "b", 4, 1, 3), (0, "G1", "a", 5, 1, 4)], "ord int, gate string, reason string, n_in int, n_dropped int, n_out int")
+    card = sinks.data_card(funnel, "Title").splitlines()
+    assert card[0] == "# Title" and card[4:] == ["| G1 | a | 5 | 1 | 4 |", "| G2 | b | 4 | 1 | 3 |"]
+    assert json.loads(sinks.report(df.orderBy("id").limit(1))) == [{"id": 1, "split": "train", "domain": "x", "n": 5}]
+    assert sinks.root("/x", version="v2") == "/x/v2" and sinks.root("/x/", True, "v3") == "/x/debug/v3"
+    sinks.json_lines(df, f"{d}/some", ["id"])
+    assert spark.read.json(f"{d}/some").columns == ["id"]
+
+
 def test_layouts(spark):
     a = spark.createDataFrame([("i", "o")], "instruction string, output string")
     b = spark.createDataFrame([([("user", "u"), ("assistant", "a")],)], "messages array<struct<role: string, content: string>>")
@@ -144,6 +193,18 @@ def test_layouts(spark):
         readers.any_layout(spark.createDataFrame([("x",)], "text string"))
 
 
+def test_entry_tells_a_broken_import():
+    """A module that is missing for another reason than the subpackage's absence isn't swallowed."""
+    import subprocess
+    import sys
+
+    block = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", block], capture_output=True, text=True, cwd=str(__import__("pathlib").Path(__file__).parent.parent))
+    import importlib.util
+
+    assert (done.returncode != 0) == (importlib.util.find_spec("quern.llm.neardup") is not None if importlib.util.find_spec("quern.llm") else False), done.stderr[-500:]
+
+
 def test_code_without_the_subpackage():
     """Nothing outside the subpackage for training corpora imports it."""
     import pathlib
