@@ -44,7 +44,7 @@ def by_keys(long: DataFrame, bucket: str = "bucket", lang: str = "lang") -> Data
 
 def bootstrap(long: DataFrame, by: tuple[str, ...], rounds: int = 2000, low: float = 0.025, high: float = 0.975, seed: int = R.SEED) -> DataFrame:
     """(by, n, mean, low, high): percentile interval of the mean. Every row weighs Poisson(1) in each round, drawn from its own hash, so
-    rows are read once and tasks hand on sums, a row for each group."""
+    rows are read once and tasks hand on sums, a row for each group. A round in which no row weighs anything has no mean."""
 
     def sums(batches):
         held: dict[tuple, np.ndarray] = {}
@@ -61,7 +61,7 @@ def bootstrap(long: DataFrame, by: tuple[str, ...], rounds: int = 2000, low: flo
     kinds = "".join(f"{b} {long.schema[b].dataType.simpleString()}, " for b in by)
     rows = long.select(*by, F.col("score").cast("double").alias("score"), F.xxhash64(*long.columns).alias("_h"))
     part = rows.mapInPandas(sums, f"{kinds}w array<double>, wx array<double>").select(*by, F.posexplode(F.arrays_zip("w", "wx")).alias("round", "s"))
-    total = part.groupBy(*by, "round").agg(F.sum("s.w").alias("w"), F.sum("s.wx").alias("wx")).withColumn("mean", F.col("wx") / F.col("w"))
+    total = part.groupBy(*by, "round").agg(F.sum("s.w").alias("w"), F.sum("s.wx").alias("wx")).withColumn("mean", F.try_divide("wx", "w"))
     drawn = F.array_sort(F.collect_list(F.when(F.col("round") > 0, F.col("mean"))))
     out = total.groupBy(*by).agg(F.max(F.when(F.col("round") == 0, F.col("w"))).cast("long").alias("n"), F.max(F.when(F.col("round") == 0, F.col("mean"))).alias("mean"), drawn.alias("d"))
     at = lambda p: F.get("d", F.floor(p * (F.size("d") - 1)).cast("int"))

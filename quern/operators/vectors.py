@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,22 +64,8 @@ def lead_names(df: DataFrame, text: str, scorer: Scorer, entities: str) -> DataF
 
 def minhash(items: Column | str, hashes: int = 96, seed: int = R.SEED) -> Column:
     """The least of each of `hashes` hashes of an array of numbers; equal for empty sets."""
-    rng = np.random.default_rng(seed)
-    a, b = (rng.integers(0, 1 << 63, hashes, dtype=np.uint64) | np.uint64(1) for _ in range(2))
-
-    def one(xs) -> list[int]:
-        x = np.asarray(xs, np.int64).view(np.uint64)
-        if not len(x):
-            return [2**63 - 1] * hashes
-        with np.errstate(over="ignore"):
-            h = x[:, None] * a + b
-            h = (h ^ (h >> np.uint64(32))) * a
-        return (h.min(0) >> np.uint64(1)).astype(np.int64).tolist()
-
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
-
-    return F.pandas_udf(run, "array<bigint>")(T.col(items))
+    least = lambda i: F.array_min(F.transform(T.col(items), lambda x: F.xxhash64(F.lit(seed) + i, x)))
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.coalesce(least(i), F.lit(2**63 - 1)))
 
 
 def bands(signature: Column | str, hashes: int = 96, rows: int = 4) -> Column:
