@@ -8,10 +8,9 @@ from quern import rules as R
 from quern.functions import text as T
 from quern.operators import gates as G
 from quern.operators import roles
+from quern.plans import samples
 from quern.plans.tables import MESSAGES, PAIRS, conversations, documents, pairs
 
-#: Patterns that the tables at hand have, where the fixed ones are of another language.
-SPAM, RUDE, DEFLECT, PLATFORM, HELLO, LINK = "(?i)(licen[cs]e|copyright)", "(?i)(lorem)", "(?i)(?:^|[^a-z])(the|an)[^.!?]{0,60} (and|or) ", "(?i)(licen[cs]e|subscribe)", "(?i)(^|[^a-z])(in|le|de) ", "(?i)(https?://|www[.]|@[a-z]+[.])"
 PROFILES = {"en": ("the", "of", "and", "in", "to"), "fr": ("le", "la", "les", "de", "et"), "de": ("der", "die", "und", "das", "ein"), "es": ("el", "los", "que", "y", "en")}
 WORDS = ("the", "and", "of", "in", "is", "la", "de", "und")
 
@@ -73,7 +72,7 @@ bool_or((role = 'assistant' and (n < 20 or length(content) > 3000)) or (role = '
 
 
 def ladder() -> list[G.Gate]:
-    return [G.format_gate(), G.encoding_gate(), G.length_gate(min_a=10, max_a=120, max_q=110), G.deflection_gate(pattern=DEFLECT, terms=WORDS), G.spam_gate(spam=SPAM, profanity=RUDE)]
+    return [G.format_gate(), G.encoding_gate(), G.artefact_gate(), G.length_gate(), G.invisible_gate(), G.deflection_gate(), G.spam_gate()]
 
 
 def _hits(c: str, terms) -> str:
@@ -84,28 +83,32 @@ def _n(c: str) -> str:
     return rf"len(regexp_extract_all({c}, '\S+'))"
 
 
+_SAID = f"len(list_intersect(regexp_extract_all(lower(a), '[a-z]+'), {list(R.MEDICAL_TERMS)}))"
 FAILED = rf"""case when q is null or a is null then 'G1_format:non_string_or_null' when not regexp_matches(q, '\S') or not regexp_matches(a, '\S') then 'G1_format:empty_field'
 when contains(q, '{R.REPLACEMENT}') or contains(a, '{R.REPLACEMENT}') then 'G2_encoding:mojibake'
-when length(q) < 20 then 'G4_length:question_too_short' when {_n("q")} > 110 then 'G4_length:question_too_long' when {_n("a")} < 10 then 'G4_length:answer_too_short' when {_n("a")} > 120 then 'G4_length:answer_too_long'
+when regexp_matches(a, '{R.DOCTOR_NAME}') then 'G5_artifacts:doctor_name_embedded' when regexp_matches(a, '{R.NAMED_GREETING}') then 'G5_artifacts:named_greeting' when regexp_matches(a, '{R.PATIENT_FOLLOW_UP}') then 'G5_artifacts:patient_followup_as_answer'
+when length(q) < 20 then 'G4_length:question_too_short' when {_n("q")} > 400 then 'G4_length:question_too_long' when {_n("a")} < 20 then 'G4_length:answer_too_short' when {_n("a")} > 400 then 'G4_length:answer_too_long'
 when lower(regexp_replace(q, '^\s+|\s+$', '', 'g')) = lower(regexp_replace(a, '^\s+|\s+$', '', 'g')) then 'G4_length:q_equals_a'
-when {_n("a")} < 45 and regexp_matches(a, '{DEFLECT}') and {_hits("a", WORDS)} < 3 then 'G9_deflection:deflection_only'
-when regexp_matches(q || ' ' || a, '{SPAM}') then 'G10_toxic_spam:spam' when regexp_matches(q || ' ' || a, '{RUDE}') then 'G10_toxic_spam:profanity' end"""
+when regexp_matches(a, '{R.INVISIBLE}') then 'G6_invisible_ref:invisible_ref'
+when {_n("a")} < 45 and regexp_matches(a, '{R.DEFLECTION}') and {_SAID} < 3 then 'G9_deflection:deflection_only'
+when regexp_matches(q || ' ' || a, '{R.SPAM}') then 'G10_toxic_spam:spam' when regexp_matches(q || ' ' || a, '{R.PROFANITY}') then 'G10_toxic_spam:profanity' end"""
 
 
 def qa_gates(spark, d):
-    return pairs(spark, d).select("conv_id", "turn", G.first_failed(ladder()).alias("failed"))
+    """The gates with their fixed rules on pairs of turns and made-up rows."""
+    return samples.with_questions(pairs(spark, d)).select("id", G.first_failed(ladder()).alias("failed"))
 
 
-QA_GATES = f"with {PAIRS} select conv_id, turn, {FAILED} as failed from pairs"
+QA_GATES = f"with {PAIRS}, {samples.WITH_QUESTIONS} select id, {FAILED} as failed from qa"
 
 
 def qa_gate_funnel(spark, d):
-    return G.funnel(pairs(spark, d), ladder()).select(F.col("ord").cast("long").alias("ord"), "gate", "reason", "n_in", "n_dropped", "n_out")
+    return G.funnel(samples.with_questions(pairs(spark, d)), ladder()).select(F.col("ord").cast("long").alias("ord"), "gate", "reason", "n_in", "n_dropped", "n_out")
 
 
-_STEPS = [("G1_format", "non_string_or_null"), ("G1_format", "empty_field"), ("G2_encoding", "mojibake"), *[("G4_length", r) for r in ("question_too_short", "question_too_long", "answer_too_short", "answer_too_long", "q_equals_a")],
-          ("G9_deflection", "deflection_only"), ("G10_toxic_spam", "spam"), ("G10_toxic_spam", "profanity")]
-QA_FUNNEL = f"""with {PAIRS}, failed as (select {FAILED} as failed, count(*) as n from pairs group by 1), total as (select coalesce(sum(n), 0) as total from failed),
+_STEPS = [("G1_format", "non_string_or_null"), ("G1_format", "empty_field"), ("G2_encoding", "mojibake"), *[("G5_artifacts", r) for r in ("doctor_name_embedded", "named_greeting", "patient_followup_as_answer")],
+          *[("G4_length", r) for r in ("question_too_short", "question_too_long", "answer_too_short", "answer_too_long", "q_equals_a")], ("G6_invisible_ref", "invisible_ref"), ("G9_deflection", "deflection_only"), ("G10_toxic_spam", "spam"), ("G10_toxic_spam", "profanity")]
+QA_FUNNEL = f"""with {PAIRS}, {samples.WITH_QUESTIONS}, failed as (select {FAILED} as failed, count(*) as n from qa group by 1), total as (select coalesce(sum(n), 0) as total from failed),
 steps as (select * from (values {", ".join(f"({i}, '{g}', '{r}')" for i, (g, r) in enumerate(_STEPS))}) as s(ord, gate, reason)),
 counted as (select s.*, coalesce(n, 0) as n_dropped, total from steps s left join failed on failed = gate || ':' || reason cross join total)
 select ord::bigint as ord, gate, reason, (total - coalesce(sum(n_dropped) over w, 0))::bigint as n_in, n_dropped::bigint as n_dropped, (total - coalesce(sum(n_dropped) over w, 0) - n_dropped)::bigint as n_out
@@ -113,12 +116,15 @@ from counted window w as (order by ord rows between unbounded preceding and 1 pr
 
 
 def noise_reasons(spark, d):
-    g = G.noise_gate("text", PLATFORM, HELLO, LINK)
-    return documents(spark, d).select("doc_id", G.first_failed([g]).alias("reason"), G.first_failed([G.short_answer_gate("text", 400), G.greeting_gate("text", HELLO, 900)]).alias("answer_reason"))
+    """The noise gate and two others with their fixed rules on whole documents and made-up answers."""
+    rows = documents(spark, d).select(F.col("doc_id").alias("id"), "text").union(samples.frame(spark, samples.QUESTIONS, samples.NAMES).select("id", "a"))
+    return rows.select("id", G.first_failed([G.noise_gate("text")]).alias("reason"), G.first_failed([G.short_answer_gate("text"), G.greeting_gate("text")]).alias("answer_reason"))
 
 
-NOISE = rf"""select doc_id, case when regexp_matches(text, '{PLATFORM}') then 'noise:platform_ref' when regexp_matches(text, '{HELLO}') then 'noise:greeting' when regexp_matches(text, '{LINK}') then 'noise:url' when length(text) < 120 then 'noise:too_short' end as reason,
-case when length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 400 then 'short_answer:short' when regexp_matches(text, '{HELLO}') and length(text) < 900 then 'generic_greeting:greeting' end as answer_reason from documents"""
+_GENERIC = r"(?i)^(Hello[,.]?\s*Thank you for (asking|consulting)|Hi+[.,]?\s*(Thank you|Hope this message|I have gone through)|Hi+[.,]?\s*Thank you for consulting in Chat Doctor\.\s*$)"
+NOISE = rf"""with t as (select doc_id as id, text from documents union all select id, a from {samples.values(samples.QUESTIONS, samples.NAMES)})
+select id, case when regexp_matches(text, '{R.NOISE_PLATFORM}') then 'noise:platform_ref' when regexp_matches(text, '{R.NOISE_GREETING}') then 'noise:greeting' when regexp_matches(text, '{R.NOISE_URL}') then 'noise:url' when length(text) < 120 then 'noise:too_short' end as reason,
+case when length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 80 then 'short_answer:short' when regexp_matches(text, '{_GENERIC}') and length(text) < 150 then 'generic_greeting:greeting' end as answer_reason from t"""
 
 
 def echo_pairs(spark, d):

@@ -31,6 +31,16 @@ QUESTIONS: tuple[tuple[str, str, str], ...] = (
     ("Mengapa tubuh saya terasa lemas sepanjang hari?", "Lemas. Semoga Bermanfaat", "forum"),
     ("Mengapa tubuh saya terasa berat sepanjang hari?", "Lemas bisa karena anemia. Rina Wati", "forum"),
     ("Mengapa tubuh saya terasa dingin sepanjang hari?", "  ", "forum"),
+    ("Apa yang harus saya lakukan untuk keluhan ini?", "Silakan periksa ke dokter ya, supaya jelas apa yang terjadi dan apa yang perlu dilakukan selanjutnya, agar semuanya menjadi terang dan Anda tenang.", "forum"),
+    ("Apa yang harus saya makan untuk keluhan ini?", "Sebaiknya konsultasi dahulu bila nyeri perut disertai demam dan diare, karena infeksi usus dapat membuat lemas, dan minum obat tanpa diagnosis bisa menutupi gejala penyakit.", "forum"),
+    ("Adakah obat murah yang bisa saya beli sendiri?", "Ada promo besar untuk Anda semua hari ini, silakan hubungi kami lewat wa.me dan pesan obat apa saja yang Anda mau dengan harga yang sangat murah sekali.", "forum"),
+    ("Mengapa dokter itu tidak menjawab pertanyaan saya?", "Dasar bajingan, dokter itu memang tidak pernah menjawab siapa pun di sini, jadi jangan berharap apa apa lagi dan cari saja dokter lain yang lebih baik.", "forum"),
+    ("Apakah saya boleh minum obat ini bersama susu?", "Halo, pasien saya di puskesmas dengan keluhan demam dan batuk boleh minum obat ini, tidak dengan susu. Baca juga di www.contoh.id tentang jantung dan tekanan darah tinggi ya.", "alodokter"),
+    ("Apakah hasil pemeriksaan saya ini normal, dok?", "Dari foto yang Anda kirim tampak ruam merah yang luas di lengan kiri, dan biasanya keadaan itu mereda sendiri dalam beberapa hari saja tanpa obat apa pun.", "forum"),
+    ("Apakah anak saya perlu obat penurun panas, dok?", "Terima kasih, saya dr. Rina akan menjelaskan bahwa demam pada anak tidak selalu perlu obat, dan cukup minum banyak air serta istirahat di rumah saja.", "forum"),
+    ("Apakah ibu saya boleh berolahraga setiap pagi?", "Budi yang baik, olahraga ringan setiap pagi baik untuk jantung dan tekanan darah, asalkan tidak berlebihan dan selalu didahului pemanasan selama sepuluh menit.", "forum"),
+    ("Bagaimana maksud jawaban dokter yang kemarin itu?", "Maaf dok, maksud saya apakah obat itu diminum sebelum atau sesudah makan, karena di kemasannya tidak tertulis apa apa dan saya takut salah meminumnya.", "forum"),
+    ("Kenapa tulisan di layar saya rusak � begini?", "Tulisan itu rusak karena berkasnya dibaca dengan cara yang salah, jadi mintalah berkas yang baru lalu bukalah lagi dengan program yang sesuai di komputer Anda.", "forum"),
     ("Langkah apa yang perlu saya ambil?", "Langkah yang perlu diambil, : istirahat cukup, minum air, atau kompres, dan lainnya. Perhatikan: satu, dua. Sebab: a. Tidak ada.", "forum"),
 )
 

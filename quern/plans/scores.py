@@ -9,6 +9,7 @@ from quern import rules as R
 from quern.functions import text as T
 from quern.operators import evaluation as E
 from quern.operators import vectors as V
+from quern.plans import samples
 from quern.plans.tables import PAIRS, documents, pairs, table
 
 LEXICON = ("the", "on", "er", "in", "la", "de", "le", "und", "ein", "thing", "ing", "of")
@@ -42,6 +43,20 @@ coalesce(contains(lower(source), 'src1'), false) or {_kw(("the", "and", "ing", "
 0.5::double + case when length(text) between 200 and 2000 then 0.02::double else 0.0 end + case when regexp_matches(regexp_replace(text, '\s+$', ''), '[.!?]$') then 0.01::double else 0.0 end as quality, 0.0::double as nothing from w"""
 
 
+def medical_scores(spark, d):
+    """The fixed lexicon, domains and language words, over whole documents and made-up answers."""
+    rows = documents(spark, d).select(F.col("doc_id").alias("id"), "text", "source").union(samples.frame(spark, samples.QUESTIONS, samples.NAMES).select("id", "a", "source"))
+    return rows.select("id", T.lexicon_hits("text").cast("long").alias("terms"), T.domain("text").alias("domain"), T.in_language("text", F.col("source")).alias("in_language"), F.round(T.cheap_score("text", F.lit(0.5)), 9).alias("cheap"))
+
+
+_TOP = f"greatest({', '.join(_kw(t) for t in R.DOMAINS.values())})"
+_TERMS = f"len(list_intersect(regexp_extract_all(lower(text), '[a-z]+'), {list(R.MEDICAL_TERMS)}))"
+MEDICAL = f"""with t as (select doc_id as id, text, source from documents union all select id, a, source from {samples.values(samples.QUESTIONS, samples.NAMES)}), n as (select *, {_W.format("text")} as n, {_TERMS} as terms from t)
+select id, terms, case when {_TOP} = 0 then 'umum' {" ".join(f"when {_kw(t)} = {_TOP} then '{k}'" for k, t in R.DOMAINS.items())} end as domain,
+coalesce({" or ".join(f"contains(lower(source), '{x}')" for x in R.LANGUAGE_SOURCES)}, false) or {_kw(R.LANGUAGE_WORDS)} >= 3 as in_language,
+round(0.4 * 0.5::double + 0.3 * ({_length("n", 20)}) + 0.3 * least(terms / 8.0::double, 1.0), 9) as cheap from n"""
+
+
 def composite(spark, d):
     """Of all pairs: a bag-of-words relevance in place of a model's, scaled over the table, and what comes of it."""
     p = pairs(spark, d).select("conv_id", "turn", "a", T.jaccard(T.words("q"), T.words("a")).alias("relevance"))
@@ -200,7 +215,7 @@ k as (select last < first as trend, highest <= 2 * begin as no_explosion, finite
 unpivot k on trend, no_explosion, finite, language, no_repeats into name "check" value passed"""
 
 QUERIES = {
-    "lexicon_scores": (lexicon_scores, LEXICON_SQL), "composite": (composite, COMPOSITE), "vector_relevance": (vector_relevance, VECTORS), "prediction_scores": (prediction_scores, f"with {PREDICTIONS} select idx, lang, bucket, accuracy, token_f1 from scored"),
+    "lexicon_scores": (lexicon_scores, LEXICON_SQL), "medical_scores": (medical_scores, MEDICAL), "composite": (composite, COMPOSITE), "vector_relevance": (vector_relevance, VECTORS), "prediction_scores": (prediction_scores, f"with {PREDICTIONS} select idx, lang, bucket, accuracy, token_f1 from scored"),
     "metric_grouping_sets": (metric_grouping_sets, GROUPING), "closed_grouping_sets": (closed_grouping_sets, CLOSED), "unparsed_references": (unparsed_references, UNPARSED), "whitespace_f1": (whitespace_f1, WHITESPACE), "rouge_l": (rouge_l, None),
     "bootstrap_ci": (bootstrap_ci, None), "paired_bootstrap": (paired_bootstrap, None), "run_deltas": (run_deltas, RUNS), "best_checkpoint": (best_checkpoint, CHECKPOINT), "spot_check_rates": (spot_check_rates, SPOT), "pilot_checks": (pilot_checks, PILOT),
 }
