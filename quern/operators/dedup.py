@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions import text as T
-from quern.shared import written
+from quern.shared import dropped, written, written_at
 
 
 def first_per_key(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -101,15 +101,18 @@ def greedy_keep(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
 
     Rounds: what has no undecided earlier neighbour stays, its neighbours go. Members of a class after its first go.
     """
-    edges = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "neighbours")
-    gone, live = None, edges
+    spark = pairs.sparkSession
+    live, path = written_at(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "neighbours")
+    gone = None
     while not live.isEmpty():
         blocked = live.select(F.col("b").alias("x")).distinct()
         stays = live.select(F.col("a").alias("x")).distinct().join(blocked, "x", "left_anti")
         goes = written(live.join(stays, live["a"] == stays["x"]).select(F.col("b").alias("x")).distinct(), "gone")
         gone = goes if gone is None else gone.union(goes)
         kept = live.join(goes, live["b"] == goes["x"], "left_anti")
-        live = written(kept.join(goes, kept["a"] == goes["x"], "left_anti"), "neighbours")
+        live, last = written_at(kept.join(goes, kept["a"] == goes["x"], "left_anti"), "neighbours")
+        dropped(spark, path)
+        path = last
     firsts = members.where(F.col(key) == F.col("a")).select(key)
     if gone is None:
         return firsts

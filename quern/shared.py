@@ -33,9 +33,14 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and outlives the executors that made it."""
+    return written_at(df, what)[0]
+
+
+def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """written(), and where it is, so that dropped() may delete it once nothing reads it."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def dropped(spark: SparkSession, path: str) -> None:
