@@ -1,10 +1,12 @@
-"""Groups by exact similarity against brute force, and pairs on either side of 0.8."""
+"""Groups by verified similarity against brute force, pairs on either side of 0.8, recall, hot shards and repeated ids."""
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 
-from quern.llm import similar
+from quern.llm import neardup
 
 
 def edited(r, words, edits):
@@ -48,19 +50,59 @@ def test_groups_against_brute_force(spark):
     for i in range(80):
         texts[3000 + i] = " ".join(edited(r, base, r.choice([0, 1, 2])))
     texts |= {4000: "a b c", 4001: "A  b\tc", 4002: "a b", 4003: "", 4004: None, 4005: " "}
-    got = {x.doc_id: x.component_id for x in similar.similar_groups(frame(spark, texts)).collect()}
-    assert got == similar.brute(texts)
+    got = {x.doc_id: x.component_id for x in neardup.similar_groups(frame(spark, texts)).collect()}
+    assert got == neardup.brute_similar(texts)[0]
 
 
-def test_common_shingles_change_nothing(spark, monkeypatch):
-    texts = {k: t for k, t in made().items() if k < 200}
-    monkeypatch.setattr(similar, "SEEN", 10)
-    got = {x.doc_id: x.component_id for x in similar.similar_groups(frame(spark, texts)).collect()}
-    assert got == similar.brute(texts)
+def test_cut_shards_change_nothing(spark, monkeypatch):
+    r, texts = random.Random(9), made()
+    base = [f"g{i}" for i in range(200)]
+    for i in range(120):
+        texts[3000 + i] = " ".join(edited(r, base, r.choice([0, 1, 2, 3])))
+    monkeypatch.setattr(neardup, "SAMPLED", 1)
+    monkeypatch.setattr(neardup, "HOT", 7)
+    monkeypatch.setattr(neardup, "SET_ROWS", 20)
+    got = {x.doc_id: x.component_id for x in neardup.similar_groups(frame(spark, texts)).collect()}
+    assert got == neardup.brute_similar(texts)[0]
+    docs = frame(spark, {k: t for k, t in texts.items() if k >= 3000})
+    got = {x.doc_id: (x.fp.hex(), x.component_id) for x in neardup.near_duplicates(docs).collect()}
+    assert got == neardup.brute({k: t for k, t in texts.items() if k >= 3000})
+
+
+def test_recall_at_the_threshold():
+    """Pairs at 0.8, of many and of few shingles: the share that the tables and the radius let meet."""
+    r = random.Random(1)
+    radius, tables = neardup.bit_tables(neardup.WIDE, 0.8, 1 << 18)
+    for n, same, least in ((900, 800, 0.95), (90, 80, 0.95), (9, 8, 0.9)):
+        met = 0
+        for _ in range(300):
+            one, a, b = ([r.getrandbits(64) for _ in range(k)] for k in (same, n - same, n - same))
+            x, y = (np.unpackbits(np.frombuffer(neardup.simhash(one + more, neardup.WIDE), np.uint8)) for more in (a, b))
+            met += (x != y).sum() <= radius and any((x[t] == y[t]).all() for t in tables)
+        assert met >= least * 300, (n, met)
+
+
+def test_blocks_follow_the_number_of_nodes():
+    for nodes, size in ((1000, 16), (10**7, 25), (10**10, 31)):
+        tables = neardup.block_tables(64, 3, nodes)
+        assert min(map(len, tables)) >= min(size, 25)
+        for _ in range(200):
+            wrong = set(random.Random(_).sample(range(64), 3))
+            assert any(not wrong & set(t.tolist()) for t in tables)
+
+
+def test_a_third_of_all_rows_is_one_group(spark):
+    """The pairs proposed stay near the number of documents, whatever the group."""
+    r, base = random.Random(2), [f"g{i}" for i in range(300)]
+    texts = {i: " ".join(edited(r, base, r.choice([1, 2, 3]))) for i in range(400)}
+    texts |= {1000 + i: " ".join(f"w{r.randint(0, 99999)}" for _ in range(60)) for i in range(800)}
+    got = neardup.similar_groups(frame(spark, texts)).collect()
+    assert {x.component_id for x in got if x.doc_id < 1000} == {0} and len(got) == 1200
+    assert len({x.component_id for x in got}) == 801
 
 
 def test_rows_that_share_an_id(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
     docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (None, "z"), (9, "z")], "doc_id long, text string")
-    got = {(x.doc_id, x.component_id) for x in similar.similar_groups(docs).collect()}
+    got = {(x.doc_id, x.component_id) for x in neardup.similar_groups(docs).collect()}
     assert got == {(3, 3), (5, 3), (7, 3), (None, None), (9, None)}
