@@ -10,7 +10,8 @@ Keys that occur once leave at once. Of the others, a run's tokens (its segment)
 key, equal segments as one row with their first document: a passage that a third of all documents share
 is one row for each task before the shuffle. What the shard finds out holds for the first document;
 the segments of all other documents are known to repeat it. A key that over HOT documents have with ever other
-surroundings (a common line) is dealt out by more of the windows' content.
+surroundings (a common line, or near copies) is dealt out window by window, each by its own content: only equal windows
+must meet, and those are one row for each task. So no group has more than the segments of HOT documents.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ from quern.llm.common import buffers, column, keyed, slices, word_bounds, writte
 
 #: Bytes of segments that a task remembers in order to send equal ones once.
 COMBINED = 48 << 20
-#: Documents with a key beyond which its windows are dealt out by more of their content, in RANGES ranges of offsets;
-#: such keys, 9 bytes each, that are broadcast.
-HOT, RANGES, FEW_HOT = 1000, 8, 100_000
+#: Documents with a key beyond which its windows are dealt out by their own content; such keys, 9 bytes each, that are broadcast.
+HOT, FEW_HOT = 1000, 100_000
 #: Bytes of text that are worked on at once: the arrays stay in the cache.
 SLICE = 1 << 18
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -260,14 +260,12 @@ class Recurring:
 def chosen(t: Tokens, part: pa.RecordBatch, length: int, gram: int):
     """Of each text with recurring keys: its number and the runs (lo, n, off, key) that have them.
 
-    A run whose key is hot comes as several: the windows with the anchor in one range of offsets, under a key of their
-    own, made of all the tokens that windows of that range have in common. Equal windows stay together, and what a
-    hot key's documents have around it tells them apart.
+    A run whose key is hot comes window by window, each under a key of its own tokens. Equal windows stay together, and
+    what a hot key's documents have around it tells them apart.
     """
     text, lo, n, off, key = t.runs(length, gram)
     edge = np.searchsorted(text, np.arange(part.num_rows + 1))
     keys, hots = column(part, "keys"), column(part, "hot")
-    width = -(-(length - gram + 1) // RANGES)
     for i in np.flatnonzero(np.diff(edge)):
         own = keys[int(i)].values
         if own is None or not len(own):
@@ -285,13 +283,10 @@ def chosen(t: Tokens, part: pa.RecordBatch, length: int, gram: int):
         runs = [(lo[cold], n[cold], off[cold], key[cold])]
         more = []
         for j in at[some].tolist():
-            place = int(lo[j] + off[j])
-            first, last = int(off[j]), int(off[j] - n[j] + 1)  # offsets of the anchor in the first and the last window
-            for r in range(last // width, first // width + 1):
-                high, low = min(first, (r + 1) * width - 1), max(last, r * width)
-                begin, end = place - r * width, place - ((r + 1) * width - 1) + length
-                finer = xxhash.xxh64_intdigest(t.segment(begin, max(0, end - begin)), r ^ (int(key[j]) & 0xFFFFFFFF))
-                more.append((place - high, high - low + 1, high, finer - (1 << 63)))
+            for w in range(int(n[j])):
+                begin = int(lo[j]) + w
+                own_key = xxhash.xxh64_intdigest(t.segment(begin, length), int(key[j]) & 0xFFFFFFFF)
+                more.append((begin, 1, int(off[j]) - w, own_key - (1 << 63)))
         runs.append(tuple(np.array(x, np.int64) for x in zip(*more, strict=True)))
         yield int(i), *(np.concatenate(x) for x in zip(*runs, strict=True))
 

@@ -167,3 +167,16 @@ def brute(texts: dict[int, str | None], length: int = LENGTH) -> dict[int, tuple
         out[k] = (len(ws), sum(gone), b" ".join(w for w, g in zip(ws, gone, strict=True) if not g).decode())
     return out
 
+
+#: op9's digests in DuckDB SQL, over the view documents.
+SQL = f"""
+with docs as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+windows as (
+  select r, doc_id, i, sha256(array_to_string(w[i : i + {LENGTH - 1}], ' ')) as words from (select r, doc_id, w, unnest(range(1, len(w) - {LENGTH - 2})) as i from docs where len(w) >= {LENGTH})),
+firsts as (select words, min(doc_id) as first_id, count(*) filter (where doc_id is null) as of_null from windows group by words having count(*) > 1),
+gone as (
+  select distinct r, unnest(range(i, i + {LENGTH})) as p from windows join firsts using (words) where doc_id is not null and (of_null > 0 or first_id < doc_id)),
+places as (select r, unnest(range(1, len(w) + 1)) as p, unnest(w) as word from docs),
+rest as (select places.r, count(gone.p) as n_removed, string_agg(word, ' ' order by places.p) filter (where gone.p is null) as kept from places left join gone on places.r = gone.r and places.p = gone.p group by places.r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from docs left join rest using (r)
+"""

@@ -3,11 +3,13 @@
 A sparse suffix array: the suffixes that start at windows with recurring anchors (see anchors) are sorted
 in shards by anchor key, within a shard by merging. Two suffixes are compared by binary search over prefix
 polynomial hashes for their common extension, so a comparison takes log2(length) steps; neighbours in the
-sorted order whose extension reaches the length are equal strings, verified byte by byte.
+sorted order whose extension reaches the length are equal strings, verified byte by byte; should two different strings
+have equal hashes, the part is judged by its bytes instead.
 
 Defined results: a null text is empty; a null doc_id comes before all others; rows that share a doc_id are
 one place in the order, so equal starts in two of them are both kept; texts shorter than the length lose
-nothing; other columns are ignored; an empty table gives an empty table.
+nothing; longer ones are read whole, however long; other columns are ignored, whatever their names; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -107,7 +109,7 @@ def repeats(data: np.ndarray, start: np.ndarray, bucket: np.ndarray, k: np.ndarr
         if len(part):
             span = np.arange(length)
             if (data[s[part][:, None] + span] != data[s[part + 1][:, None] + span]).any():
-                raise ArithmeticError("two different strings have equal polynomial hashes")
+                return repeats_by_bytes(data, start, bucket, k[by], place[by], length)[np.argsort(by)]
     lead = np.r_[True, ~same] if len(s) else np.zeros(0, bool)
     out = np.zeros(len(start), bool)
     # within a class the order is the order given, so its first is the earliest; ties in (k, place) are kept
@@ -118,6 +120,15 @@ def repeats(data: np.ndarray, start: np.ndarray, bucket: np.ndarray, k: np.ndarr
     return out
 
 
+def repeats_by_bytes(data: np.ndarray, start: np.ndarray, bucket: np.ndarray, k: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """repeats() by the strings themselves, of rows in order of (k, place): for when two different strings have equal hashes."""
+    first: dict[tuple[int, bytes], tuple[int, int]] = {}
+    out = np.zeros(len(start), bool)
+    for i, (at, b, where) in enumerate(zip(start.tolist(), bucket.tolist(), zip(k.tolist(), place.tolist(), strict=True), strict=True)):
+        out[i] = first.setdefault((b, data[at : at + length].tobytes()), where) != where
+    return out
+
+
 def _shard(length: int):
     def shard(batches):
         for table in grouped(batches, CHUNK):

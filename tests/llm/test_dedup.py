@@ -62,6 +62,19 @@ def test_hot_keys(spark, monkeypatch, hot):
     assert got == phrase_dedup.brute(texts)
 
 
+def test_a_common_line_with_ever_other_surroundings(spark, monkeypatch):
+    """One anchor that all documents have: no group grows with their number, and what repeats is found."""
+    monkeypatch.setattr(anchors, "HOT", 20)
+    r = random.Random(4)
+    line = [f"line{i}" for i in range(30)]
+    texts = {k: " ".join([f"a{r.random()}" for _ in range(30)] + line + [f"b{r.random()}" for _ in range(30)]) for k in range(300)}
+    texts |= {1000: texts[7], 1001: " ".join(texts[9].split()[10:80]), 1002: "x " * 60}
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in phrase_dedup.phrase_dedup(frame(spark, texts)).collect()}
+    assert got == phrase_dedup.brute(texts)
+    parts = anchors.Recurring(frame(spark, texts), 50, 16, True, False).segments()
+    assert max(x["count"] for x in parts.groupBy("key").count().collect()) <= 20
+
+
 def test_other_lengths(spark):
     texts = corpus(5, 30)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in phrase_dedup.phrase_dedup(frame(spark, texts), 20, 8).collect()}
@@ -86,6 +99,31 @@ def test_repeated_and_null_ids(spark):
     assert got == [(False, 1, 0), (False, 1, 0)]
 
 
+def test_equal_hashes_of_different_strings(monkeypatch):
+    """If hashes tell nothing apart, the bytes do."""
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    start, bucket = rng.integers(0, 380, 200), np.sort(rng.integers(0, 4, 200))
+    k, place = rng.integers(0, 9, 200), start
+    want = suffix_dedup.repeats(data, start, bucket, k, place, 12)
+    monkeypatch.setattr(suffix_dedup.Suffixes, "extension", lambda self, a, b: np.full(len(a), self.length))
+    assert (suffix_dedup.repeats(data, start, bucket, k, place, 12) == want).all() and want.any() and not want.all()
+
+
+def test_long_texts(spark):
+    """Texts of 100 000 words, one of them a copy with an insertion."""
+    r = random.Random(12)
+    words = [f"w{r.randint(0, 9999)}" for _ in range(100_000)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:50_000], "new", *words[50_000:]]), 3: "a" * 400_000}
+    df = frame(spark, texts)
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in phrase_dedup.phrase_dedup(df).collect()}
+    assert got == {1: (100_000, 0), 2: (100_001, 100_000), 3: (1, 0)}
+    rows = {x.doc_id: x for x in suffix_dedup.substring_dedup(df).collect()}
+    assert rows[1].n_removed == 0 and len(texts[2]) - 10 <= rows[2].n_removed <= len(texts[2])
+    assert rows[3].n_removed == 399_999  # all but the first byte lie in a string that also starts earlier
+    assert {x.doc_id: x.component_id for x in neardup.similar_groups(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert phrase_dedup.phrase_dedup(none).count() == suffix_dedup.substring_dedup(none).count() == neardup.near_duplicates(none).count() == 0
@@ -151,7 +189,7 @@ def test_trie_join_finds_all(radius):
     fp = np.unique(base[rng.integers(0, 40, 400)] ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)))
     raw = fp.astype(">u8").view(np.uint8).reshape(-1, 8)
     found = set()
-    neardup.trie_join(raw, np.array([0, len(fp) // 3]), radius, lambda a, b: found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)))
+    neardup.trie_join(raw, np.array([0, len(fp) // 3]), radius, lambda a, b, bits: found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)), lambda: [np.arange(len(fp))])
     cut = len(fp) // 3
     want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if int(fp[i] ^ fp[j]).bit_count() <= radius and (i < cut) == (j < cut)}
     assert found == want
@@ -161,18 +199,3 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (5, 5)], "u long, v long")
     got = {r.node: r.component for r in neardup.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
-
-
-def test_wide_fingerprints(spark):
-    texts = near_corpus(2)
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 5, 512, 80, 32).collect()}
-    sets = {k: set(neardup.shingle_hashes((t or "").lower().encode(), 5)) for k, t in texts.items()}
-    for a in texts:
-        for b in texts:
-            both = len(sets[a] | sets[b])
-            like = len(sets[a] & sets[b]) / both if both else 1.0
-            if like >= 0.95:
-                assert got[a] == got[b]
-            if a < b and like == 0.0:
-                assert got[a] != got[b] or not sets[a]
