@@ -6,27 +6,32 @@ short words that all texts share count little. Each term's XXH64 votes with its
 own where rows are already together.
 
 Near fingerprints are found in permuted block tables: with radius + 2 blocks, any two within the radius agree
-in two blocks at least, so every pair of blocks leads one table, and a table's equal leads are compared.
+in two blocks at least, so every pair of blocks leads one table, and a table's equal leads are compared; a pair is of the
+first table in which it agrees. Copies are one fingerprint. Pairs are asked for by queries, a part of the fingerprints
+(by default those of documents whose id is divisible by EVERY), so that a group of near copies is not all its pairs.
 
 Defined results: a null text is empty and has fingerprint zero, as has any text without words; a null doc_id
-comes before all others; rows that share a doc_id follow each other in the order of their texts' hashes; other
-columns are ignored; an empty table gives an empty table.
+comes before all others and is no query; rows that share a doc_id follow each other in the order of their texts' hashes;
+texts are read whole, however long; other columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import id_back, keyed
+from quern.llm.common import id_back, keyed, written
 
 HEAVIEST = 12
 #: Documents in a stretch of the order by doc_id, and stretches at most.
 STRETCH, STRETCHES = 2000, 100_000
+#: Bits in which near fingerprints may differ, and one in how many identifiers is a query.
+RADIUS, EVERY = 3, 50
 _LANES = 0x0000000100000001
 
 
@@ -108,15 +113,31 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select(id_back(name=id_col), "n_chars", "edited_sha256", "fp", "edited_fp", F.coalesce("next_fp", "fp").alias("next_fp"))
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3, fp: str = "fp") -> DataFrame:
-    """(fp, other_fp, distance) for all pairs of different fingerprints within the radius, from permuted block tables."""
+def near_fingerprints(prints: DataFrame, radius: int = RADIUS, fp: str = "fp", queries: DataFrame | None = None) -> DataFrame:
+    """(fp, other_fp, distance) for all pairs of different fingerprints within the radius, from permuted block tables; with queries (fp), the pairs of each query with any other."""
     blocks = radius + 2
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    part = [F.shiftrightunsigned("x", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(blocks)]
+    part = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
     tables = list(combinations(range(blocks), 2))
-    leads = F.array(*[F.struct(F.lit(t).alias("t"), part[i].alias("a"), part[j].alias("b")) for t, (i, j) in enumerate(tables)])
-    led = prints.select(F.col(fp).cast("long").alias("x")).where("x is not null").distinct().select("x", F.explode(leads).alias("lead"))
-    left, right = led.alias("l"), led.select(F.col("x").alias("y"), F.col("lead").alias("other")).alias("r")
-    distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int")
-    pairs = left.join(right, (F.col("lead") == F.col("other")) & (F.col("x") < F.col("y"))).where(distance <= radius)
-    return pairs.select(F.col("x").alias(fp), F.col("y").alias(f"other_{fp}"), distance.alias("distance")).distinct()
+    leads = F.array(*[F.struct(F.lit(t).alias("t"), part("x", i).alias("a"), part("x", j).alias("b")) for t, (i, j) in enumerate(tables)])
+    led = lambda df: df.select(F.col(fp).cast("long").alias("x")).where("x is not null").distinct().select("x", F.explode(leads).alias("lead"))
+    left, right = led(prints if queries is None else queries).alias("l"), led(prints).select(F.col("x").alias("y"), F.col("lead").alias("other")).alias("r")
+    apart = F.col("x").bitwiseXOR(F.col("y"))
+    distance = F.bit_count(apart).cast("int")
+    first = F.lit(False)
+    for t, (i, j) in enumerate(tables):
+        first = first | ((F.col("lead.t") == t) & reduce(lambda p, q: p & q, [part(apart, k) != 0 for k in range(j) if k != i], F.lit(True)))
+    once = F.col("x") < F.col("y") if queries is None else F.col("x") != F.col("y")
+    pairs = left.join(right, (F.col("lead") == F.col("other")) & once & (distance <= radius) & first)
+    return pairs.select(F.col("x").alias(fp), F.col("y").alias(f"other_{fp}"), distance.alias("distance"))
+
+
+def with_near(prints: DataFrame, radius: int = RADIUS, every: int = EVERY, id_col: str = "doc_id") -> DataFrame:
+    """document_fingerprints() with n_near: for documents whose id is divisible by `every`, the number of others with a fingerprint within the radius; else null."""
+    prints = written(prints, "fingerprints")
+    asked = F.col(id_col) % every == 0
+    queries = written(prints.where(asked).select("fp").distinct(), "queries")
+    have = written(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "counts")
+    pairs = near_fingerprints(have, radius, "fp", queries).select("fp", "other_fp").union(queries.select("fp", F.col("fp").alias("other_fp")))
+    near = pairs.join(have.withColumnRenamed("fp", "other_fp"), "other_fp").groupBy("fp").agg((F.sum("n") - 1).alias("n_near"))
+    return prints.join(near, "fp", "left").select(*prints.columns, F.when(asked, F.col("n_near")).alias("n_near"))
