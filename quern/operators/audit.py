@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern import rules as R
+from quern.functions import ladders as L
 from quern.functions import passes as P
 from quern.functions import text as T
 
@@ -46,6 +47,16 @@ def verdict(checks: DataFrame, name: str = "check", passed: str = "passed") -> D
     return checks.agg(F.when(F.bool_and(passed), "PASS").otherwise("FAIL").alias("verdict"), failed.alias("failed"))
 
 
+def final_checks(rows: DataFrame, split: str, q: str = "q", a: str = "a", most: int = 50) -> DataFrame:
+    """(check, passed) of a finished set: no pair in two splits, none twice in one, no answer that the opening pass would still shorten by over `most` characters."""
+    sig = F.md5(F.concat_ws(" ", F.lower(T.strip(q)), F.lower(T.strip(a))))
+    cut = F.length(a) - F.length(L.without_opening(F.col(a))) > most
+    one = rows.select(F.col(split).alias("split"), sig.alias("sig"), cut.alias("cut")).groupBy("sig", "split").agg(F.count(F.lit(1)).alias("n"), F.max("cut").alias("cut"))
+    per = one.groupBy("sig").agg(F.count(F.lit(1)).alias("splits"), F.max("n").alias("n"), F.max("cut").alias("cut"))
+    told = per.agg(F.coalesce(F.max("splits") <= 1, F.lit(True)).alias("leaks"), F.coalesce(F.max("n") <= 1, F.lit(True)).alias("duplicates"), F.coalesce(~F.max("cut"), F.lit(True)).alias("over_strip"))
+    return told.select(F.expr("stack(3, 'leaks', leaks, 'duplicates', duplicates, 'over_strip', over_strip) as (check, passed)"))
+
+
 def residual_flags(q: Column | str, a: Column | str) -> dict[str, Column]:
     """What a finished set should have none of: some only looked for in the answer, the others in each text by itself."""
     q, a = T.col(q), T.col(a)

@@ -84,6 +84,12 @@ def language_gate(q_lang: str, q_prob: str, a_lang: str, a_prob: str, family=R.L
     return Gate("G3_language", (("answer", bad(a_lang, a_prob, R.LANGUAGE_ANSWER)), ("question", bad(q_lang, q_prob, R.LANGUAGE_QUESTION))))
 
 
+def language_reason(q_lang: str, q_prob: str, a_lang: str, a_prob: str, family=R.LANGUAGE_FAMILY) -> Column:
+    """answer_<label> or question_<label> of the first that language_gate() holds against a row, else null."""
+    bad = lambda lang, prob, least: ~F.col(lang).isin(*family) | (F.col(prob) < least)
+    return F.when(bad(a_lang, a_prob, R.LANGUAGE_ANSWER), F.concat(F.lit("answer_"), a_lang)).when(bad(q_lang, q_prob, R.LANGUAGE_QUESTION), F.concat(F.lit("question_"), q_lang))
+
+
 def relevance_gate(relevance: str = "relevance", least: float = R.RELEVANCE) -> Gate:
     return Gate("G8_relevance", (("off_topic", F.col(relevance) < least),))
 
@@ -145,6 +151,12 @@ def any_code_lookup(messages: Column | str, source: Column | None = None, source
     return asks | source.isin(*sources) if source is not None and sources else asks
 
 
+def content_lookup(question: Column | str) -> Column:
+    """Code questions by what is asked alone."""
+    low = F.lower(F.coalesce(T.col(question), F.lit("")))
+    return F.contains(low, F.lit("icd")) & F.contains(low, F.lit("code"))
+
+
 def high_person(entities: Column | str, least: float = R.PERSON_SCORE) -> Column:
     """Whether a recogniser's entities have a person that is no common word."""
 

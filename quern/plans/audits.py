@@ -11,6 +11,7 @@ from quern.operators import audit as A
 from quern.operators import leaks as L
 from quern.operators import typo as Y
 from quern.operators.profile import flag_counts
+from quern.operators.selection import shuffle_key
 from quern.plans import samples
 from quern.plans.tables import PAIRS, SPLIT, documents, pairs, split_documents, table
 
@@ -46,30 +47,27 @@ md5(case when length(n) < 40 then n else right(n, 80) end) as signature, lower(r
 
 
 def _detectors():
-    return {"citation_tail": T.citation_tail, "truncation": lambda c: T.truncated(c, DANGLING), "short": lambda c: F.length(c) < 200, "marks": lambda c: c.rlike("[*$%&#]{3,}")}
+    return {"citation_tail": T.citation_tail, "truncation": T.truncated, "over_strip": lambda c: T.over_strip(c).isNotNull(), "doctor": T.doctor_leak}
 
 
 def detector_rates(spark, d):
-    s = split_documents(spark, d).select("split", F.substring("text", 1, 200).alias("head"), "text")
-    return A.rates(s, ("head", "text"), _detectors(), "split")
+    """What the detectors find in questions and answers of pairs of turns and of made-up rows, by split."""
+    rows = samples.with_questions(pairs(spark, d))
+    digit = F.conv(F.substring(shuffle_key("id"), 1, 2), 16, 10).cast("int")
+    split = F.when(digit < 205, "train").when(digit < 230, "val").otherwise("test")
+    return A.rates(rows.withColumn("split", split), ("q", "a"), _detectors(), "split")
 
 
-def _rate(c: str) -> dict[str, str]:
-    tail = rf"right(regexp_replace({c}, '\s+$', ''), 90)"
-    r = rf"regexp_replace({c}, '\s+$', '')"
-    last = _LAST.format(c)
-    return {
-        "citation_tail": f"regexp_matches({tail}, '{R.BARE_TAIL}') or regexp_matches({tail}, '{R.DANGLING_TAIL}') or regexp_matches({tail}, '{R.INFORMATION_TAIL}')",
-        "truncation": f"case when {r} = '' or regexp_matches({r}, '{_TERMINAL}') or {last} in {tuple(R.SIGN_OFF_WORDS)} then false else {last} in {DANGLING} or {last} = '' end", "short": f"length({c}) < 200", "marks": f"regexp_matches({c}, '[*$%&#]{{3,}}')",
-    }
-
-
-_FIELDS = {"head": "substr(text, 1, 200)", "text": "text"}
-RATES = (
-    f"with {SPLIT}, l as ("
-    + " union all ".join(f"select split, '{f}' as field, '{n}' as category, count(*) filter (where {cond}) as n, count(*) as total from split group by split" for f, c in _FIELDS.items() for n, cond in _rate(c).items())
-    + ") select category, split, field, n, total, n::double / total as rate from l union all select category, 'ALL', 'ALL', sum(n)::bigint, sum(total)::bigint, sum(n)::double / sum(total) from l group by category"
-)
+RATES = rf"""with {PAIRS}, {samples.WITH_QUESTIONS}, h as (select *, unhex(substr(md5(id::varchar || '|42'), 1, 2)) as h from qa), s as (select *, case when h < '\xCD' then 'train' when h < '\xE6' then 'val' else 'test' end as split from h),
+d as (select split, 'q' as field, q as text from s union all select split, 'a', a from s),
+t as (select *, regexp_replace(text, '{_LEAD}', '') as t, regexp_replace(text, '\s+$', '') as r from d),
+f as (select *, lower(regexp_extract(t, '^([A-Za-z]+)', 1)) as first, {_LAST.format("text")} as last, regexp_matches(t, '{R.PREPOSITION_COPULA}') as copula, regexp_matches(t, '^\p{{Ll}}') as low from t),
+g as (select split, field, count(*) as total, count(*) filter (where regexp_matches(right(r, 90), '{R.BARE_TAIL}') or regexp_matches(right(r, 90), '{R.DANGLING_TAIL}') or regexp_matches(right(r, 90), '{R.INFORMATION_TAIL}')) as citation_tail,
+  count(*) filter (where {_CUT.format(terminal=_TERMINAL, closing=tuple(R.SIGN_OFF_WORDS), words=tuple(R.DANGLING_WORDS))}) as truncation,
+  count(*) filter (where t <> '' and (first in {R.CONNECTORS_HIGH} or copula or first in {R.CONNECTORS_LOW} or low)) as over_strip,
+  count(*) filter (where regexp_matches(text, '(?i)\b(dr\.?|drg\.?|dokter)\s+({"|".join(R.KNOWN_DOCTORS)})\b') or len(list_filter(regexp_extract_all(text, '{R.DOCTOR_ABBREVIATED}', 2), lambda x: lower(x) not in {tuple(R.DOCTOR_STOP)})) > 0) as doctor from f group by all),
+l as (unpivot g on citation_tail, truncation, over_strip, doctor into name category value n)
+select category, split, field, n, total, n::double / total as rate from l union all select category, 'ALL', 'ALL', sum(n)::bigint, sum(total)::bigint, sum(n)::double / sum(total) from l group by category"""
 
 
 def aligned_heads(spark, d):
@@ -143,6 +141,13 @@ def validation(spark, d):
     return row.select(F.expr("stack(4, 'rows', n > 0, 'fields', blank = 0, 'splits', splits = 3, 'leaks', coalesce(common, 0) = 0) as (check, passed)"))
 
 
+def final_verdict(spark, d):
+    """The verdict on the splits of pairs of turns and of made-up rows: leaks, duplicates, openings that are left."""
+    rows = samples.with_questions(pairs(spark, d))
+    digit = F.conv(F.substring(shuffle_key("id"), 1, 2), 16, 10).cast("int")
+    return A.verdict(A.final_checks(rows.withColumn("split", F.when(digit < 205, "train").when(digit < 230, "val").otherwise("test")), "split"))
+
+
 def validation_verdict(spark, d):
     return A.verdict(validation(spark, d))
 
@@ -282,7 +287,7 @@ def spelling_reverted(spark, d):
 
 QUERIES = {
     "detectors": (detectors, DETECTORS), "detector_rates": (detector_rates, RATES), "aligned_counts": (aligned_counts, ALIGNED), "aligned_heads": (aligned_heads, HEADS), "restored_heads": (restored_heads, None),
-    "residual_artefacts": (residual_artefacts, RESIDUAL), "validation": (validation, CHECKS), "validation_verdict": (validation_verdict, VERDICT), "word_frequency": (word_frequency, FREQUENCY), "inner_capitals": (inner_capitals, CAPITALS),
+    "residual_artefacts": (residual_artefacts, RESIDUAL), "validation": (validation, CHECKS), "validation_verdict": (validation_verdict, VERDICT), "final_verdict": (final_verdict, None), "word_frequency": (word_frequency, FREQUENCY), "inner_capitals": (inner_capitals, CAPITALS),
     "dictionary_words": (dictionary_words, DICTIONARY), "known_stems": (known_stems, STEMS), "edit_neighbours": (edit_neighbours, EDITS), "spelling_corrections": (spelling_corrections, None), "spelling_changes": (spelling_changes, CHANGES), "correction_flags": (correction_flags, CORRECTION_FLAGS), "runtime_corrected": (runtime_corrected, None),
     "spelling_reverted": (spelling_reverted, REVERTED),
 }

@@ -159,7 +159,7 @@ def language_gate(spark, d):
     from quern.operators.vectors import by_profile
 
     p = by_profile(PROFILES, "a", "a")(by_profile(PROFILES, "q", "q")(pairs(spark, d)))
-    return p.select("conv_id", "turn", "a_lang", "a_prob", G.first_failed([G.language_gate("q_lang", "q_prob", "a_lang", "a_prob", ("en",))]).alias("failed"))
+    return p.select("conv_id", "turn", "a_lang", "a_prob", G.first_failed([G.language_gate("q_lang", "q_prob", "a_lang", "a_prob", ("en",))]).alias("failed"), G.language_reason("q_lang", "q_prob", "a_lang", "a_prob", ("en",)).alias("reason"))
 
 
 def _told(c: str, name: str) -> str:
@@ -170,12 +170,23 @@ def _told(c: str, name: str) -> str:
 
 
 LANGUAGE = f"""with {PAIRS}, t as (select conv_id, turn, {_told("q", "q")}, {_told("a", "a")} from pairs)
-select conv_id, turn, a_lang, a_prob, case when a_lang <> 'en' or a_prob < 0.65 then 'G3_language:answer' when q_lang <> 'en' or q_prob < 0.3 then 'G3_language:question' end as failed from t""".replace("{{", "{").replace("}}", "}")
+select conv_id, turn, a_lang, a_prob, case when a_lang <> 'en' or a_prob < 0.65 then 'G3_language:answer' when q_lang <> 'en' or q_prob < 0.3 then 'G3_language:question' end as failed,
+case when a_lang <> 'en' or a_prob < 0.65 then 'answer_' || a_lang when q_lang <> 'en' or q_prob < 0.3 then 'question_' || q_lang end as reason from t""".replace("{{", "{").replace("}}", "}")
 
 
+def code_lookups(spark, d):
+    """Questions for codes among pairs of turns and made-up rows: by any message or the source, and by the question alone."""
+    rows = samples.with_questions(pairs(spark, d))
+    messages = roles.to_messages(F.col("q"), F.col("a"))
+    return rows.select("id", G.any_code_lookup(messages, F.col("source"), R.CODE_SOURCES).alias("noise"), G.content_lookup("q").alias("lookup"))
+
+
+_ASKS = "(contains({0}, 'What is the') and contains(lower({0}), 'code') and contains({0}, 'ICD') and length({0}) < 200)"
+LOOKUPS = f"""with {PAIRS}, {samples.WITH_QUESTIONS} select id, source in ('icd11', 'hidr') or {_ASKS.format("q")} or {_ASKS.format("a")} as noise, contains(lower(q), 'icd') and contains(lower(q), 'code') as lookup from qa"""
+
 QUERIES = {
     "qa_pairs": (qa_pairs, f"with {PAIRS} select * from pairs"), "role_views": (role_views, ROLE_VIEWS), "chat_render": (chat_render, CHAT_RENDER), "merge_system_prompt": (merge_system_prompt, MERGE_SYSTEM),
     "inference_prompts": (inference_prompts, INFERENCE), "row_validity": (row_validity, ROW_VALIDITY), "qa_gates": (qa_gates, QA_GATES), "qa_gate_funnel": (qa_gate_funnel, QA_FUNNEL), "noise_reasons": (noise_reasons, NOISE),
-    "echo_pairs": (echo_pairs, ECHO), "person_gate": (person_gate, None), "language_gate": (language_gate, LANGUAGE),
+    "echo_pairs": (echo_pairs, ECHO), "person_gate": (person_gate, None), "language_gate": (language_gate, LANGUAGE), "code_lookups": (code_lookups, LOOKUPS),
 }
 

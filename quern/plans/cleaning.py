@@ -48,21 +48,21 @@ FIX_GLUED = rf"""select doc_id, {_sql("regexp_replace(text, '([a-z])([A-Z])', '\
 def punctuation(spark, d):
     return documents(spark, d).select(
         "doc_id", *_md5(T.drop(T.drop("text", R.ORPHAN_PUNCTUATION, "$1"), R.REPEATED_PUNCTUATION, "$1"), "tidy"), *_md5(T.strip_citations("text"), "citation"), *_md5(T.drop("text", R.ARTICLE_TAIL), "tail"),
-        *_md5(T.drop("text", r"^[\s.,;:!?-]+"), "lead"), *_md5(T.safe_name(F.substring("text", 1, 60)), "safe"), *_md5(T.code_title("text"), "title"),
+        *_md5(T.drop("text", r"^[\s.,;:!?-]+"), "lead"), *_md5(T.safe_name("text"), "safe"), *_md5(T.code_title("text"), "title"),
     )
 
 
 _ONE = "'" + chr(92) + "1', 'g'"
 PUNCTUATION = rf"""select doc_id, {_sql(f"regexp_replace(regexp_replace(text, '{R.ORPHAN_PUNCTUATION}', {_ONE}), '{R.REPEATED_PUNCTUATION}', {_ONE})", "tidy")}, {_sql(f"regexp_replace(text, '{R.CITATION}', '', 'g')", "citation")},
-{_sql(f"regexp_replace(text, '{R.ARTICLE_TAIL}', '', 'g')", "tail")}, {_sql(r"regexp_replace(text, '^[\s.,;:!?-]+', '')", "lead")}, {_sql("regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9]', '_', 'g')", "safe")}, {_sql(r"regexp_replace(text, '^[-\s]+', '')", "title")} from documents"""
+{_sql(f"regexp_replace(text, '{R.ARTICLE_TAIL}', '', 'g')", "tail")}, {_sql(r"regexp_replace(text, '^[\s.,;:!?-]+', '')", "lead")}, {_sql("regexp_replace(text, '[^A-Za-z0-9]', '_', 'g')", "safe")}, {_sql(r"regexp_replace(text, '^[-\s]+', '')", "title")} from documents"""
 
 
 def truncate_words(spark, d):
-    return documents(spark, d).select("doc_id", *_md5(T.truncate_words("text"), "cut"), *_md5(T.sentence_case("text"), "sentence"), *_md5(T.capitalised(F.substring("text", 1, 100)), "capital"))
+    return documents(spark, d).select("doc_id", *_md5(T.truncate_words("text"), "cut"), *_md5(T.sentence_case("text"), "sentence"), *_md5(T.capitalised("text"), "capital"))
 
 
 TRUNCATE = rf"""with c as (select doc_id, case when length(text) > 2000 then regexp_replace(substr(text, 1, 2000), ' [^ ]*$', '') || '...' else text end as cut, upper(substr(text, 1, 1)) || substr(text, 2) as sentence,
-upper(substr(text, 1, 1)) || lower(substr(substr(text, 1, 100), 2)) as capital from documents) select doc_id, {_sql("cut", "cut")}, {_sql("sentence", "sentence")}, {_sql("capital", "capital")} from c"""
+upper(substr(text, 1, 1)) || lower(substr(text, 2)) as capital from documents) select doc_id, {_sql("cut", "cut")}, {_sql("sentence", "sentence")}, {_sql("capital", "capital")} from c"""
 
 
 def normalize_text(spark, d):

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from quern import rules as R
 from quern.operators import gates as G
 from quern.plans import samples
-from quern.plans.tables import table
+from quern.plans.tables import PAIRS, table
+from quern.plans.tables import pairs as table_pairs
+from quern.sources import adapters as A
 from quern.sources import builders as B
 from quern.sources import readers
 from quern.streaming import gates as stream
@@ -105,6 +107,34 @@ v as (select conv_id, case when lower(trim(q)) not in ('', 'nan', 'none') then {
 select q, a from v where length(q) >= 20 and length(a) between 100 and 2000 and q <> a and not regexp_matches(a, '{_FOLLOW_UP}') qualify row_number() over (partition by q order by conv_id) = 1"""
 
 
+def source_rows(spark, d):
+    """Pairs of turns and made-up rows as sources of four layouts, each by its own filters."""
+    rows = samples.with_questions(table_pairs(spark, d)).withColumn("k", F.pmod(F.col("id"), F.lit(4)))
+    long = F.concat_ws(" ", "a", "q", "a", "q", "a", "q", "a")
+    asked = rows.select("id", F.col("q").alias("question"), F.when(F.col("k") == 0, F.substring("a", 1, 49)).when(F.col("k") == 1, F.substring("a", 1, 50)).when(F.col("k") == 2, long).otherwise(F.lit("NaN")).alias("answer"))
+    told = rows.select("id", F.col("q").alias("instruction"), F.when(F.col("k") == 0, " none ").when(F.col("k") == 1, " x y ").alias("input"), F.col("a").alias("output"))
+    judged = rows.select("id", F.col("q").alias("question"), F.when(F.col("k") != 3, F.col("a")).otherwise("nan").alias("long_answer"), F.when(F.col("k") == 0, "MAYBE").when(F.col("k") == 1, "nan").alias("final_decision"))
+    chatted = rows.select("id", F.when(F.col("k") == 0, F.substring("q", 1, 19)).otherwise(F.col("q")).alias("input"), F.when(F.col("k") == 1, F.substring("a", 1, 99)).when(F.col("k") == 2, long).otherwise(F.col("a")).alias("output"))
+    made = {"plain": A.plain(asked, ("id",)), "instructions": A.instructions(told, ("id",)), "decisions": A.decisions(judged, ("id",)), "dialogues": A.dialogues(chatted, ("id",))}
+    out = None
+    for layout, df in made.items():
+        one = df.select("id", F.lit(layout).alias("layout"), F.md5("q").alias("q"), F.md5("a").alias("a"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_END = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_CUT_AT = "case when length({0}) > 2000 then regexp_replace(substr({0}, 1, 2000), ' [^ ]*$', '') || '...' else {0} end"
+_LONG = "concat_ws(' ', a, q, a, q, a, q, a)"
+_ROWS = f"""with {PAIRS}, {samples.WITH_QUESTIONS}, k as (select id, q, a, ((id % 4) + 4) % 4 as k from qa),
+r as (select id, 'plain' as layout, q, case k when 0 then substr(a, 1, 49) when 1 then substr(a, 1, 50) when 2 then {_LONG} else 'NaN' end as a, 1 as least_q, 50 as least_a, true as cut from k
+union all select id, 'instructions', {_END.format("q")} || case when k = 1 then chr(10) || 'x y' else '' end, a, 1, 50, true from k
+union all select id, 'decisions', q, case when k = 0 then 'Maybe. ' else '' end || {_END.format("a")}, 1, 1, false from k where k <> 3 and lower({_END.format("a")}) not in ('', 'none', 'nan')
+union all select id, 'dialogues', case when k = 0 then substr(q, 1, 19) else q end, case k when 1 then substr(a, 1, 99) when 2 then {_LONG} else a end, 20, 100, true from k),
+s as (select id, layout, {_END.format("q")} as q, {_END.format("a")} as a, least_q, least_a, cut from r)
+select id, layout, md5(q) as q, md5(case when cut then {_CUT_AT.format("a")} else a end) as a from s where length(q) >= least_q and length(a) >= least_a and lower(a) not in ('', 'none', 'nan')"""
+
+
 def first_rows(spark, d):
     return readers.prefix(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 5000)
 
@@ -140,6 +170,6 @@ def stream_unique(spark, d):
 
 QUERIES = {
     "code_questions": (code_questions, _CODES), "indicator_questions": (indicator_questions, _INDICATORS), "option_questions": (option_questions, _OPTIONS), "typed_answers": (typed_answers, _TYPED), "named_regions": (named_regions, _REGIONS),
-    "clean_questions": (clean_questions, _QUESTIONS), "first_rows": (first_rows, "select o_orderkey, o_custkey from orders order by o_orderkey limit 5000"), "stream_gates": (stream_gates, _STREAM), "stream_windows": (stream_windows, _WINDOWS),
+    "clean_questions": (clean_questions, _QUESTIONS), "source_rows": (source_rows, _ROWS), "first_rows": (first_rows, "select o_orderkey, o_custkey from orders order by o_orderkey limit 5000"), "stream_gates": (stream_gates, _STREAM), "stream_windows": (stream_windows, _WINDOWS),
     "stream_unique": (stream_unique, "select distinct user_id from events"),
 }

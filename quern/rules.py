@@ -44,6 +44,7 @@ NOT_ANSWER = (
     r"(?i)tolong\s*(?:d\s*)?balas|tolong\s*di\s*jawab|gmna\s*dok|belum\s*di\s*balas|kenapa\s*belum|mohon\s*d\s*balas|dong\s*dok|ma['\s]?af.*belum|dok\s*tolong|harap\s*di\s*balas"
 )
 SOURCE_QUESTION_CHARS, SOURCE_ANSWER_CHARS = 20, (100, 2000)
+PLAIN_ANSWER_CHARS = 50
 
 # greetings at the beginning of an answer, in order
 GREETINGS = (

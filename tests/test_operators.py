@@ -185,6 +185,36 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"{d}/some").columns == ["id"]
 
 
+def test_source_adapters(spark):
+    """Each kind of source at the edges of its filters."""
+    from quern.sources import adapters as A
+
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    qa = spark.createDataFrame([("q1", "x" * 49), ("q2", "x" * 50), (" q3 ", " " + "y " * 1100), ("q4", "None"), (None, "x" * 60), ("q5", None), (" ", "x" * 60), ("q6", "z" * 2001)], "question string, answer string")
+    assert rows(A.plain(qa)) == [("q2", "x" * 50), ("q3", ("y " * 1000).rstrip() + "..."), ("q6", "z" * 2000 + "...")]
+    inst = spark.createDataFrame([("do", "", "o" * 50), ("do", " None", "o" * 50), ("do", " this ", "o" * 50), (None, "x", "o" * 50), ("do", "x", "o" * 49)], "instruction string, input string, output string")
+    assert [q for q, _ in rows(A.instructions(inst))][:3] == ["do", "do", "do\nthis"]
+    dec = spark.createDataFrame([("q", "long", "yes"), ("q", "long", "MAYBE"), ("q", "long", None), ("q", "long", "nan"), ("q", None, "no"), ("", "long", "no")], "question string, long_answer string, final_decision string")
+    assert rows(A.decisions(dec)) == [("q", "Yes. long"), ("q", "Maybe. long"), ("q", "long"), ("q", "long")]
+    mcq = spark.createDataFrame([("q", "a", "b ", "c", "d", i, why) for i, why in ((0, "because"), (3, ""), (4, "none"), (None, "x"))], "question string, opa string, opb string, opc string, opd string, cop int, exp string")
+    assert [a for _, a in rows(A.choices(mcq))] == ["The correct answer is **A) a**. because", "The correct answer is **D) d**.", "The correct answer is **?) **."]
+    assert rows(A.choices(mcq))[0][0] == "q\nA) a\nB) b\nC) c\nD) d"
+    chat = spark.createDataFrame([("q" * 19, "a" * 100), ("q" * 20, "a" * 99), ("q" * 20, "a" * 100)], "question string, response string")
+    assert rows(A.dialogues(chat)) == [("q" * 20, "a" * 100)]
+
+
+def test_final_checks(spark):
+    from quern.operators import audit
+
+    good = [("train", "q1", "jawaban satu"), ("test", "q2", "jawaban dua")]
+    told = lambda rows: {r.check: r.passed for r in audit.final_checks(spark.createDataFrame(rows, "split string, q string, a string"), "split").collect()}
+    assert told(good) == told([]) == {"leaks": True, "duplicates": True, "over_strip": True}
+    assert told([*good, ("val", "Q1 ", "jawaban satu")])["leaks"] is False
+    assert told([*good, ("train", "q1", "jawaban satu")])["duplicates"] is False
+    opening = "Halo. Welcome to this forum, dear user. I have read your query. Thanks for asking us. Obat ini diminum sesudah makan pagi."
+    assert told([*good, ("val", "q3", opening)])["over_strip"] is False
+
+
 def test_layouts(spark):
     a = spark.createDataFrame([("i", "o")], "instruction string, output string")
     b = spark.createDataFrame([([("user", "u"), ("assistant", "a")],)], "messages array<struct<role: string, content: string>>")
