@@ -24,7 +24,7 @@ BATCH_ROWS = 2000
 def few_rows(spark: SparkSession) -> None:
     """Smaller batches for texts than the default, unless the session has a number of its own."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    if name not in spark.conf.getAll:
         spark.conf.set(name, str(BATCH_ROWS))
 
 

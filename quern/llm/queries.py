@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontam, fingerprint, langid, mixing, url_filter, warc
+from quern.llm import chat, decontam, fingerprint, langid, mixing, phrase_dedup, url_filter, warc
 from quern.llm.neardup import near_duplicates
-from quern.llm.phrase_dedup import phrase_dedup
 from quern.llm.suffix_dedup import substring_dedup
 
 
@@ -29,7 +28,7 @@ def op2_bloom_cascade_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: F.coalesce(i.cast("string"), F.lit("null")))), ",")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
@@ -52,11 +51,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fingerprint.document_fingerprints(table(spark, sf_dir, "documents"))
+    f = fingerprint.with_near(fingerprint.document_fingerprints(table(spark, sf_dir, "documents")))
     like = fingerprint.likeness
     return f.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint.hexed(F.col("fp")).alias("fingerprint"), fingerprint.hexed(F.col("edited_fp")).alias("edited_fingerprint"),
-        like(F.col("fp"), F.col("edited_fp")).alias("near_edited"), like(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        like(F.col("fp"), F.col("edited_fp")).alias("near_edited"), like(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near",
     )
 
 
@@ -66,7 +65,7 @@ def op8_simhash_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = phrase_dedup(table(spark, sf_dir, "documents"))
+    out = phrase_dedup.phrase_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -90,4 +89,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_bloom_cascade_url_filter": url_filter.SQL, "op6_mix_sources": mixing.SQL}
+    return {
+        "op1_warc": warc.SQL,
+        "op2_bloom_cascade_url_filter": url_filter.SQL,
+        "op3_decontaminate": decontam.SQL,
+        "op5_chat_prefix_tree": chat.SQL,
+        "op6_mix_sources": mixing.SQL,
+        "op9_phrase_automata_dedup": phrase_dedup.SQL,
+    }

@@ -1,6 +1,7 @@
 """The registered queries against brute force and SQL on whole small tables, and the pipeline on planted cases."""
 
 import hashlib
+import math
 import random
 
 import corpus_pipeline
@@ -18,7 +19,7 @@ def docs(spark, small_dir):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, small_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.sql(f"create view {t} as select * from '{small_dir}/{t}.parquet'")
     df = queries.queries()[name](spark, small_dir)
     want = con.sql(f"select {', '.join(df.columns)} from ({queries.oracle_sql()[name]})").fetchall()
@@ -110,6 +111,21 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert again == {k: r.mix_repeats for k, r in kept["mixing"].items()}
 
 
+def test_stages_on_repeated_ids_and_clashing_columns(spark, tmp_path):
+    """Repeated doc_ids, null ids and texts, very long texts and columns named like the operators' own."""
+    long = " ".join(f"the thing {i} with other" for i in range(60_000))
+    rows = [(1, "the thing and the other with have " * 20, "en", "a"), (1, "the thing and the other with have " * 20, "en", "a"), (2, long, "en", "a"), (3, long + " and more", "en", "b"), (None, None, None, None), (None, "the and thing other " * 30, "en", None), (4, "", "en", "a")]
+    d = str(tmp_path / "sf")
+    clash = ("k", "node", "fp", "d", "label", "part", "gone", "kept", "row", "spans", "items", "mix_size", "_source", "held_out", "lang_pred", "component_id")
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *["x"] * len(clash)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash))
+    spark.createDataFrame([(1, "nothing of the kind is in here at all i hope")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d).collect()
+        assert out, name
+        if name == "near_dedup":
+            assert sorted((r.doc_id or 0) for r in out) == [0, 0, 1, 1, 2]
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     d = str(tmp_path / "sf")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
@@ -118,7 +134,7 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
 
 def plain_languages(rows):
-    """Naive Bayes with plain counters; rows of (doc_id, text, lang)."""
+    """Naive Bayes with plain counters; rows of (doc_id, text, lang). The language, and its probability."""
     import math
     import zlib
     from collections import Counter, defaultdict
@@ -145,48 +161,37 @@ def plain_languages(rows):
     out = {}
     for k, t, _ in rows:
         score = {x: math.log(docs[x] / sum(docs.values())) + sum(n * math.log((counts[x][b] + langid.SMOOTH) / total[x]) for b, n in cache[k].items()) for x in counts}
-        out[k] = max(sorted(score), key=score.get) if any(c.isalpha() for c in t or "") else "und"
+        best = max(sorted(score), key=score.get)
+        share = 1 / sum(math.exp(max(-700, v - score[best])) for v in score.values())
+        out[k] = (best, share) if any(c.isalpha() for c in t or "") else ("und", 0.0)
     return out
 
 
-def plain_groups(texts):
-    """Components of 512-bit fingerprints of five-word shingles, pair by pair."""
-
-    def mix(x):
-        x = x * 0x9E3779B97F4A7C15 % 2**64
-        x = (x ^ x >> 31) * 0xD6E8FEB86659FD93 % 2**64
-        return x ^ x >> 29
-
-    fps = {}
-    for k, t in texts.items():
-        hs = neardup.shingle_hashes("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode(), 5)
-        fps[k] = plain_bits(hs, mix)
-    blocks = {k: [f >> 16 * b & 0xFFFF for b in range(32)] for k, f in fps.items()}
-    label = {k: k for k in texts}
-    links = [(a, b) for a in texts for b in texts if a < b and (fps[a] ^ fps[b]).bit_count() <= 80 and any(x == y for x, y in zip(blocks[a], blocks[b], strict=True))]
-    changed = True
-    while changed:
-        changed = False
-        for a, b in links:
-            low = min(label[a], label[b])
-            if label[a] != low or label[b] != low:
-                label[a] = label[b] = low
-                changed = True
-    return label
-
-
-def plain_bits(hs, mix):
-    out = 0
-    for plane in range(8):
-        own = [h if plane == 0 else mix((h + plane) % 2**64) for h in hs]
-        ones = [0] * 64
-        for h in own:
-            while h:
-                low = h & -h
-                ones[low.bit_length() - 1] += 1
-                h ^= low
-        out = out << 64 | sum(1 << b for b in range(64) if 2 * ones[b] > len(own))
-    return out
+def test_languages_against_counters(spark, small_dir):
+    import zlib
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()]
+    want, got = plain_languages(rows), {r.doc_id: r for r in queries.op10_language_id(spark, small_dir).collect()}
+    assert {k: r.lang_pred for k, r in got.items()} == {k: w for k, (w, _) in want.items()}
+    assert all(abs(r.score - want[k][1]) < 1e-3 and r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in got.items())
+
+
+def test_fingerprints_against_plain_votes(spark, small_dir, docs):
+    from test_texts import plain_print
+
+    order = sorted(docs)
+    like = lambda a, b: max(0.0, math.cos((a ^ b).bit_count() * math.pi / 64))
+    prints = {k: plain_print(t or "") for k, t in docs.items()}
+    rows = queries.op7_simhash_fingerprints(spark, small_dir).collect()
+    assert sorted(r.doc_id for r in rows) == order
+    for r in rows:
+        own, follows = docs[r.doc_id] or "", order[(order.index(r.doc_id) + 1) % len(order)]
+        q = len(own) // 4
+        edited = own[: len(own) - q] + (docs[follows] or "")[:q]
+        fp, other = prints[r.doc_id], plain_print(edited)
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(own), hashlib.sha256(edited.encode()).hexdigest(), f"{fp:016x}", f"{other:016x}")
+        assert r.n_near == (sum((prints[r.doc_id] ^ x).bit_count() <= 3 for x in prints.values()) - 1 if r.doc_id % 50 == 0 else None)
+        assert math.isclose(r.near_edited, like(fp, other), abs_tol=1e-12) and math.isclose(r.near_next, like(fp, prints[follows]), abs_tol=1e-12)
 
 
 def test_pipeline_against_brute_force(spark, small_dir):
@@ -194,8 +199,8 @@ def test_pipeline_against_brute_force(spark, small_dir):
 
     rows = {r.doc_id: r for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()}
     told = plain_languages([(k, r.text, r.lang) for k, r in rows.items()])
-    texts = {k: rows[k].text for k in rows if told[k] != "und"}
-    label = plain_groups(texts)
+    texts = {k: rows[k].text for k in rows if told[k][0] != "und" and told[k][1] >= corpus_pipeline.SURE}
+    label, _ = neardup.brute_similar(texts)
     texts = {k: t for k, t in texts.items() if label[k] == k}
     cut = phrase_dedup.brute(texts)
     texts = {k: (kept if removed else texts[k]) for k, (n, removed, kept) in cut.items() if not removed or removed < n}

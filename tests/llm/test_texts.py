@@ -33,6 +33,38 @@ def test_decontamination(spark):
     assert any(v[1] for v in want.values())
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Null and repeated item ids, repeated documents, a text longer than a segment, clashing columns."""
+    item = " ".join(f"w{i}" for i in range(12))
+    long = " ".join(f"x{i}" for i in range(700_000)) + f" {item} end"
+    docs = [(1, f"a {item}"), (1, f"a {item}"), (2, long), (None, item), (3, None)]
+    tests = [(7, item), (None, item), (7, "w0 w1"), (None, None), (9, "absent words")]
+    df = spark.createDataFrame([(*r, "i", 3) for r in docs], "doc_id long, text string, ids string, n_words int").repartition(2)
+    items = spark.createDataFrame([(*r, 1) for r in tests], "item_id long, text string, item int")
+    for block in (decontam.BLOCK, 4):
+        got = sorted((r.doc_id or 0, r.n_words, sum(s.end - s.begin for s in r.spans), sorted(map(str, r["items"]))) for r in decontam.decontaminate(df, items, block=block).collect())
+        assert got == [(0, 12, 12, ["7", "None"]), (1, 13, 12, ["7", "None"]), (1, 13, 12, ["7", "None"]), (2, 700_013, 12, ["7", "None"]), (3, 0, 0, [])]
+
+
+def test_long_items_are_cut_with_all_their_windows(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    items = {1: " ".join(words), 2: " ".join(words[290:]), 3: "w1 w2"}
+    docs = {k: " ".join(words[a : a + r.randint(5, 40)]) for k, a in enumerate(range(0, 295, 7))}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for block in (7, 50, 1000):
+        got = {x.doc_id: (x.n_words, sum(s.end - s.begin for s in x.spans), sorted(map(str, x["items"]))) for x in decontam.decontaminate(df, tests, block=block).collect()}
+        assert got == decontam.brute(docs, items)
+
+
+def test_one_index_serves_any_test_set(spark):
+    index = decontam.build_index(spark.createDataFrame([(1, "a b c d e"), (2, "c d e f")], "doc_id long, text string"))
+    for phrase, hits in (("c d e", {1, 2}), ("e f", {2}), ("f g", set())):
+        found = decontam.find_windows(index, decontam.Windows([(0, phrase)], 10))
+        assert {r.id for r in found.collect() if r.spans} == hits
+
+
 def test_decontamination_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     tests = spark.createDataFrame([], "item_id long, text string")
@@ -91,9 +123,20 @@ def test_near_fingerprints(spark):
         got = {(x.fp, x.other_fp) for x in fingerprint.near_fingerprints(df, radius).collect()}
         want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= radius}
         assert got == want
+        some = df.where(F.pmod("fp", F.lit(3)) == 0)
+        pairs = [(x.fp, x.other_fp) for x in fingerprint.near_fingerprints(df, radius, queries=some).collect()]
+        asked = [f for f in signed if f % 3 == 0]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in asked for b in signed if a != b and ((a ^ b) % 2**64).bit_count() <= radius}
     assert want
 
 
+def test_near_of_odd_rows(spark):
+    """Copies, nulls and repeated ids among the queries; a very long text."""
+    rows = [(0, "a b c"), (50, "a b c"), (50, "A B\tc"), (51, "a b c"), (100, None), (150, ""), (None, "a b c"), (200, "z " * 200_000)]
+    out = fingerprint.with_near(fingerprint.document_fingerprints(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int"))).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_near if r.n_near is not None else -1) for r in out) == [(-1, -1), (0, 4), (50, 4), (50, 4), (51, -1), (100, 1), (150, 1), (200, 0)]
+
+
 def test_language_id(spark):
     r = random.Random(4)
     parts = {"aa": ["ka", "to", "mi", "ru"], "bb": ["sch", "ung", "ein", "ich"], "cc": ["ção", "ão", "nh", "lh"]}
@@ -111,6 +154,18 @@ def test_language_id(spark):
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) for k in got if k is not None)
 
 
+def test_more_languages_than_one_matrix(spark, monkeypatch):
+    rows = [(k, f"{chr(97 + k % 20)}q{chr(97 + k % 20)} " * 20, f"l{k % 20:02d}") for k in range(400)] + [(1000, "dqd " * 400_000, None), (1001, "?", "l00"), (1002, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r.doc_id: r for r in langid.identify_languages(df).collect()}
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    monkeypatch.setattr(langid, "GATHERED", 1 << 10)
+    cut = {r.doc_id: r for r in langid.identify_languages(df).collect()}
+    assert {k: r.lang_pred for k, r in cut.items()} == {k: r.lang_pred for k, r in whole.items()} and whole[1000].lang_pred == "l03"
+    assert all(abs(cut[k].score - whole[k].score) < 1e-6 for k in whole)
+    assert sum(whole[k].lang_pred == lang for k, _, lang in rows[:400]) == 400 and (whole[1001].lang_pred, whole[1002].lang_pred) == ("und", "und")
+
+
 def test_language_id_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert [(x.lang_pred, x.score) for x in langid.identify_languages(df).collect()] == [("und", 0.0)] * 2
@@ -162,3 +217,14 @@ def test_mixing_nothing(spark):
     assert mixing.mix_sources(df).count() == 0
     nulls = mixing.mix_sources(spark.createDataFrame([(1, None, None), (1, None, None)], "doc_id long, text string, source string")).collect()
     assert [(x.mix_size, x.mix_target) for x in nulls] == [(0, 0.0)] * 2
+
+
+def test_no_document_beyond_the_epochs(spark):
+    """Documents of size 0 follow the passes of their source."""
+    rows = [(k, None if k % 2 else "w " * 10, "abc"[k % 3], "x", 1) for k in range(120)]
+    _, out = mixed(spark, rows)
+    got = out.collect()
+    assert all(x.mix_repeats <= 2 for x in got)
+    assert {x.mix_repeats for x in got if x.source == "a"} == {2}
+    long = [(1, "w " * 300_000, "a", "x", 1), (1, "w " * 300_000, "a", "x", 1), (2, "v", "b", "x", 1)]
+    assert sorted((x.doc_id, x.mix_size, x.mix_repeats) for x in mixed(spark, long)[1].collect()) == [(1, 300_000, 2), (1, 300_000, 2), (2, 1, 2)]
