@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import buffers, column, few_rows, slices
 
@@ -138,9 +139,8 @@ def predict(docs: DataFrame, models: list[Model], text_col: str = "text", keep:
     text = names[keep.index(text_col)] if text_col in keep else "the_text"
     best = [F.lit(None).cast("string").alias("best"), F.lit(float("-inf")).alias("top"), F.lit(float("-inf")).alias("all")]
     told = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], *([] if text_col in keep else [F.col(text_col).alias("the_text")]), *best)
-    schema = told.schema
 
-    def scored(model):
+    def scored(model, given):
         held = docs.sparkSession.sparkContext.broadcast(model)
 
         def run(batches):
@@ -152,12 +152,14 @@ def predict(docs: DataFrame, models: list[Model], text_col: str = "text", keep:
                 own = [n if a > b else o for n, o, a, b in zip(name, column(batch, "best").to_pylist(), top, before, strict=True)]
                 # one batch out for one in: the columns that pass through are not cut
                 put = {"best": pa.array(own, pa.string()), "top": pa.array(np.maximum(top, before)), "all": pa.array(np.logaddexp(all_, column(batch, "all").to_numpy()))}
-                yield pa.RecordBatch.from_arrays([put.get(n, column(batch, n)) for n in schema.names], schema.names)
+                yield pa.RecordBatch.from_arrays([put[n] if n in put else column(batch, n) for n in given], given)
 
         return run
 
-    for model in models:
-        told = told.mapInArrow(scored(model), schema)
+    for i, model in enumerate(models, 1):
+        # the text goes on to the next model, and out only if it is kept
+        given = T.StructType([f for f in told.schema if i < len(models) or f.name != "the_text"])
+        told = told.mapInArrow(scored(model, given.names), given)
     score = F.when(F.col("best").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.exp(F.col("top") - F.col("all"))))
     return told.select(*names, F.coalesce("best", F.lit("und")).alias("lang_pred"), score.alias("score")).toDF(*keep, "lang_pred", "score")
 
