@@ -51,6 +51,11 @@ def words(c: Column | str, pattern: str = r"[a-z]+") -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(pattern), F.lit(0))
 
 
+def run_of(tokens: Column, at: Column, size: int) -> Column:
+    """`size` tokens from a place (from 0), joined by blanks. By single elements: a slice would copy the whole array each time."""
+    return F.concat_ws(" ", *[F.get(tokens, at + j) for j in range(size)])
+
+
 def alnum(c: Column | str) -> Column:
     return drop(F.lower(col(c)), "[^0-9a-z]+")
 
@@ -402,7 +407,7 @@ def title_keywords(title: Column | str, stop_words, least: int = R.KEYWORD_CHARS
     """The words of a title of `least` letters or more that are no stop words, and each two of them that follow each other."""
     bare = drop(F.lower(col(title)), r"\[.*?\]|\(.*?\)")
     found = F.filter(F.regexp_extract_all(bare, F.lit(r"[a-z][a-z\-']+"), F.lit(0)), lambda w: (F.length(w) >= least) & ~w.isin(*stop_words))
-    two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found) - 1, F.lit(1))), lambda i: F.array_join(F.slice(found, i, 2), " "))
+    two = F.transform(F.sequence(F.lit(0), F.greatest(F.size(found) - 2, F.lit(0))), lambda i: run_of(found, i, 2))
     return F.array_distinct(F.concat(found, F.when(F.size(found) > 1, two).otherwise(F.array().cast("array<string>"))))
 
 

@@ -46,7 +46,7 @@ def shingles(c: Column | str, size: int = 3, pattern: str = r"\w+", short: str =
 
     def runs(ws: Column) -> Column:
         n = F.size(ws)
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, size), " ")))
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.xxhash64(T.run_of(ws, i, size)))
         less = {"words": F.transform(ws, lambda w: F.xxhash64(w)), "whole": F.array(F.xxhash64(F.array_join(ws, " "))), "none": nothing}[short]
         return F.when(n >= size, F.array_distinct(grams)).when(n > 0, F.array_distinct(less)).otherwise(nothing)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions import text as T
+
 
 def shares(df: DataFrame, *by: str) -> DataFrame:
     """(by, n, percent of all rows)."""
@@ -102,6 +104,10 @@ def ends_of_series(df: DataFrame, order: str, value: str, share: float = 0.2) ->
 
 def repeat_ratio(tokens: Column, size: int = 4) -> Column:
     """The share of runs of `size` tokens that occurred before; 0 for shorter texts."""
-    n = F.size(tokens) - size + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
-    return F.when(n >= 1, 1 - F.size(F.array_distinct(runs)) / n).otherwise(F.lit(0.0))
+
+    def ratio(t: Column) -> Column:
+        n = F.size(t) - size + 1
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: T.run_of(t, i, size))
+        return F.when(n >= 1, 1 - F.size(F.array_distinct(runs)) / n).otherwise(F.lit(0.0))
+
+    return T.let(tokens, ratio)
