@@ -42,6 +42,9 @@ from quern.shared import dropped, shared_path
 SEED = 42
 #: Node pairs that are traversed at once, and fingerprints of the shards that are taken together.
 PAIRS, ROWS = 1 << 16, 100_000
+#: similar_groups(): pairs of rows below a node pair up to which they are compared one by one, since its wide radius ends few
+#: of them sooner. Such pairs that are compared at once.
+LEAF, COMPARED = 1 << 10, 1 << 18
 #: Rows of a shard beyond which it is cut into pieces, and one in how many nodes such shards are found by.
 HOT, SAMPLED = 1 << 16, 64
 #: similar_groups(): bits of a fingerprint, least bits of a table, the share of pairs at the least similarity that meet in no table.
@@ -125,14 +128,40 @@ class Forest:
         return tuple(np.concatenate([np.zeros(0, np.int64), *(u[side] for u in used)]) for side in (0, 1))
 
 
-def trie_join(fp: np.ndarray, first: np.ndarray, radius: int, found, groups) -> None:
+def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
+def compared(words: np.ndarray, al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of rows (al to ah, bl to bh) within the radius, and how many bits differ; words: those of 64 bits, by place. Of a part with itself, each pair once."""
+    al, size = al.astype(np.int64), (ah - al).astype(np.int64)
+    row = ranges(al, size)
+    begin = np.where(np.repeat(al == bl, size), row + 1, np.repeat(bl, size))
+    count = np.repeat(bh, size) - begin
+    other = ranges(begin, count)
+    half = (len(words) + 1) // 2
+    bits = np.zeros(len(other), np.uint16)
+    for word in words[:half]:
+        bits += np.bitwise_count(np.repeat(word[row], count) ^ word[other])
+    near = np.flatnonzero(bits <= radius)
+    a, b, bits = np.repeat(row, count)[near], other[near], bits[near]
+    for word in words[half:]:
+        bits += np.bitwise_count(word[a] ^ word[b])
+    near = bits <= radius
+    return a[near], b[near], bits[near].astype(np.int64)
+
+
+def trie_join(fp: np.ndarray, first: np.ndarray, radius: int, found, groups, leaf: int = 1) -> None:
     """Calls found(a, b, bits) with rows of one shard within the radius.
 
     fp: rows of bytes, sorted in each shard; first: where shards begin; groups(): arrays with a group for each row, as
-    they are then. Rows that are of one group in any of them need not be found.
+    they are then. Rows that are of one group in any of them need not be found. leaf: pairs of rows below a node pair up to
+    which the trie is not followed further.
     """
     n, width = fp.shape
     wide = np.ascontiguousarray(fp).view(">u8").astype(np.uint64)
+    words = np.ascontiguousarray(wide.T)
     end = np.r_[first[1:], n]
     some = end - first > 1
     lo, hi = first[some].astype(np.int32), end[some].astype(np.int32)
@@ -140,7 +169,9 @@ def trie_join(fp: np.ndarray, first: np.ndarray, radius: int, found, groups) ->
     ones: dict[int, np.ndarray] = {}
     while stack:
         level, al, ah, bl, bh, error = stack.pop()
-        if len(al) > PAIRS:
+        below = (ah - al).astype(np.int64) * (bh - bl)
+        few = below <= leaf
+        if len(al) > PAIRS or len(al) > 1 and below[few].sum() > COMPARED:
             half = len(al) // 2
             stack += [(level, *(x[:half] for x in (al, ah, bl, bh, error))), (level, *(x[half:] for x in (al, ah, bl, bh, error)))]
             continue
@@ -148,15 +179,12 @@ def trie_join(fp: np.ndarray, first: np.ndarray, radius: int, found, groups) ->
         for group in groups():
             change = np.concatenate([[0], np.cumsum(group[1:] != group[:-1])])
             one |= (group[al] == group[bl]) & (change[ah - 1] == change[al]) & (change[bh - 1] == change[bl])
-        leaf = (ah - al == 1) & (bh - bl == 1)
-        two = leaf & ~one
-        if two.any():
-            a, b = al[two].astype(np.int64), bl[two].astype(np.int64)
-            bits = np.bitwise_count(wide[a] ^ wide[b]).sum(1)
-            near = bits <= radius
-            if near.any():
-                found(a[near], b[near], bits[near])
-        go = ~leaf & ~one
+        few &= ~one
+        if few.any():
+            a, b, bits = compared(words, al[few], ah[few], bl[few], bh[few], radius)
+            if len(a):
+                found(a, b, bits)
+        go = (below > leaf) & ~one
         al, ah, bl, bh, error = al[go], ah[go], bl[go], bh[go], error[go]
         if not len(al):
             continue
@@ -280,7 +308,7 @@ def _links(node: np.ndarray, used: list[tuple[np.ndarray, np.ndarray]]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
 
 
-def forest_links(radius: int):
+def forest_links(radius: int, leaf: int = 1):
     """A spanning forest of each shard's pairs within the radius."""
 
     def work(t: pa.Table) -> pa.RecordBatch:
@@ -291,7 +319,7 @@ def forest_links(radius: int):
             order = np.argsort(bits, kind="stable")
             used.append(forest.link(a[order], b[order]))
 
-        trie_join(fp, first, radius, found, lambda: [forest.roots()])
+        trie_join(fp, first, radius, found, lambda: [forest.roots()], leaf)
         return _links(node, used)
 
     return by_shard(work)
@@ -331,7 +359,7 @@ def meeting(radius: int, tables: list[np.ndarray]):
             new = here.holds(a, b)
             sure[a[new]] = sure[b[new]] = 0
 
-        trie_join(fp, first, radius, found, lambda: [label, sure])
+        trie_join(fp, first, radius, found, lambda: [label, sure], LEAF)
         kept = t.filter(pa.array(sure == 0)).combine_chunks()
         return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], kept.column_names)
 
@@ -382,7 +410,7 @@ def verified_links(radius: int, similarity: float, tables: list[np.ndarray]):
                     forest.link(np.full(len(other), label[one]), label[other])
                     used.append((np.full(len(other), one), other))
 
-        trie_join(fp, first, radius, found, lambda: [forest.roots()[label]])
+        trie_join(fp, first, radius, found, lambda: [forest.roots()[label]], LEAF)
         return _links(node, used)
 
     return by_shard(work, SET_ROWS)
@@ -491,7 +519,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     ids = prints.groupBy("k").agg(F.min("d").alias("one"), F.max("d").alias("other")).where("one != other").select("k")
     shared = prints.join(ids, "k", "left_semi").join(nodes.select("d", "node"), "d").select("k", "node").distinct()
     edges = shared.groupBy("k").agg(F.min("node").alias("u")).join(shared, "k").select("u", F.col("node").alias("v"))
-    first = shards(nodes.select("node", "fp"), tables[:FIRST_TABLES]).mapInArrow(forest_links(radius), "u long, v long")
+    first = shards(nodes.select("node", "fp"), tables[:FIRST_TABLES]).mapInArrow(forest_links(radius, LEAF), "u long, v long")
     pairs = written(first.selectExpr("least(u, v) as u", "greatest(u, v) as v").where("u != v").distinct(), "proposed")
     sets = written(sets_of(pairs.selectExpr("explode(array(u, v)) as node")), "sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")

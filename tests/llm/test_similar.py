@@ -1,8 +1,10 @@
 """Groups by verified similarity against brute force, pairs on either side of 0.8, recall, hot shards and repeated ids."""
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 
@@ -82,6 +84,44 @@ def test_recall_at_the_threshold():
         assert met >= least * 300, (n, met)
 
 
+def by_brute_force(fp, first, radius):
+    wide, out = fp.view(np.uint64), set()
+    for lo, hi in zip(first.tolist(), [*first.tolist()[1:], len(fp)], strict=True):
+        near = np.bitwise_count(wide[lo:hi, None] ^ wide[None, lo:hi]).sum(2) <= radius
+        out |= {(lo + a, lo + b) for a, b in np.argwhere(np.triu(near, 1)).tolist()}
+    return out
+
+
+def test_trie_join_of_small_and_large_shards_against_brute_force():
+    """Whatever the size of its leaves: near rows, equal rows, shards below and above a leaf."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (40, 32), dtype=np.uint8)
+    bits = np.unpackbits(base[rng.integers(0, 40, 700)], axis=1) ^ (rng.random((700, 256)) < rng.choice([0, 0.05, 0.15], (700, 1)))
+    part = np.sort(rng.choice([0, 1, 2, 3, 4, 4, 4, 4, 4, 4], 700))
+    fp = np.packbits(bits.astype(np.uint8), axis=1)
+    order = np.lexsort((*fp.T[::-1], part))
+    fp, first = fp[order], np.flatnonzero(np.r_[True, np.diff(part[order]) > 0])
+    want = by_brute_force(fp, first, 56)
+    for leaf in (1, 30, neardup.LEAF, 1 << 20):
+        got = []
+        neardup.trie_join(fp, first, 56, lambda a, b, bits: got.extend(zip(a.tolist(), b.tolist(), strict=True)), lambda: [np.arange(700)], leaf)
+        assert len(got) == len(want) and {(min(p), max(p)) for p in got} == want
+
+
+def test_shards_of_a_large_corpus_cost_little_for_each_pair():
+    """Shards as full as those of 2.7 million documents: the join of a table takes no more than a few times what its pairs take."""
+    rng = np.random.default_rng(4)
+    size, many = 83, 500
+    fp = rng.integers(0, 256, (size * many, 32), dtype=np.uint8)
+    fp = fp[np.lexsort((*fp.T[::-1], np.repeat(np.arange(many), size)))]
+    rows = [pa.array(np.repeat(np.arange(many), size)), pa.array(np.arange(size * many)), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(np.arange(size * many))]
+    batch = pa.RecordBatch.from_arrays(rows, ["part", "node", "fp", "label"])
+    radius, tables = neardup.bit_tables(neardup.WIDE, 0.8, 2_700_000)
+    began = time.process_time()
+    assert sum(x.num_rows for x in neardup.meeting(radius, tables)([batch])) == 0
+    assert time.process_time() - began < 0.3e-6 * many * size * (size - 1) / 2
+
+
 def test_blocks_follow_the_number_of_nodes():
     for nodes, size in ((1000, 16), (10**7, 25), (10**10, 31)):
         tables = neardup.block_tables(64, 3, nodes)
