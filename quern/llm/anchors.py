@@ -21,11 +21,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffers, column, keyed, slices, word_bounds, written
+from quern.llm.common import buffers, column, keyed, ranges, slices, word_bounds, written
 
 #: Bytes of segments that a task remembers in order to send equal ones once.
 COMBINED = 48 << 20
@@ -64,6 +63,18 @@ def word_values(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
         return mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
 
 
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of a base, and of its inverse."""
+    if len(_powers[0]) < n:
+        base = M1 | np.uint64(1)
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (base, np.uint64(pow(int(base), -1, 1 << 64)))]
+    return [x[:n] for x in _powers]
+
+
 class Tokens:
     """Tokens of some texts: bytes, or words between white space."""
 
@@ -75,6 +86,16 @@ class Tokens:
             self.values = word_values(self.data, self.begin, self.end)
         else:
             self.first, self.values = self.at, _BYTES[self.data]
+        self.sums: np.ndarray | None = None
+
+    def hashes(self, lo: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """A number for the n tokens from each lo, equal for equal ones."""
+        power, back = powers(len(self.values) + 1)
+        with np.errstate(over="ignore"):
+            if self.sums is None:
+                self.sums = np.zeros(len(self.values) + 1, np.uint64)
+                np.cumsum(self.values * power[:-1], out=self.sums[1:])
+            return mixed((self.sums[lo + n] - self.sums[lo]) * back[lo] + np.asarray(n).astype(np.uint64))
 
     def segment(self, lo: int, n: int) -> bytes:
         """Tokens lo to lo + n; words with one space between."""
@@ -241,16 +262,20 @@ class Recurring:
                     for i, lo, n, _, key in chosen(t, part, length, gram):
                         a, b = int(ends[i - 1]) if i else 0, int(ends[i])
                         own = dict(zip(zip(places[a:b].tolist(), keys[a:b].tolist(), strict=True), all_marks[a:b].to_pylist(), strict=True))
-                        seen: dict = {}
-                        for j in range(len(lo)):
-                            begin, windows = int(lo[j]), int(n[j])
-                            s = (t.segment(begin, windows + length - 1), int(key[j]))
-                            j0 = seen.setdefault(s, begin)
-                            marks = own.get((j0 - int(t.first[i]), int(key[j]))) if j0 == begin or not within else None
-                            if marks is None:
-                                marked.append(np.arange(begin, begin + windows))
-                            elif any(marks):
-                                marked.append(begin + np.flatnonzero(np.frombuffer(marks, np.uint8)))
+                        begins = lo
+                        with np.errstate(over="ignore"):
+                            told_apart = len(np.unique(t.hashes(lo, n + length - 1) * M1 + key.view(np.uint64))) == len(lo)
+                        if not told_apart:  # a segment that the text has twice is told of where it is first
+                            seen: dict = {}
+                            begins = np.array([seen.setdefault((t.segment(x, m + length - 1), y), x) for x, m, y in zip(lo.tolist(), n.tolist(), key.tolist(), strict=True)])
+                        of_first = [own.get(x) for x in zip((begins - t.first[i]).tolist(), key.tolist(), strict=True)]
+                        if within:
+                            of_first = [m if again == 0 else None for m, again in zip(of_first, (lo - begins).tolist(), strict=True)]
+                        alone = np.array([m is None for m in of_first])
+                        marked.append(ranges(lo[alone], n[alone]))
+                        if not alone.all():
+                            some = np.frombuffer(b"".join(m for m in of_first if m is not None), np.uint8)
+                            marked.append(ranges(lo[~alone], n[~alone])[np.flatnonzero(some)])
                     yield finish(t, column(part, "k"), column(part, "row") if rows else None, np.concatenate(marked) if marked else np.zeros(0, np.int64))
 
         all_ = self.docs.join(self.keys, "k", "left").join(first, "k", "left")
@@ -281,13 +306,11 @@ def chosen(t: Tokens, part: pa.RecordBatch, length: int, gram: int):
             continue
         cold = at[~some]
         runs = [(lo[cold], n[cold], off[cold], key[cold])]
-        more = []
-        for j in at[some].tolist():
-            for w in range(int(n[j])):
-                begin = int(lo[j]) + w
-                own_key = xxhash.xxh64_intdigest(t.segment(begin, length), int(key[j]) & 0xFFFFFFFF)
-                more.append((begin, 1, int(off[j]) - w, own_key - (1 << 63)))
-        runs.append(tuple(np.array(x, np.int64) for x in zip(*more, strict=True)))
+        many = n[at[some]]
+        begin = ranges(lo[at[some]], many)
+        with np.errstate(over="ignore"):
+            own_key = mixed(t.hashes(begin, length) + np.repeat(key[at[some]], many).view(np.uint64) * M1).view(np.int64)
+        runs.append((begin, np.ones_like(begin), np.repeat(off[at[some]], many) - ranges(np.zeros_like(many), many), own_key))
         yield int(i), *(np.concatenate(x) for x in zip(*runs, strict=True))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.shared import shared_path, written
 
-__all__ = ["NULL_ID", "SPACES", "WORD", "buffers", "column", "few_rows", "id_back", "is_space", "keyed", "lower_ascii", "shared_path", "slices", "word_bounds", "written"]
+__all__ = ["NULL_ID", "SPACES", "WORD", "buffers", "column", "few_rows", "id_back", "is_space", "keyed", "lower_ascii", "ranges", "shared_path", "slices", "word_bounds", "written"]
 
 #: White space between words, as in the class [\x20\x09-\x0D].
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -88,5 +88,10 @@ def word_bounds(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begin, end, np.searchsorted(begin, at, "left")
 
 
+def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    return np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)

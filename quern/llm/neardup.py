@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.anchors import mixed
-from quern.llm.common import buffers, column, id_back, keyed, lower_ascii, slices, written
+from quern.llm.common import buffers, column, id_back, keyed, lower_ascii, ranges, slices, written
 from quern.shared import dropped, shared_path
 
 SEED = 42
@@ -128,11 +128,6 @@ class Forest:
         return tuple(np.concatenate([np.zeros(0, np.int64), *(u[side] for u in used)]) for side in (0, 1))
 
 
-def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after another."""
-    return np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
-
-
 def compared(words: np.ndarray, al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs of rows (al to ah, bl to bh) within the radius, and how many bits differ; words: those of 64 bits, by place. Of a part with itself, each pair once."""
     al, size = al.astype(np.int64), (ah - al).astype(np.int64)

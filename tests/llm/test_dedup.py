@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import anchors, neardup, phrase_dedup, suffix_dedup
@@ -62,6 +63,29 @@ def test_hot_keys(spark, monkeypatch, hot):
     assert got == phrase_dedup.brute(texts)
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_windows_of_hot_keys_are_told_apart_without_their_texts(monkeypatch, words):
+    """No text is cut out for a window, equal windows of a key stay together, others part."""
+    r = random.Random(7)
+    line = [f"line{i}" for i in range(40)]
+    texts = [" ".join([f"a{r.random()}" for _ in range(30)] + line + [f"b{r.random()}" for _ in range(30)]) for _ in range(20)] * 2
+    length, gram = (50, 16) if words else (100, 32)
+    t = Tokens(pa.array(texts), words)
+    segment = t.segment
+    keys = t.runs(length, gram)[4]
+    own = pa.array([keys.tolist()] * len(texts), pa.list_(pa.int64()))
+    part = pa.RecordBatch.from_arrays([pa.array(texts), own, own], ["text", "keys", "hot"])
+    monkeypatch.setattr(t, "segment", lambda lo, n: pytest.fail("a text is cut out for a window"))
+    told, total = {}, 0
+    for _, lo, n, off, key in anchors.chosen(t, part, length, gram):
+        assert (n == 1).all() and (off >= 0).all() and (off <= length - gram).all()
+        total += len(lo)
+        for x, y in zip(lo.tolist(), key.tolist(), strict=True):
+            told.setdefault(y, set()).add(segment(x, length))
+    windows = {s for x in told.values() for s in x}
+    assert total == int(np.maximum(np.diff(t.first) - length + 1, 0).sum()) and all(len(x) == 1 for x in told.values()) and len(windows) == len(told)
+
+
 def test_a_common_line_with_ever_other_surroundings(spark, monkeypatch):
     """One anchor that all documents have: no group grows with their number, and what repeats is found."""
     monkeypatch.setattr(anchors, "HOT", 20)
