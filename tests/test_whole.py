@@ -1,7 +1,11 @@
 """Queries that do the whole job: whole texts, all documents."""
 
 import hashlib
+import shutil
 
+import duckdb
+
+from quern import catalog
 from quern.plans import audits, curation, duplicates
 
 
@@ -30,3 +34,15 @@ def test_every_copy_has_a_row(spark, tmp_path):
 
 def test_gated_selects_from_more_than_a_hundred_rows(spark):
     assert curation.curate_gated(spark, "/root/testdata/sf0.1").count() > 100
+
+
+def test_first_letters_agree_with_sql(spark, small_dir, tmp_path):
+    odd = [chr(c) for c in range(0x80, 0x1E000) if not 0xD800 <= c < 0xE000 and (chr(c).upper() != chr(c) or len(chr(c).lower()) > 1)]
+    d = documents(spark, tmp_path, dict(enumerate(x + tail for x in odd for tail in ("", "traße ΣΑΣ İzmir is a long enough text"))))
+    shutil.copy(f"{small_dir}/conversations.parquet", d)
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet{'/*.parquet' if t == 'documents' else ''}'")
+    for name in ("shared_greeting",):
+        got = catalog.queries()[name](spark, d).collect()
+        assert sorted(map(tuple, got)) == sorted(con.sql(catalog.oracle_sql()[name]).fetchall()), name
