@@ -43,6 +43,6 @@ def test_first_letters_agree_with_sql(spark, small_dir, tmp_path):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
         con.sql(f"create view {t} as select * from '{d}/{t}.parquet{'/*.parquet' if t == 'documents' else ''}'")
-    for name in ("shared_greeting", "stripped_address"):
+    for name in ("truncate_words", "shared_greeting", "stripped_address", "dedup_documents"):
         got = catalog.queries()[name](spark, d).collect()
         assert sorted(map(tuple, got)) == sorted(con.sql(catalog.oracle_sql()[name]).fetchall()), name
