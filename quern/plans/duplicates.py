@@ -10,6 +10,7 @@ from quern.operators import leaks as L
 from quern.operators import selection as S
 from quern.operators import vectors as V
 from quern.plans.tables import PAIRS, SPLIT, conversations, documents, pairs, split_documents, table
+from quern.shared import written
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _ALNUM = "regexp_replace(lower({}), '[^0-9a-z]+', '', 'g')"
@@ -146,9 +147,10 @@ m as (select doc_id, min(doc_id) over (partition by bucket, items) as a from r w
 
 def minhash_candidates(spark, d):
     """How many documents share each number of bands with another one."""
-    sets = documents(spark, d).select("doc_id", D.shingles("text").alias("items")).where(F.size("items") > 0)
-    signed = sets.select("doc_id", V.minhash("items", 32).alias("sig"))
-    keys = signed.select("doc_id", F.posexplode(V.bands("sig", 32)).alias("band", "key"))
+    sets = documents(spark, d).select("doc_id", D.shingles("text").alias("items"))
+    signed = V.with_minhash(sets, "doc_id", "items", 32)
+    # written, or both sides of the join would sign all documents
+    keys = written(signed.select("doc_id", F.posexplode(V.bands("sig", 32)).alias("band", "key")), "bands")
     shared = keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return keys.join(shared, ["band", "key"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("bands"))
 

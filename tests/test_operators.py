@@ -85,6 +85,16 @@ def test_minhash_estimates(spark):
     assert abs(same - 80 / 120) < 0.12 and rows[1].x == rows[1].y
 
 
+def test_minhash_by_rows(spark):
+    """As by columns, for repeated keys and empty sets too, and with the text read once for all hashes."""
+    df = spark.createDataFrame([(1, "one two three four"), (1, "five six seven eight"), (2, "one two three four"), (3, ""), (None, "a b"), (4, None)], "k long, t string")
+    sets = df.select("k", D.shingles("t").alias("items"))
+    want = sets.where(F.size("items") > 0).select("k", V.minhash("items", 8).alias("sig")).collect()
+    got = V.with_minhash(sets, "k", "items", 8)
+    assert sorted(got.collect(), key=str) == sorted(want, key=str) and len(want) == 4
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+
+
 def test_spelling(spark):
     df = spark.createDataFrame([("Tge tge man THE tge.",)], "t string")
     assert Y.apply(df, "t", {"tge": "the"}).first().t == "The the man THE the."
