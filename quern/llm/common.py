@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.shared import shared_path, written
+from quern.shared import few_rows, shared_path, written
 
 __all__ = ["NULL_ID", "SPACES", "WORD", "buffers", "column", "few_rows", "id_back", "is_space", "keyed", "lower_ascii", "ranges", "shared_path", "slices", "word_bounds", "written"]
 
@@ -17,17 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null identifier inside plans that partition by it.
 NULL_ID = -(2**63)
 
-#: Rows of a batch that goes to Python, where the session says nothing else: texts may be long.
-BATCH_ROWS = 2000
-
-
-def few_rows(spark: SparkSession) -> None:
-    """Smaller batches for texts than the default, unless the session has a number of its own."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if name not in spark.conf.getAll:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
     """(k, text) of documents and what more there is to select; null identifiers and texts get NULL_ID and ''."""
     few_rows(docs.sparkSession)

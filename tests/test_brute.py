@@ -4,6 +4,8 @@ import math
 import random
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -125,3 +127,40 @@ def test_normalised_texts(spark, small_dir):
         t = row.t or ""
         assert t == " ".join(t.split()) and not re.search(r"https?://\S", t) and unicodedata.is_normalized("NFC", t)
         assert row.html is not None or row.t is None
+
+
+def test_similar_pairs_of_random_sets(spark):
+    """Against all pairs: near copies of several sizes, equal sets, a key with two rows, keys that are structs, null keys; several thresholds."""
+    rng = random.Random(7)
+    word = lambda: rng.getrandbits(63) if rng.random() < 0.6 else rng.randrange(40)
+    sets = []
+    for _ in range(60):
+        first = {word() for _ in range(rng.choice((1, 2, 9, 40, 70, 300)))}
+        sets.append(first)
+        for _ in range(rng.randrange(4)):
+            lost = set(rng.sample(sorted(first), len(first) * rng.choice((0, 5, 15, 30)) // 100))
+            sets.append(first - lost | {word() for _ in range(rng.randrange(len(lost) + 1))})
+    sets.append(set())
+    keyed = [(i, sorted(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame([*keyed, keyed[3], (None, sorted(sets[5]))], "k long, items array<bigint>").repartition(3).select(F.when(F.col("k").isNotNull(), F.struct(F.lit(0).alias("s"), "k")).alias("k"), "items")
+    for least in (0.8, 0.9, 0.5):
+        pairs, members = D.similar_pairs(df, "k", "items", least)
+        got = {(r.a.k, r.b.k): r.similarity for r in pairs.collect()}
+        first = {}
+        for i, s in keyed:
+            first.setdefault(tuple(s), i)
+        reps = [(i, set(s)) for s, i in first.items() if s]
+        want = {(i, j): len(x & y) / len(x | y) for i, x in reps for j, y in reps if i < j and len(x & y) >= least * len(x | y) - 1e-12}
+        assert got == want and pairs.count() == len(want) > 10
+        assert {(r.k.k, r.a.k) for r in members.where("k is not null").collect()} == {(i, first[tuple(s)]) for i, s in keyed}
+
+
+def test_parities_differ_no_more_than_sets():
+    rng = random.Random(3)
+    for n in (1, 63, 64, 65, 500, 5000):
+        x = {rng.getrandbits(62) for _ in range(n)}
+        y = set(rng.sample(sorted(x), n * 9 // 10)) | {rng.getrandbits(62) for _ in range(n // 5)}
+        flat = [sorted(x), sorted(y), [], sorted(x)]
+        rows = D._parities(pa.array(range(4)), np.array([len(s) for s in flat]), np.array(sum(flat, []), np.int64)).column("bits").to_pylist()
+        assert P.differing(rows[0], rows[1]) <= len(x ^ y) and P.differing(rows[0], rows[3]) == 0
+        assert P.differing(rows[0], rows[2]) <= n and len(rows[0]) * 8 < 2 * max(n, 64)
