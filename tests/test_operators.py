@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import passes as P
 from quern.functions import text as T
 from quern.operators import dedup as D
 from quern.operators import evaluation as E
@@ -337,3 +338,10 @@ def test_plans_of_nothing(spark):
 
     none = spark.createDataFrame([], "id long, q string, a string, source string")
     assert curation.basic(none).count() == 0
+
+
+def test_passes_run_once_in_small_batches(spark):
+    df = spark.createDataFrame([("a  b",), ("�",), (None,)], "t string").select(P.normalized(F.col("t")).alias("n")).where(~F.contains("n", F.lit("�"))).select("n", F.upper("n").alias("u"))
+    assert [tuple(r) for r in df.collect()] == [("a b", "A B")]
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
