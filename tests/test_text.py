@@ -152,3 +152,27 @@ def test_sentences_and_bullets(spark):
 def test_medical_words(spark):
     df = spark.createDataFrame([("Gastritis",), ("itis",), ("oitis",), ("dermatitis",), ("vertigo",), ("rumah",), ("grafi",)], "c string")
     assert [r[0] for r in df.select(T.looks_medical("c")).collect()] == [True, False, False, True, True, False, False]
+
+
+def test_checks_before_rules_change_nothing(spark, small_dir, monkeypatch):
+    """Ladders with and without the checks that spare rules texts they can't match."""
+    ends = ["Terima kasih. Dian Paramitasari", "ok. dr. Budi, BMed.", "Siti, S.Ked\n", "Sp." + "A." * 90, "x Sp." + "A" * 70, "MARS  ", "Drg.", "Sc", "FINASIM."]
+    middles = ["Baca juga artikel ini. Ya.", "Unduh  aplikasi\tini!  Live \n chat.", "dr. Budi dan drg Ulfi, dokter dokter WILLIAM", "aaab XIII lainya Lainya, dll makan dsb. dst", "Silakan klik tautan", "Lebih  rincinya pada", "A.\nB! \t C"]
+    heads = ["@budi, Hello there, ", "hellothanks for it. ", "Hai hai Dear Ann, selamat pagi semua. ", "terima kasih atas itu. ", "salam"]
+    texts = [h + m + " " + e for h in ["", *heads] for m in ["", *middles] for e in ["", *ends]]
+    docs = [r.text for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *docs, None])], "id int, t string").repartition(4).cache()
+
+    def run():
+        c = F.col("t")
+        return {r.id: tuple(r) for r in df.select("id", L.conservative(c), L.scrubbed(c), L.tail_trimmed(c), L.without_greeting(c), L.without_opening(c), L.without_address(c)).collect()}
+
+    checked = run()
+    always, signed = lambda t, words: F.lit(True), L._signed
+    steps = {"sig_name": signed(L._NAMES, 0, lambda t: F.lit(True)), "sig_cred": signed(L.R.CREDENTIALS, 1, lambda t: F.lit(True)), "triple": lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0)), lambda w: F.when(w.rlike("(?i)^[ivxlcdm]+$"), w).otherwise(F.regexp_replace(w, r"([A-Za-z])\1{2,}", "$1$1"))), "")}
+    monkeypatch.setattr(L, "has_any", always)
+    monkeypatch.setattr(L, "_GREETED", "")
+    monkeypatch.setattr(L, "CONSERVATIVE", tuple((n, steps.get(n, f)) for n, f in L.CONSERVATIVE))
+    monkeypatch.setattr(L, "rounds", lambda c, most, step: F.aggregate(F.sequence(F.lit(1), F.lit(most)), c, lambda t, _: step(t)))
+    plain = run()
+    assert [(k, df.where(F.col("id") == k).first().t, checked[k], plain[k]) for k in plain if plain[k] != checked[k]][:2] == []
