@@ -345,3 +345,12 @@ def test_passes_run_once_in_small_batches(spark):
     assert [tuple(r) for r in df.collect()] == [("a b", "A B")]
     assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+
+
+def test_words_are_worked_out_once(spark):
+    df = spark.createDataFrame([("the man and the dog of Rome",), ("le chien",), ("",), (None,)], "t string")
+    told = V.by_profile({"en": ("the", "of"), "fr": ("le", "la")}, "t", "t")(df)
+    assert [tuple(r)[1:] for r in told.collect()] == [("en", 1.0), ("unknown", 1.0), ("unknown", 0.0), ("unknown", 0.0)]
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert df.select(V.bag("t", 8).alias("b"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [sum(r[0]) for r in df.where("t is not null").select(V.bag("t", 8)).collect()] == [7, 2, 0]
